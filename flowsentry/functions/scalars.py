@@ -69,7 +69,7 @@ def parse_iso(text: Column, as_of: Column | None = None) -> Column:
 
 
 def iso_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
 
 
 def age_hours(ts: Column, as_of: Column) -> Column:

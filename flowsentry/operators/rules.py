@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.schemas import RULE_COLUMNS
-from flowsentry.session import BROADCAST_ROW_LIMIT
+from flowsentry.session import BROADCAST_ROW_LIMIT, materialize
 
 # Accepted rule header and option forms.
 HEADER_PATTERN = (
@@ -144,6 +144,8 @@ def first_rule_match(rows: DataFrame, rules: DataFrame, limit: int = BROADCAST_R
         .groupBy("_mask", *MATCH_FIELDS)
         .agg(F.min(body).alias("_rule"))
     )
+    # Rule text is parsed once, not once per group.
+    firsts = materialize(firsts, "rules")
     # One row per field combination, never more than 16.
     groups = {r["_mask"]: r["n"] for r in firsts.groupBy("_mask").agg(F.count(F.lit(1)).alias("n")).collect()}
 
