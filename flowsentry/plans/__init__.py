@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def all_queries():
-    from flowsentry.plans import alert_views, detection
+    from flowsentry.plans import alert_views, detection, stores
     from flowsentry.plans.catalog import Catalog
 
     catalog = Catalog()
-    for module in (detection, alert_views):
+    for module in (detection, alert_views, stores):
         module.register(catalog)
     return catalog

@@ -61,11 +61,13 @@ def numeric_flows(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: S.safe_double(F.col(c), 0.0) for c in schemas.FLOW_CSV_COLUMNS})
 
 
-def read_rules(spark: SparkSession, path: str, engine: str = "snort", tier: int = 2, **options) -> DataFrame:
+def read_rules(
+    spark: SparkSession, path: str, engine: str = "snort", tier: int = 2, pattern: str = "*.rules", **options
+) -> DataFrame:
     """Rules from a file or from all ``*.rules`` files below a folder, ordered by file and line."""
     lines = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.rules")
+        .option("pathGlobFilter", pattern)
         .text(path)
         .select(
             F.col("value").alias("line"),
