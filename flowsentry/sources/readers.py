@@ -52,9 +52,17 @@ def stream_flow_events(spark: SparkSession, path: str, files_per_trigger: int |
 
 
 def read_flow_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """Flow training rows: only the needed columns, anything that is no number becomes 0."""
+    """Flow training rows: only the needed columns, anything that is no number becomes 0.
+
+    ``row_no`` tells equal rows apart, so that sampling spreads them.
+    """
     lines = spark.read.option("header", True).option("recursiveFileLookup", True).csv(list(paths))
-    return numeric_flows(lines.select(*schemas.FLOW_CSV_COLUMNS, F.input_file_name().alias("source_file")))
+    rows = lines.select(
+        *schemas.FLOW_CSV_COLUMNS,
+        F.col("_metadata.file_path").alias("source_file"),
+        F.monotonically_increasing_id().alias("row_no"),
+    )
+    return numeric_flows(rows)
 
 
 def numeric_flows(rows: DataFrame) -> DataFrame:
