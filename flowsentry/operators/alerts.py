@@ -237,9 +237,6 @@ def blocked_or_detected(block_log: DataFrame, alerts: DataFrame) -> DataFrame:
     """The block list; if nothing was ever blocked, the latest detection per source instead."""
     columns = ["src_ip", "reason", "source_engine", "ts", "mode"]
     blocks = distinct_blocks(block_log).withColumn("source_engine", F.lit(None).cast("string"))
-    # At most one row, so it may be replicated.
-    anything = block_log.where(F.coalesce("src_ip", F.lit("")) != "").limit(1).select(F.lit(1).alias("_any"))
-    fallback = (
-        latest_detection_per_ip(alerts).withColumn("_any", F.lit(1)).join(F.broadcast(anything), "_any", "left_anti")
-    )
+    anything = block_log.where(F.coalesce("src_ip", F.lit("")) != "").limit(1).agg(F.count(F.lit(1)))
+    fallback = latest_detection_per_ip(alerts).where(anything.scalar() == 0)
     return blocks.select(*columns).unionByName(fallback.select(*columns))

@@ -152,15 +152,14 @@ def first_rule_match(rows: DataFrame, rules: DataFrame, limit: int = BROADCAST_R
     out, found = rows, []
     for number, size in sorted(groups.items()):
         keys = [f for i, f in enumerate(MATCH_FIELDS) if number >> i & 1]
+        group = firsts.where(F.col("_mask") == number)
+        if not keys:
+            # Only one rule can be first without any condition; it is a scalar, not a join.
+            found.append(group.select("_rule").scalar())
+            continue
         name = f"_rule{number}"
         found.append(F.col(name))
-        if keys:
-            group = firsts.where(F.col("_mask") == number).select(*keys, F.col("_rule").alias(name))
-        else:
-            # The all-wildcard rule is a single row, joined on a constant.
-            out = out.withColumn("_any", F.lit(1))
-            keys = ["_any"]
-            group = firsts.where(F.col("_mask") == 0).select(F.lit(1).alias("_any"), F.col("_rule").alias(name))
+        group = group.select(*keys, F.col("_rule").alias(name))
         out = out.join(F.broadcast(group) if size <= limit else group, keys, "left")
     if not found:
         return rows.withColumn("rule", F.lit(None).cast(firsts.schema["_rule"].dataType))

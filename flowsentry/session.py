@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Upper bound for a table that may be replicated to every executor.
 BROADCAST_ROW_LIMIT = 200_000
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job in this package relies on."""
@@ -44,8 +46,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-        root = tempfile.mkdtemp(prefix="flowsentry-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="flowsentry-")
+        root = _LOCAL_ROOTS[app]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
