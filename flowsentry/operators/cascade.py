@@ -24,6 +24,8 @@ class CascadeConfig:
     mode: str = "detect-only"
     syn: thresholds.SynFlood = field(default_factory=thresholds.SynFlood)
     services: list = field(default_factory=lambda: thresholds.LOGIN_SERVICES)
+    #: Time block of the flow windows; ``flows.block_length`` suggests one for dense captures.
+    flow_block_us: int = flows.BLOCK_US
     #: Scores feature rows (adds ``ml``); the built-in heuristic is used when none is given.
     scorer: Callable[[DataFrame], DataFrame] | None = None
 
@@ -96,7 +98,7 @@ def score_and_match(
     """Feature rows with ``sig`` (struct or null), ``ml`` and ``ml_label``."""
     marks = stages.hits.select("event_id", F.col("name").alias("hit_name"), F.col("severity").alias("hit_severity"))
     marked = flagged.join(marks, "event_id", "left")
-    features = flows.flow_features(marked, open_sessions=carry.sessions)
+    features = flows.flow_features(marked, block_us=config.flow_block_us, open_sessions=carry.sessions)
     matched = rule_ops.first_rule_match(features, rules)
     none = F.lit(None).cast("string")
     sig = (

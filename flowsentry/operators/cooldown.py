@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from flowsentry.session import materialize
 
-FOLD_LIMIT = 10_000
-BLOCK_COOLDOWNS = 6
+#: Candidates a key may have to be folded in one row; counted before anything is collected.
+FOLD_LIMIT = 50_000
+BLOCK_COOLDOWNS = 2
 BLOCKS_PER_SPAN = 64
 
 

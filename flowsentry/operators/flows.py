@@ -69,6 +69,14 @@ def flow_record_features(records: DataFrame) -> DataFrame:
     )
 
 
+def block_length(packets: DataFrame, rows_per_block: int = 5_000_000, longest_us: int = BLOCK_US) -> int:
+    """Block length for dense captures: short enough that an average block of all flows holds ``rows_per_block``."""
+    n, first, last = packets.agg(F.count(F.lit(1)), F.min("t_us"), F.max("t_us")).first()
+    if not n:
+        return longest_us
+    return max(1_000, min(longest_us, int((last - first + 1) * rows_per_block / n)))
+
+
 def running_flows(
     packets: DataFrame, gap_us: int = IDLE_GAP_US, block_us: int = BLOCK_US, open_sessions: DataFrame | None = None
 ) -> DataFrame:

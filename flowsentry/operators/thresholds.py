@@ -16,6 +16,8 @@ from flowsentry.functions import scalars as S
 from flowsentry.operators.cooldown import keep_after_cooldown
 
 SECOND = 1_000_000
+#: Default block length in windows; one window in that many is read twice.
+BLOCK_WINDOWS = 8
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,7 @@ def trailing_hits(
     ``need`` rows within ``within_us`` (both inclusive, current row counted) make a hit; ``needs`` lists the
     values ``need`` can take. ``history`` rows count but are never returned.
     """
-    block_us = max(block_us or 20 * longest_us, longest_us)
+    block_us = max(block_us or BLOCK_WINDOWS * longest_us, longest_us)
     stream = rows.withColumn("_new", F.lit(True))
     if history is not None:
         stream = stream.unionByName(history.withColumn("_new", F.lit(False)))

@@ -62,17 +62,32 @@ def allocate_targets(
     return [*plan, (counts[-1][0], left_benign, left_attack)]
 
 
-def mark_sample(rows: DataFrame, strata: list[str], targets: DataFrame, key: list[str], seed: int) -> DataFrame:
+def with_hash(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """Add the sampling hash of a row and its bucket."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+    digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *parts))
+    return rows.withColumn("_hash", digest).withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
+
+
+def bucket_counts(hashed: DataFrame, strata: list[str]) -> DataFrame:
+    return hashed.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def mark_sample(
+    rows: DataFrame,
+    strata: list[str],
+    targets: DataFrame,
+    key: list[str],
+    seed: int,
+    per_bucket: DataFrame | None = None,
+) -> DataFrame:
     """Add ``chosen``: exactly ``n`` rows of every stratum (all, if it has fewer), picked by a hash of the row key.
 
     ``targets`` has one row per stratum with ``n``. Rows are counted per hash bucket; whole buckets below the
     target are taken without a shuffle, and only the bucket that straddles it is ranked.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
-    hashed = rows.withColumn("_hash", digest).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
-    )
-    per_bucket = hashed.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    hashed = with_hash(rows, key, seed)
+    per_bucket = bucket_counts(hashed, strata) if per_bucket is None else per_bucket
     upto = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = per_bucket.withColumn("_before", F.coalesce(F.sum("_rows").over(upto), F.lit(0)))
     cut = (
@@ -92,8 +107,15 @@ def mark_sample(rows: DataFrame, strata: list[str], targets: DataFrame, key: lis
     return whole.unionByName(part).select(*rows.columns, "chosen")
 
 
-def stratified_sample(rows: DataFrame, strata: list[str], targets: DataFrame, key: list[str], seed: int) -> DataFrame:
-    return mark_sample(rows, strata, targets, key, seed).where("chosen").drop("chosen")
+def stratified_sample(
+    rows: DataFrame,
+    strata: list[str],
+    targets: DataFrame,
+    key: list[str],
+    seed: int,
+    per_bucket: DataFrame | None = None,
+) -> DataFrame:
+    return mark_sample(rows, strata, targets, key, seed, per_bucket).where("chosen").drop("chosen")
 
 
 def class_targets(plan: list[tuple[str, int, int]], rows: DataFrame) -> DataFrame:
@@ -106,17 +128,25 @@ def balanced_sample(
     rows: DataFrame, key: list[str], benign_ratio: float = 0.9, attack_ratio: float = 0.1, max_samples: int = 800_000, seed: int = 42
 ) -> DataFrame:
     """Features and labels of a sample with the wanted class ratio, drawn from all files in proportion."""
+    strata = ["source_file", "label"]
+    features = training_features(rows, "source_file", *key)
+    # One pass gives both the class counts and the bucket counts the sample is cut by.
+    per_bucket = materialize(bucket_counts(with_hash(features, key, seed), strata), "sample-counts")
+    per_file = per_bucket.groupBy("source_file").agg(
+        F.sum(F.when(F.col("label") == 0, F.col("_rows")).otherwise(0)).alias("benign"),
+        F.sum(F.when(F.col("label") == 1, F.col("_rows")).otherwise(0)).alias("attack"),
+    )
     # One row per data file.
-    counts = sorted((r["source_file"], r["benign"], r["attack"]) for r in class_counts(rows).collect())
+    counts = sorted((r["source_file"], r["benign"], r["attack"]) for r in per_file.collect())
     targets = class_targets(allocate_targets(counts, benign_ratio, attack_ratio, max_samples), rows)
-    features = training_features(rows, "source_file", *key)
-    return stratified_sample(features, ["source_file", "label"], targets, key, seed)
+    return stratified_sample(features, strata, targets, key, seed, per_bucket)
 
 
 def stratified_split(rows: DataFrame, key: list[str], ratio: float = VALIDATION_RATIO, seed: int = 42) -> DataFrame:
     """Add ``is_val``: the wanted share of each class, rounded down."""
-    targets = rows.groupBy("label").agg(F.floor(F.count(F.lit(1)) * ratio).alias("n"))
-    return mark_sample(rows, ["label"], targets, key, seed).withColumnRenamed("chosen", "is_val")
+    per_bucket = materialize(bucket_counts(with_hash(rows, key, seed), ["label"]), "split-counts")
+    targets = per_bucket.groupBy("label").agg(F.floor(F.sum("_rows") * ratio).alias("n"))
+    return mark_sample(rows, ["label"], targets, key, seed, per_bucket).withColumnRenamed("chosen", "is_val")
 
 
 def feedback_samples(feedback: DataFrame, cap: int = FEEDBACK_CAP, seed: int = 42) -> DataFrame:
