@@ -84,21 +84,26 @@ def mark_sample(
     """Add ``chosen``: exactly ``n`` rows of every stratum (all, if it has fewer), picked by a hash of the row key.
 
     ``targets`` has one row per stratum with ``n``. Rows are counted per hash bucket; whole buckets below the
-    target are taken without a shuffle, and only the bucket that straddles it is ranked.
+    target are taken without a shuffle, and only the bucket that straddles it is ranked. Without ``strata``
+    all rows are one stratum.
     """
     hashed = with_hash(rows, key, seed)
     per_bucket = bucket_counts(hashed, strata) if per_bucket is None else per_bucket
     upto = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = per_bucket.withColumn("_before", F.coalesce(F.sum("_rows").over(upto), F.lit(0)))
+    wanted = before.join(targets.select(*strata, "n"), strata) if strata else before.withColumn("n", targets.select("n").scalar())
     cut = (
-        before.join(targets.select(*strata, "n"), strata)
-        .where(F.col("_before") < F.col("n"))
+        wanted.where(F.col("_before") < F.col("n"))
         .groupBy(*strata)
-        .agg(F.max("_bucket").alias("_last"), F.max(F.struct("_bucket", F.col("n") - F.col("_before"))).alias("_rest"))
-        .select(*strata, "_last", F.col("_rest.col2").alias("_take"))
+        .agg(F.max(F.struct("_bucket", (F.col("n") - F.col("_before")).alias("take"))).alias("_rest"))
+        .select(*strata, F.col("_rest._bucket").alias("_last"), F.col("_rest.take").alias("_take"))
     )
-    cut = materialize(cut, "sample-cut")
-    placed = hashed.join(F.broadcast(cut) if fits_broadcast(cut) else cut, strata, "left")
+    if strata:
+        cut = materialize(cut, "sample-cut")
+        placed = hashed.join(F.broadcast(cut) if fits_broadcast(cut) else cut, strata, "left")
+    else:
+        last, take = cut.first()[:]
+        placed = hashed.withColumns({"_last": F.lit(last).cast("int"), "_take": F.lit(take).cast("long")})
 
     straddles = F.coalesce(F.col("_bucket") == F.col("_last"), F.lit(False))
     whole = placed.where(~straddles).withColumn("chosen", F.coalesce(F.col("_bucket") < F.col("_last"), F.lit(False)))
@@ -169,9 +174,8 @@ def feedback_samples(feedback: DataFrame, cap: int = FEEDBACK_CAP, seed: int = 4
         )
         .dropna(subset=MODEL_FEATURES)
     )
-    everything = rows.withColumn("_all", F.lit(1))
-    targets = rows.sparkSession.range(1).select(F.lit(1).alias("_all"), F.lit(cap).cast("long").alias("n"))
-    chosen = stratified_sample(everything, ["_all"], targets, ["alert_id", "decision_timestamp"], seed)
+    targets = rows.sparkSession.range(1).select(F.lit(cap).cast("long").alias("n"))
+    chosen = stratified_sample(rows, [], targets, ["alert_id", "decision_timestamp"], seed)
     return chosen.select("alert_id", *MODEL_FEATURES, "label")
 
 
