@@ -6,7 +6,7 @@ is invisible to the later ones; a SYN or login candidate held back by its cooldo
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +24,8 @@ class CascadeConfig:
     mode: str = "detect-only"
     syn: thresholds.SynFlood = field(default_factory=thresholds.SynFlood)
     services: list = field(default_factory=lambda: thresholds.LOGIN_SERVICES)
-    #: Time block of the flow windows; ``flows.block_length`` suggests one for dense captures.
-    flow_block_us: int = flows.BLOCK_US
+    #: Time block of the flow windows; a batch run measures it if none is given.
+    flow_block_us: int | None = None
     #: Scores feature rows (adds ``ml``); the built-in heuristic is used when none is given.
     scorer: Callable[[DataFrame], DataFrame] | None = None
 
@@ -98,7 +98,7 @@ def score_and_match(
     """Feature rows with ``sig`` (struct or null), ``ml`` and ``ml_label``."""
     marks = stages.hits.select("event_id", F.col("name").alias("hit_name"), F.col("severity").alias("hit_severity"))
     marked = flagged.join(marks, "event_id", "left")
-    features = flows.flow_features(marked, block_us=config.flow_block_us, open_sessions=carry.sessions)
+    features = flows.flow_features(marked, block_us=config.flow_block_us or flows.BLOCK_US, open_sessions=carry.sessions)
     matched = rule_ops.first_rule_match(features, rules)
     none = F.lit(None).cast("string")
     sig = (
@@ -168,6 +168,8 @@ def run_cascade(
 ) -> DataFrame:
     """Alerts for a bounded set of packets (or normalised events)."""
     config = config or CascadeConfig()
+    if config.flow_block_us is None:
+        config = replace(config, flow_block_us=flows.block_length(packets))
     flagged = intel.ioc_match(packets, indicators)
     stages = counting_stages(flagged, config)
     return build_alerts(score_and_match(packets, flagged, stages, rules, config), config.mode)

@@ -69,8 +69,11 @@ def flow_record_features(records: DataFrame) -> DataFrame:
     )
 
 
-def block_length(packets: DataFrame, rows_per_block: int = 5_000_000, longest_us: int = BLOCK_US) -> int:
-    """Block length for dense captures: short enough that an average block of all flows holds ``rows_per_block``."""
+def block_length(packets: DataFrame, rows_per_block: int = 100_000_000, longest_us: int = BLOCK_US) -> int:
+    """Block length: short enough that an average block of all flows together holds ``rows_per_block``.
+
+    Reads one column. Long recordings get the usual length, a dense capture of a few minutes a shorter one.
+    """
     n, first, last = packets.agg(F.count(F.lit(1)), F.min("t_us"), F.max("t_us")).first()
     if not n:
         return longest_us

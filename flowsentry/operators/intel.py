@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions import scalars as S
-from flowsentry.session import fits_broadcast
+from flowsentry.session import fits_broadcast, materialize
 
 IOC_NAME = "ThreatIntel_IPv4_IOC"
 IOC_SEVERITY = 0.99
@@ -32,7 +32,8 @@ def ioc_match(rows: DataFrame, indicators: DataFrame, small: bool | None = None)
     Two equality joins, never one OR condition. The indicator side is replicated only when it was counted
     to be small; otherwise both joins shuffle by address and adaptive execution splits hot addresses.
     """
-    distinct = indicators.select("ip").distinct()
+    # Used by the count and by both joins.
+    distinct = materialize(indicators.select("ip").distinct(), "indicators")
     if small is None:
         small = fits_broadcast(distinct)
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,18 +20,21 @@ BAD = "_bad"
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines with a fixed schema; blank and malformed lines are dropped, a missing path is an empty table."""
     wide = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    reader = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+    lines = _if_present(lambda: reader.json(path))
+    if lines is None:
+        return spark.createDataFrame([], schema)
+    return lines.where(F.col(BAD).isNull()).drop(BAD)
+
+
+def _if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """Result of ``read``, or nothing if its path does not exist."""
     try:
-        lines = (
-            spark.read.schema(wide)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", BAD)
-            .json(path)
-        )
+        return read()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
-    return lines.where(F.col(BAD).isNull()).drop(BAD)
+        return None
 
 
 def read_alerts(spark: SparkSession, path: str, as_of: Column | None = None) -> DataFrame:
@@ -72,12 +77,16 @@ def numeric_flows(rows: DataFrame) -> DataFrame:
 def read_rules(
     spark: SparkSession, path: str, engine: str = "snort", tier: int = 2, pattern: str = "*.rules", **options
 ) -> DataFrame:
-    """Rules from a file or from all ``*.rules`` files below a folder, ordered by file and line."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(path)
-        .select(
+    """Rules from a file or from all ``*.rules`` files below a folder, ordered by file and line.
+
+    A single file with another ending needs its own ``pattern``. A missing path gives no rules.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    text = _if_present(lambda: reader.text(path))
+    if text is None:
+        lines = spark.createDataFrame([], f"ord {rule_ops.ORDER_TYPE}, line string")
+    else:
+        lines = text.select(
             F.col("value").alias("line"),
             rule_ops.rule_order(
                 tier,
@@ -87,12 +96,12 @@ def read_rules(
                 F.monotonically_increasing_id(),
             ).alias("ord"),
         )
-    )
     return rule_ops.parse_rules(lines, engine, **options)
 
 
 def read_ioc_text(spark: SparkSession, path: str) -> DataFrame:
-    return indicators_in_text(spark.read.text(path), "value")
+    text = _if_present(lambda: spark.read.text(path))
+    return indicators_in_text(spark.createDataFrame([], "value string") if text is None else text, "value")
 
 
 def read_pulses(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +132,9 @@ def read_feed_abuse(spark: SparkSession, path: str) -> DataFrame:
 
 def read_feed_c2(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Command-and-control feed: a top-level array (one whole document with ``multi_line``) or JSON lines."""
-    rows = spark.read.schema(schemas.C2_FEED).option("multiLine", multi_line).json(path)
+    rows = _if_present(lambda: spark.read.schema(schemas.C2_FEED).option("multiLine", multi_line).json(path))
+    if rows is None:
+        rows = spark.createDataFrame([], schemas.C2_FEED)
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return rows.select(
         F.trim("ip_address").alias("ip"),

@@ -49,7 +49,10 @@ def store(spark, tmp_path_factory):
 
 def test_reader_skips_broken_lines_and_missing_files(spark, store, tmp_path):
     assert store.count() == 7
-    assert readers.read_alerts(spark, str(tmp_path / "none")).count() == 0
+    none = str(tmp_path / "none")
+    for read in (readers.read_alerts, readers.read_rules, readers.read_ioc_text, readers.read_pulses, readers.read_feed_abuse,
+                 readers.read_feed_c2, readers.read_block_log, readers.read_feedback, readers.read_runs):
+        assert read(spark, none).isEmpty()
 
 
 def test_times_are_parsed_with_offsets(store):
