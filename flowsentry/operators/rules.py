@@ -163,4 +163,5 @@ def first_rule_match(rows: DataFrame, rules: DataFrame, limit: int = BROADCAST_R
         out = out.join(F.broadcast(group) if size <= limit else group, keys, "left")
     if not found:
         return rows.withColumn("rule", F.lit(None).cast(firsts.schema["_rule"].dataType))
-    return out.withColumn("rule", F.array_min(F.array(*found))).select(*rows.columns, "rule")
+    first = found[0] if len(found) == 1 else F.least(*found)
+    return out.withColumn("rule", first).select(*rows.columns, "rule")
