@@ -1,0 +1,16 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from flowsentry.session import local_session  # noqa: E402
+
+SF_SMALL = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return local_session(8, 4)
