@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm import common, packing, secrets, simhash
 from flowsentry.llm.queries import toxicity_scores
-from flowsentry.session import scratch_path
+from flowsentry.session import materialize, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,12 +21,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component; of its repeated rows one stays."""
+    """The document of smallest doc_id of each component.
+
+    Rows that share a doc_id (or have none) are one row where all columns are equal; rows without doc_id stay unless
+    their component has a document with one.
+    """
     common.prepare(spark)
-    member = simhash.near_duplicates(docs, width=4, distance=4)
+    member = materialize(simhash.near_duplicates(docs, width=4, distance=4).select("doc_id", "component_id"), "members")
     first = member.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    several = member.groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept"]), "left_semi").select(*COLUMNS)
+    once = kept.join(several, kept["doc_id"].eqNullSafe(several["again"]), "left_anti")
+    rest = kept.join(several, kept["doc_id"].eqNullSafe(several["again"]), "left_semi").dropDuplicates()
+    return once.unionByName(rest)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
