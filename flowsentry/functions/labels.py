@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowsentry.functions.scalars import strip
+
+# Fixed value: longest stored justification.
+JUSTIFICATION_CHARS = 500
+
 # Ports and weights of the fallback score.
 RISKY_PORTS = [21, 22, 23, 445, 3389]
 
@@ -68,15 +73,16 @@ def attack_class_hint(alert_type: Column) -> Column:
     return out
 
 
-def clean_justification(text: Column) -> Column:
-    """Trim, cut to 500 characters, then drop tags."""
-    return F.regexp_replace(F.substring(F.trim(F.coalesce(text, F.lit(""))), 1, 500), r"<[^>]+>", "")
+def clean_justification(text: Column, longest: int | None = JUSTIFICATION_CHARS) -> Column:
+    """Trim, cut to ``longest`` characters (None: keep all), then drop tags."""
+    kept = strip(F.coalesce(text, F.lit("")))
+    return F.regexp_replace(kept if longest is None else F.substring(kept, 1, longest), r"<[^>]+>", "")
 
 
 def justification_text(preset: Column, notes: Column, decision: Column) -> Column:
     """Text stored with a decision: preset and notes, or a standard sentence."""
     chosen = F.when(preset != "other", F.nullif(preset, F.lit("")))
-    joined = F.concat_ws(" — ", chosen, F.nullif(F.trim(notes), F.lit("")))
+    joined = F.concat_ws(" — ", chosen, F.nullif(strip(notes), F.lit("")))
     fallback = F.when(decision == "ignored", F.lit("No justification provided")).otherwise(F.lit("Confirmed threat"))
     return clean_justification(F.coalesce(F.nullif(joined, F.lit("")), fallback))
 

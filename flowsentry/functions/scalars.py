@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from flowsentry.schemas import MODEL_FEATURES
 
-# Word boundaries and digits as in Unicode text, so "é1.2.3.4" holds no address.
+# What counts as an address and as an alert id. Word boundaries are those of Unicode text, so "é1.2.3.4"
+# holds no address.
 IPV4_PATTERN = r"(?U)\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 UUID_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-PRIVATE_IP_PATTERN = r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.)"
 
 # Bit of every TCP flag letter.
 FLAG_BITS = {"F": 1, "S": 2, "R": 4, "P": 8, "A": 16, "U": 32, "E": 64, "C": 128}
@@ -52,9 +52,14 @@ def round4(x: Column) -> Column:
 
 
 def safe_double(x: Column, default: float | None = None) -> Column:
-    """Cast that yields ``default`` (or null) for text that is no number."""
+    """Cast that yields ``default`` (or null) for text that is no number; with a default, NaN is no number either."""
     value = x.try_cast("double")
-    return value if default is None else F.coalesce(value, F.lit(default))
+    return value if default is None else F.coalesce(F.nanvl(value, F.lit(default)), F.lit(default))
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
 def text_or(x: Column, default: str) -> Column:
@@ -64,7 +69,7 @@ def text_or(x: Column, default: str) -> Column:
 
 def parse_iso(text: Column, as_of: Column | None = None) -> Column:
     """ISO time, ``Z`` accepted; bad or empty text becomes ``as_of`` (null if none is given)."""
-    parsed = F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
+    parsed = F.try_to_timestamp(F.nullif(strip(text), F.lit("")))
     return parsed if as_of is None else F.coalesce(parsed, as_of)
 
 
@@ -94,7 +99,12 @@ def syn_only(proto: Column, flags: Column) -> Column:
 
 
 def private_ip(ip: Column) -> Column:
-    return F.coalesce(ip, F.lit("")).rlike(PRIVATE_IP_PATTERN)
+    """Addresses that begin with 10., 192.168. or 172.16. to 172.31."""
+    text = F.coalesce(ip, F.lit(""))
+    first, second = F.split_part(text, F.lit("."), F.lit(1)), F.split_part(text, F.lit("."), F.lit(2))
+    more, third = F.size(F.split(text, r"\.", -1)) > 1, F.size(F.split(text, r"\.", -1)) > 2
+    middle = second.isin([str(n) for n in range(16, 32)])
+    return ((first == "10") & more) | ((first == "192") & (second == "168") & third) | ((first == "172") & middle & third)
 
 
 def key_uuid(*parts: Column) -> Column:

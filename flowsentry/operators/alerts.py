@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from flowsentry.functions import labels as L
@@ -12,7 +12,7 @@ from flowsentry.functions import scalars as S
 from flowsentry.operators.cascade import signature_alerts
 
 GROUP_KEY = ["src_ip", "type", "window", "status"]
-PAGE_DEFAULT, PAGE_CAP = 500, 1000
+GROUP_ORDER = ["src_ip", "type", "window", "status"]
 
 # Network layers with the keywords that assign an alert type or source to them.
 LAYERS = [
@@ -162,17 +162,27 @@ def layer_mapping(alerts: DataFrame) -> DataFrame:
     return hits.select(F.inline(F.array(*rows)))
 
 
-def page(groups: DataFrame, limit: int = PAGE_DEFAULT) -> DataFrame:
-    """Newest groups first, never more than the page cap."""
-    return groups.orderBy(F.desc("latest_ts"), "src_ip", "type", "window", "status").limit(min(limit, PAGE_CAP))
+def page(groups: DataFrame, limit: int | None = None, after: Row | None = None) -> DataFrame:
+    """Groups, newest first; with ``limit`` a page of them.
+
+    ``after`` is the last row of the page before (latest_ts and the group key), so that all pages together hold all
+    groups, whatever arrives meanwhile.
+    """
+    if after is not None:
+        same = F.col("latest_ts") == F.lit(after["latest_ts"])
+        key = F.struct(*GROUP_ORDER)
+        last = F.struct(*[F.lit(after[c]).alias(c) for c in GROUP_ORDER])
+        groups = groups.where((F.col("latest_ts") < F.lit(after["latest_ts"])) | (same & (key > last)))
+    rows = groups.orderBy(F.desc("latest_ts"), *GROUP_ORDER)
+    return rows if limit is None else rows.limit(limit)
 
 
 def by_score(groups: DataFrame) -> DataFrame:
-    return groups.orderBy(F.desc("max_score"), "src_ip", "type", "window", "status")
+    return groups.orderBy(F.desc("max_score"), *GROUP_ORDER)
 
 
 def by_count(groups: DataFrame) -> DataFrame:
-    return groups.orderBy(F.desc("count"), "src_ip", "type", "window", "status")
+    return groups.orderBy(F.desc("count"), *GROUP_ORDER)
 
 
 def live_feed(groups: DataFrame, size: int = 12) -> DataFrame:

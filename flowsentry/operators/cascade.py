@@ -166,8 +166,14 @@ def build_alerts(scored: DataFrame, mode: str) -> DataFrame:
 def run_cascade(
     packets: DataFrame, indicators: DataFrame, rules: DataFrame, config: CascadeConfig | None = None
 ) -> DataFrame:
-    """Alerts for a bounded set of packets (or normalised events)."""
+    """Alerts for a bounded set of packets (or normalised events), each with its own ``event_id`` and a time.
+
+    Hits are joined back by ``event_id``, so rows without one, or without a time, are refused.
+    """
     config = config or CascadeConfig()
+    nameless = packets.where(F.col("event_id").isNull() | F.col("t_us").isNull()).limit(1).count()
+    if nameless:
+        raise ValueError("every event needs an event_id and a time; see readers.event_keys and readers.rejected_events")
     if config.flow_block_us is None:
         config = replace(config, flow_block_us=flows.block_length(packets))
     flagged = intel.ioc_match(packets, indicators)

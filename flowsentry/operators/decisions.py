@@ -13,31 +13,40 @@ from flowsentry.functions import labels as L
 from flowsentry.functions import scalars as S
 from flowsentry.operators.alerts import status_of
 
-ID_CAP = 500
 STATUSES = ["ignored", "resolved", "pending"]
 
 
-def validate_decisions(requests: DataFrame) -> DataFrame:
+def _requested(requests: DataFrame, max_ids: int | None) -> tuple[DataFrame, list[str]]:
+    """One row per id asked for, with ``refusal`` (null for a valid one)."""
+    other = [c for c in requests.columns if c not in ("ids", "new_status", "justification")]
+    rows = requests.select(
+        *other,
+        F.posexplode("ids").alias("_place", "id"),
+        F.lower(S.strip(F.coalesce("new_status", F.lit("pending")))).alias("new_status"),
+        L.clean_justification(F.col("justification")).alias("justification"),
+    ).withColumn("id", S.strip(F.col("id")))
+    refusal = F.when(~F.col("new_status").isin(STATUSES), F.lit("status"))
+    if max_ids is not None:
+        refusal = refusal.when(F.col("_place") >= max_ids, F.lit("too many ids"))
+    refusal = refusal.when(~F.coalesce(F.col("id").rlike(S.UUID_PATTERN), F.lit(False)), F.lit("no alert id"))
+    return rows.withColumn("refusal", refusal), other
+
+
+def validate_decisions(requests: DataFrame, max_ids: int | None = None) -> DataFrame:
     """Rows (ids, new_status, justification, ...) → one row per valid alert id.
 
-    Of every request the first 500 ids are looked at and those that are UUIDs stay; requests with another
-    status are dropped. Text is trimmed, cut and stripped of tags.
+    Ids that are no UUIDs and requests with another status are refused, see ``refused_decisions``; so are, if
+    ``max_ids`` is given, the ids of a request beyond that number. Text is trimmed, cut and stripped of tags.
     """
-    status = F.lower(F.trim(F.coalesce("new_status", F.lit("pending"))))
-    other = [c for c in requests.columns if c not in ("ids", "new_status", "justification")]
-    return (
-        requests.withColumn("new_status", status)
-        .where(F.col("new_status").isin(STATUSES))
-        .select(
-            *other,
-            F.explode(F.slice("ids", 1, ID_CAP)).alias("id"),
-            "new_status",
-            L.clean_justification(F.col("justification")).alias("justification"),
-        )
-        .withColumn("id", F.trim("id"))
-        .where(F.col("id").rlike(S.UUID_PATTERN))
-        .dropDuplicates([*other, "id", "new_status", "justification"])
-    )
+    rows, other = _requested(requests, max_ids)
+    kept = rows.where(F.col("refusal").isNull()).select(*other, "id", "new_status", "justification")
+    return kept.dropDuplicates([*other, "id", "new_status", "justification"])
+
+
+def refused_decisions(requests: DataFrame, max_ids: int | None = None) -> DataFrame:
+    """Every id ``validate_decisions`` leaves out, with the reason."""
+    rows, other = _requested(requests, max_ids)
+    return rows.where(F.col("refusal").isNotNull()).select(*other, "id", "new_status", "refusal")
 
 
 def effective_decisions(decisions: DataFrame) -> DataFrame:

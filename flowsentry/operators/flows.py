@@ -7,7 +7,9 @@ summary row per block and joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions import scalars as S
@@ -19,6 +21,17 @@ BLOCK_US = 600_000_000
 COUNTERS = ["in_pkts", "out_pkts", "in_bytes", "out_bytes", "duration_ms"]
 
 
+def input_place() -> Column:
+    """A number for each row of a scan that grows within a split in input order; the same whenever the splits are."""
+    return F.monotonically_increasing_id()
+
+
+def event_time() -> Column:
+    """Time of a JSON event: ``ts``, else ``timestamp`` as ISO text or as seconds since 1970."""
+    seconds = F.col("timestamp").try_cast("double")
+    return F.coalesce("ts", F.when(seconds.isNotNull(), F.timestamp_micros((seconds * 1_000_000).cast("long"))).otherwise(S.parse_iso(F.col("timestamp"))))
+
+
 def event_fields(events: DataFrame) -> DataFrame:
     """Normalised event columns from JSON-shaped events: alternative keys, defaults, upper-case protocol."""
     first = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names], F.lit("0.0.0.0"))
@@ -27,7 +40,7 @@ def event_fields(events: DataFrame) -> DataFrame:
     in_bytes = number("IN_BYTES", "double")
     return events.select(
         "event_id",
-        F.unix_micros("ts").alias("t_us"),
+        F.unix_micros(event_time() if "timestamp" in events.columns else F.col("ts")).alias("t_us"),
         first("src_ip", "src").alias("src_ip"),
         first("dest_ip", "dest").alias("dst_ip"),
         number("src_port", "int").alias("src_port"),
@@ -174,7 +187,11 @@ def running_flows(
     inherits = F.col("_head") & F.col("in_start").isNotNull()
     if open_sessions is not None:
         local = local.where(F.col("_frames").isNull())
-    joined = local.join(carry, [*FLOW_KEY, "_blk"], "left")
+    # A key part may be null; it still names one flow.
+    keys = [*FLOW_KEY, "_blk"]
+    named = carry.withColumnsRenamed({k: f"{k}_in" for k in keys})
+    same_flow = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_in")) for k in keys])
+    joined = local.join(named, same_flow, "left")
     return joined.select(
         *packets.columns,
         F.when(inherits, F.col("in_start")).otherwise(F.col("_start")).alias("session_start_us"),

@@ -12,7 +12,6 @@ from flowsentry.session import fits_broadcast, materialize
 
 IOC_NAME = "ThreatIntel_IPv4_IOC"
 IOC_SEVERITY = 0.99
-LIST_CAP = 500
 
 
 def indicators_in_text(texts: DataFrame, column: str) -> DataFrame:
@@ -77,6 +76,7 @@ def feed_counts(**feeds: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), counts)
 
 
-def capped(entries: DataFrame, order: list[Column], cap: int = LIST_CAP) -> DataFrame:
-    """The first ``cap`` entries of a display list."""
-    return entries.orderBy(*order).limit(cap)
+def listed(entries: DataFrame, order: list[Column], cap: int | None = None) -> DataFrame:
+    """Entries in display order; ``cap`` cuts the list for a display that wants no more."""
+    rows = entries.orderBy(*order)
+    return rows if cap is None else rows.limit(cap)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowsentry.functions import labels as L
 from flowsentry.functions import scalars as S
 from flowsentry.operators import alerts as A
-from flowsentry.operators import cascade, decisions
+from flowsentry.operators import cascade, decisions, intel
 from flowsentry.plans import inputs as I
 from flowsentry.plans import oracle as O
 from flowsentry.plans.catalog import Catalog
@@ -198,13 +198,11 @@ def register(c: Catalog) -> None:
 
     @c.add(
         "srt5_block_list",
-        ALERTS_AND + BLOCKS_SQL + " select src_ip, t_us, reason from blocks order by t_us desc, src_ip limit 500",
+        ALERTS_AND + BLOCKS_SQL + " select src_ip, t_us, reason from blocks order by t_us desc, src_ip",
     )
     def srt5(spark, sf):
-        from flowsentry.operators.intel import capped
-
         rows = block_log(spark, sf).select("src_ip", "t_us", "reason")
-        return capped(rows, [F.desc("t_us"), F.col("src_ip")])
+        return intel.listed(rows, [F.desc("t_us"), F.col("src_ip")])
 
     @c.add(
         "join6_layer_mapping",
@@ -215,7 +213,7 @@ def register(c: Catalog) -> None:
     def join6(spark, sf):
         return A.layer_mapping(alert_store(spark, sf)).select("layer", "name", "hit")
 
-    @c.add("srt1_groups_newest_first", DECIDED_SQL + f"select {SHOWN_SQL} from groups order by latest_us desc, {TIES} limit 500")
+    @c.add("srt1_groups_newest_first", DECIDED_SQL + f"select {SHOWN_SQL} from groups order by latest_us desc, {TIES}")
     def srt1(spark, sf):
         return shown(A.page(groups(spark, sf)))
 

@@ -66,7 +66,7 @@ def register(c: Catalog) -> None:
         O.WITH_FEATURES
         + """select src_ip, t_us // 60000000 * 60000000 as minute_us, 'xgboost_anomaly' as type, count(*) as n,
              max(ml) as max_score, max(t_us) as latest_us from scored where ml >= 0.75::double
-             group by 1, 2 order by latest_us desc, src_ip limit 500""",
+             group by 1, 2 order by latest_us desc, src_ip""",
     )
     def anomaly_minutes(spark, sf):
         hits = heuristic_alerts(spark, sf).where(F.col("anomaly") != "benign")
@@ -75,7 +75,6 @@ def register(c: Catalog) -> None:
             hits.groupBy("src_ip", minute.alias("minute_us"), F.col("anomaly").alias("type"))
             .agg(F.count(F.lit(1)).alias("n"), F.max("ml").alias("max_score"), F.max("t_us").alias("latest_us"))
             .orderBy(F.desc("latest_us"), "src_ip")
-            .limit(500)
         )
 
     @c.add("prj1_event_fields", O.chain(O.PACKETS, RAW_SQL) + "select * from raw")
@@ -97,17 +96,30 @@ def register(c: Catalog) -> None:
 
     @c.add(
         "prj3_protocol_code",
-        O.WITH_PACKETS + "select event_id, case proto when 'TCP' then 6 when 'UDP' then 17 else 0 end as code from packets",
+        O.WITH_PACKETS
+        + """select event_id, (case event_id % 5 when 0 then 1 when 1 then 0 else 6 end)::integer as every_kind,
+             case proto when 'TCP' then 6 when 'UDP' then 17 else 0 end as code from packets""",
     )
     def prj3(spark, sf):
-        return I.packets(spark, sf).select("event_id", S.protocol_code(F.col("proto")).alias("code"))
+        n = F.col("event_id") % 5
+        kind = F.when(n == 0, "ICMP").when(n == 1, "icmp").otherwise("TCP")
+        return I.packets(spark, sf).select(
+            "event_id", S.protocol_code(kind).alias("every_kind"), S.protocol_code(F.col("proto")).alias("code")
+        )
 
     @c.add(
         "prj4_tcp_flags_mask",
-        O.WITH_PACKETS + "select event_id, case flags when 'S' then 2 when 'SA' then 18 else 0 end as mask from packets",
+        O.WITH_PACKETS
+        + """select event_id, case flags when 'S' then 2 when 'SA' then 18 else 0 end as mask,
+             cast(event_id % 256 as integer) as every_mask from packets""",
     )
     def prj4(spark, sf):
-        return I.packets(spark, sf).select("event_id", S.tcp_flags_mask(F.col("flags")).alias("mask"))
+        letters = [F.when(F.col("event_id").bitwiseAND(bit) != 0, F.lit(letter)) for letter, bit in S.FLAG_BITS.items()]
+        # Letters in any order, some of them twice, and one that means nothing.
+        text = F.concat(F.reverse(F.concat_ws("", *letters)), F.lit("x"), F.concat_ws("", *letters[::3]))
+        return I.packets(spark, sf).select(
+            "event_id", S.tcp_flags_mask(F.col("flags")).alias("mask"), S.tcp_flags_mask(text).alias("every_mask")
+        )
 
     @c.add("prj6_heuristic_score", O.WITH_FEATURES + "select event_id, round(ml, 6) as score from scored")
     def prj6(spark, sf):

@@ -41,6 +41,7 @@ MODEL_STRUCT = _struct(**{name: _D for name in MODEL_FEATURES})
 EVENT_JSON = _struct(
     event_id=_L,
     ts=T.TimestampType(),
+    timestamp=_S,
     src_ip=_S,
     src=_S,
     dest_ip=_S,
@@ -57,6 +58,7 @@ EVENT_JSON = _struct(
     FLOW_DURATION_MILLISECONDS=_D,
 )
 
+# Field names of stored alerts.
 ALERT_JSON = _struct(
     id=_S,
     timestamp=_S,
@@ -96,6 +98,7 @@ PULSE_PAGE = _struct(
     results=T.ArrayType(_struct(indicators=T.ArrayType(_struct(type=_S, indicator=_S)))),
 )
 
+# Field names of the two address feeds.
 ABUSE_FEED = _struct(
     data=T.ArrayType(
         _struct(
@@ -119,6 +122,7 @@ C2_FEED = _struct(
     port=_S,
 )
 
+# Field names of training runs.
 RUN = _struct(
     run_id=_S,
     timestamp=_S,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,17 +15,64 @@ from flowsentry.functions import scalars as S
 from flowsentry.operators import flows, rules as rule_ops
 from flowsentry.operators.intel import indicators_in_text
 
-BAD = "_bad"
+def json_lines(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """JSON objects with the columns of ``schema``, one per line or, with ``multi_line``, one per file.
 
-
-def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with a fixed schema; blank and malformed lines are dropped, a missing path is an empty table."""
-    wide = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    reader = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
-    lines = _if_present(lambda: reader.json(path))
-    if lines is None:
+    Whether a row counts is decided on its text alone: it must be a JSON object. Its fields are read as text and then
+    converted, so a number in quotes or with a fraction is still a number, and a value that cannot be converted is null
+    in its own column only. Blank and malformed rows are left out, see ``rejected_lines``; a missing path is an empty table.
+    """
+    text = _texts(spark, path, multi_line)
+    if text is None:
         return spark.createDataFrame([], schema)
-    return lines.where(F.col(BAD).isNull()).drop(BAD)
+    return parsed(text.where(_is_object(F.col("value"))), schema)
+
+
+def rejected_lines(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(file, value): what ``json_lines`` leaves out of this path, blank lines apart."""
+    text = _texts(spark, path, multi_line)
+    if text is None:
+        return spark.createDataFrame([], "file string, value string")
+    rest = text.where(~_is_object(F.col("value")) & (S.strip(F.col("value")) != ""))
+    return rest.select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def parsed(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of ``schema`` from the JSON text in ``value``; other columns of ``text`` but ``value`` stay in front."""
+    others = [c for c in text.columns if c != "value"]
+    fields = text.select(*others, F.from_json("value", _as_text(schema)).alias("_json"))
+    return fields.select(*others, *[_typed(F.col("_json")[f.name], f.dataType).alias(f.name) for f in schema])
+
+
+def _texts(spark: SparkSession, path: str, multi_line: bool) -> DataFrame | None:
+    return _if_present(lambda: spark.read.text(path, wholetext=multi_line))
+
+
+def _is_object(text: Column) -> Column:
+    return F.json_object_keys(text).isNotNull()
+
+
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The same layout with text in place of numbers, times and booleans."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType))
+    return kind if isinstance(kind, T.MapType) else T.StringType()
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = [_typed(value[f.name], f.dataType).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _typed(x, kind.elementType))
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        name = kind.simpleString()
+        return F.coalesce(value.try_cast(name), value.try_cast("double").try_cast(name))
+    if isinstance(kind, T.TimestampType):
+        return S.parse_iso(value)
+    return value if isinstance(kind, (T.StringType, T.MapType)) else value.try_cast(kind.simpleString())
 
 
 def _if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
@@ -44,26 +92,75 @@ def read_alerts(spark: SparkSession, path: str, as_of: Column | None = None) ->
 
 
 def read_flow_events(spark: SparkSession, path: str) -> DataFrame:
-    return flows.event_fields(json_lines(spark, path, schemas.EVENT_JSON))
+    """Normalised events. One without ``event_id`` is named by its place in the input, see ``event_keys``."""
+    text = _texts(spark, path, False)
+    if text is None:
+        return flows.event_fields(spark.createDataFrame([], schemas.EVENT_JSON)).where("t_us is not null")
+    rows = text.where(_is_object(F.col("value"))).select("value", flows.input_place().alias("_place"))
+    return flows.event_fields(event_keys(parsed(rows, schemas.EVENT_JSON))).where("t_us is not null")
+
+
+def rejected_events(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, reason) of the lines ``read_flow_events`` leaves out: malformed ones and events without a time."""
+    text = _texts(spark, path, False)
+    if text is None:
+        return spark.createDataFrame([], "file string, value string, reason string")
+    lines = text.select(F.col("_metadata.file_path").alias("file"), "value", F.col("value").alias("line"))
+    timeless = parsed(lines.where(_is_object(F.col("line"))), schemas.EVENT_JSON).where(flows.event_time().isNull())
+    return (
+        rejected_lines(spark, path)
+        .withColumn("reason", F.lit("malformed"))
+        .unionByName(timeless.select("file", F.col("line").alias("value"), F.lit("no time").alias("reason")))
+    )
+
+
+def event_keys(events: DataFrame) -> DataFrame:
+    """Fill missing event ids from ``_place``: negative numbers that grow in input order, unlike any given id."""
+    given = F.col("event_id")
+    return events.withColumn("event_id", F.coalesce(given, F.col("_place") - F.lit(1 << 62))).drop("_place")
 
 
 def stream_flow_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Events as a stream; malformed lines are dropped."""
-    wide = T.StructType([*schemas.EVENT_JSON.fields, T.StructField(BAD, T.StringType())])
-    reader = spark.readStream.schema(wide).option("columnNameOfCorruptRecord", BAD)
+    """Events as a stream; malformed lines are left out. Events without a time stay in, for the table of late rows.
+
+    An event without an id is named by a digest of its file and text: within a stream no place in the input is known.
+    """
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return flows.event_fields(reader.json(path).where(F.col(BAD).isNull()).drop(BAD))
+    text = reader.text(path)
+    digest = F.shiftrightunsigned(F.xxhash64("_metadata.file_path", "value"), 1)
+    rows = text.where(_is_object(F.col("value"))).select("value", digest.alias("_place"))
+    return flows.event_fields(event_keys(parsed(rows, schemas.EVENT_JSON)))
 
 
 def read_flow_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """Flow training rows: only the needed columns, anything that is no number becomes 0.
+    """Flow training rows: only the needed columns, by the header of each file; what is no number becomes 0.
 
-    ``row_no`` tells equal rows apart, so that sampling spreads them.
+    Files are read in one scan for each order of columns that occurs. ``row_no`` tells equal rows apart, so that
+    sampling spreads them.
     """
-    lines = spark.read.option("header", True).option("recursiveFileLookup", True).csv(list(paths))
+    reader = spark.read.option("recursiveFileLookup", True)
+    first = reader.text(list(paths)).where("_metadata.file_block_start = 0")
+    headers = (
+        first.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
+        .groupBy("file")
+        .agg(F.min_by("value", "n").alias("header"))
+    )
+    layouts = [r["header"] for r in headers.select("header").distinct().collect()]  # column orders, not files
+    if len(layouts) < 2:
+        return _flow_csv(reader.option("header", True).csv(list(paths)))
+    parts = [
+        _flow_csv(spark.read.option("header", True).csv([r["file"] for r in headers.where(F.col("header") == h).collect()]))
+        for h in layouts
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _flow_csv(lines: DataFrame) -> DataFrame:
+    columns = [F.col(c) if c in lines.columns else F.lit(None).cast("string").alias(c) for c in schemas.FLOW_CSV_COLUMNS]
     rows = lines.select(
-        *schemas.FLOW_CSV_COLUMNS,
+        *columns,
         F.col("_metadata.file_path").alias("source_file"),
         F.monotonically_increasing_id().alias("row_no"),
     )
@@ -74,14 +171,23 @@ def numeric_flows(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: S.safe_double(F.col(c), 0.0) for c in schemas.FLOW_CSV_COLUMNS})
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system that holds the path, as Spark's own readers do."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isFile()
+
+
 def read_rules(
     spark: SparkSession, path: str, engine: str = "snort", tier: int = 2, pattern: str = "*.rules", **options
 ) -> DataFrame:
-    """Rules from a file or from all ``*.rules`` files below a folder, ordered by file and line.
+    """Rules from any single file or from all ``*.rules`` files below a folder, ordered by file and line.
 
-    A single file with another ending needs its own ``pattern``. A missing path gives no rules.
+    A missing path gives no rules.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    reader = spark.read.option("recursiveFileLookup", True)
+    if not _is_file(spark, path):
+        reader = reader.option("pathGlobFilter", pattern)
     text = _if_present(lambda: reader.text(path))
     if text is None:
         lines = spark.createDataFrame([], f"ord {rule_ops.ORDER_TYPE}, line string")
@@ -104,24 +210,24 @@ def read_ioc_text(spark: SparkSession, path: str) -> DataFrame:
     return indicators_in_text(spark.createDataFrame([], "value string") if text is None else text, "value")
 
 
-def read_pulses(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct valid IPv4 indicators of stored pulse pages (one JSON document per line)."""
-    pages = json_lines(spark, path, schemas.PULSE_PAGE)
+def read_pulses(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Distinct valid IPv4 indicators of stored pulse pages, one per line or one per file."""
+    pages = json_lines(spark, path, schemas.PULSE_PAGE, multi_line)
     return (
         pages.select(F.explode("results").alias("r"))
         .select(F.explode("r.indicators").alias("i"))
         .where(F.col("i.type") == "IPv4")
-        .select(F.trim("i.indicator").alias("ip"))
+        .select(S.strip(F.col("i.indicator")).alias("ip"))
         .where(S.valid_ipv4(F.col("ip")))
         .distinct()
     )
 
 
-def read_feed_abuse(spark: SparkSession, path: str) -> DataFrame:
+def read_feed_abuse(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Address reputation feed: field ``data`` holds the entries."""
-    entries = json_lines(spark, path, schemas.ABUSE_FEED).select(F.explode("data").alias("e"))
+    entries = json_lines(spark, path, schemas.ABUSE_FEED, multi_line).select(F.explode("data").alias("e"))
     return entries.select(
-        F.trim("e.ipAddress").alias("ip"),
+        S.strip(F.col("e.ipAddress")).alias("ip"),
         F.coalesce("e.abuseConfidenceScore", F.lit(0)).alias("abuse_score"),
         F.coalesce("e.countryCode", F.lit("")).alias("country"),
         F.coalesce("e.isp", F.lit("")).alias("isp"),
@@ -137,7 +243,7 @@ def read_feed_c2(spark: SparkSession, path: str, multi_line: bool = False) -> Da
         rows = spark.createDataFrame([], schemas.C2_FEED)
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return rows.select(
-        F.trim("ip_address").alias("ip"),
+        S.strip(F.col("ip_address")).alias("ip"),
         *[text(c) for c in ("malware", "status", "country", "first_seen", "last_online", "port")],
     ).where(F.coalesce("ip", F.lit("")) != "")
 
