@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,20 +26,31 @@ def indicator_union(*sets: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [s.select("ip") for s in sets]).distinct()
 
 
-def ioc_match(rows: DataFrame, indicators: DataFrame, small: bool | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class IndicatorSet:
+    """Distinct indicators, written once, and whether they were counted to be small."""
+
+    ips: DataFrame
+    small: bool
+
+
+def indicator_set(indicators: DataFrame) -> IndicatorSet:
+    ips = materialize(indicators.select("ip").distinct(), "indicators")
+    return IndicatorSet(ips, fits_broadcast(ips))
+
+
+def ioc_match(rows: DataFrame, indicators: DataFrame | IndicatorSet) -> DataFrame:
     """Add ``ioc``: source or destination address is an indicator.
 
     Two equality joins, never one OR condition. The indicator side is replicated only when it was counted
-    to be small; otherwise both joins shuffle by address and adaptive execution splits hot addresses.
+    to be small; otherwise both joins shuffle by address and adaptive execution splits hot addresses. A job that matches
+    more than once prepares an ``indicator_set``.
     """
-    # Used by the count and by both joins.
-    distinct = materialize(indicators.select("ip").distinct(), "indicators")
-    if small is None:
-        small = fits_broadcast(distinct)
-    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    known = indicators if isinstance(indicators, IndicatorSet) else indicator_set(indicators)
+    side = F.broadcast if known.small else (lambda df: df)
     out = rows
     for address in ("src_ip", "dst_ip"):
-        hits = distinct.select(F.col("ip").alias(address), F.lit(True).alias(f"_{address}_hit"))
+        hits = known.ips.select(F.col("ip").alias(address), F.lit(True).alias(f"_{address}_hit"))
         out = out.join(side(hits), address, "left")
     hit = F.coalesce("_src_ip_hit", "_dst_ip_hit", F.lit(False))
     return out.select(*rows.columns, hit.alias("ioc"))
@@ -71,7 +83,7 @@ def search_blocked(entries: DataFrame, query: str) -> DataFrame:
 
 
 def feed_counts(**feeds: DataFrame) -> DataFrame:
-    """Entries per feed, counted before any display cap."""
+    """Entries per feed or list, counted before any display cap."""
     counts = [df.agg(F.count(F.lit(1)).alias("entries")).select(F.lit(n).alias("feed"), "entries") for n, df in feeds.items()]
     return reduce(lambda a, b: a.unionByName(b), counts)
 

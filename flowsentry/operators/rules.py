@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,13 +125,16 @@ def rule_union(*lists: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [r.select(*RULE_COLUMNS) for r in lists])
 
 
-def first_rule_match(rows: DataFrame, rules: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Add ``rule`` = struct(ord, name, severity, sid, source_engine) of the first rule a row satisfies, or null.
+@dataclass(frozen=True)
+class RuleTable:
+    """The first rule for each set of field values, written once, and the size of each group of fixed fields."""
 
-    Null and 0/empty rule fields are wildcards. Rules are grouped by the set of fields they fix (at most 16
-    groups) and reduced to the first rule per field values, so each group is one equality join that cannot
-    multiply rows. A group is replicated only if it was counted to be small.
-    """
+    firsts: DataFrame
+    groups: dict[int, int]
+
+
+def rule_table(rules: DataFrame) -> RuleTable:
+    """Null and 0/empty rule fields are wildcards; rules are grouped by the set of fields they fix (at most 16 groups)."""
     fixed = {
         "src_ip": F.coalesce("src_ip", F.lit("")) != "",
         "dst_ip": F.coalesce("dst_ip", F.lit("")) != "",
@@ -148,11 +152,20 @@ def first_rule_match(rows: DataFrame, rules: DataFrame, limit: int = BROADCAST_R
     firsts = materialize(firsts, "rules")
     # One row per field combination, never more than 16.
     groups = {r["_mask"]: r["n"] for r in firsts.groupBy("_mask").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return RuleTable(firsts, groups)
 
+
+def first_rule_match(rows: DataFrame, rules: DataFrame | RuleTable, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Add ``rule`` = struct(ord, name, severity, sid, source_engine) of the first rule a row satisfies, or null.
+
+    Each group of a ``rule_table`` holds the first rule per field values, so it is one equality join that cannot
+    multiply rows. A group is replicated only if it was counted to be small.
+    """
+    table = rules if isinstance(rules, RuleTable) else rule_table(rules)
     out, found = rows, []
-    for number, size in sorted(groups.items()):
+    for number, size in sorted(table.groups.items()):
         keys = [f for i, f in enumerate(MATCH_FIELDS) if number >> i & 1]
-        group = firsts.where(F.col("_mask") == number)
+        group = table.firsts.where(F.col("_mask") == number)
         if not keys:
             # Only one rule can be first without any condition; it is a scalar, not a join.
             found.append(group.select("_rule").scalar())
@@ -162,6 +175,6 @@ def first_rule_match(rows: DataFrame, rules: DataFrame, limit: int = BROADCAST_R
         group = group.select(*keys, F.col("_rule").alias(name))
         out = out.join(F.broadcast(group) if size <= limit else group, keys, "left")
     if not found:
-        return rows.withColumn("rule", F.lit(None).cast(firsts.schema["_rule"].dataType))
+        return rows.withColumn("rule", F.lit(None).cast(table.firsts.schema["_rule"].dataType))
     first = found[0] if len(found) == 1 else F.least(*found)
     return out.withColumn("rule", first).select(*rows.columns, "rule")

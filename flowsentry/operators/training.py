@@ -11,8 +11,6 @@ from flowsentry.session import fits_broadcast, materialize
 
 FEEDBACK_CAP = 100_000
 VALIDATION_RATIO = 0.2
-#: Hash buckets per stratum; only the one bucket that straddles the target is ever ranked.
-SAMPLE_BUCKETS = 65_536
 
 
 def training_features(rows: DataFrame, *keep: str) -> DataFrame:
@@ -42,24 +40,25 @@ def class_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def allocate_targets(
-    counts: list[tuple[str, int, int]], benign_ratio: float, attack_ratio: float, max_samples: int
-) -> list[tuple[str, int, int]]:
-    """Rows to take per file and class so that the whole sample has the wanted ratio.
+def allocate_targets(counts: DataFrame, benign_ratio: float, attack_ratio: float, max_samples: int) -> DataFrame:
+    """Rows to take per file and class, (source_file, benign, attack), so that the whole sample has the wanted ratio.
 
-    ``counts`` has one (file, benign, attack) entry per file; shares are rounded half to even and the last
-    file takes what is left.
+    ``counts`` has one row per file. Shares are rounded half to even and the last file, by name, takes what is left. Only
+    sums over all files come to the driver.
     """
-    benign, attack = sum(c[1] for c in counts), sum(c[2] for c in counts)
-    if not benign or not attack:
+    sums = counts.agg(F.sum("benign"), F.sum("attack"), F.max("source_file")).first()
+    available, last = {"benign": sums[0], "attack": sums[1]}, sums[2]
+    if not all(available.values()):
         raise ValueError("training data must hold both benign and attack rows")
-    total = int(min(max_samples, benign / benign_ratio, attack / attack_ratio))
-    want_benign = int(total * benign_ratio)
-    want_attack = total - want_benign
-    plan = [(f, round(want_benign * (b / benign)), round(want_attack * (a / attack))) for f, b, a in counts[:-1]]
-    left_benign = max(0, want_benign - sum(p[1] for p in plan))
-    left_attack = max(0, want_attack - sum(p[2] for p in plan))
-    return [*plan, (counts[-1][0], left_benign, left_attack)]
+    total = int(min(max_samples, available["benign"] / benign_ratio, available["attack"] / attack_ratio))
+    want = {"benign": int(total * benign_ratio)}
+    want["attack"] = total - want["benign"]
+    share = {c: F.bround(want[c] * (F.col(c) / available[c]), 0).cast("long").alias(c) for c in available}
+    shares = counts.select("source_file", *share.values())
+    is_last = F.col("source_file") == last
+    taken = shares.where(~is_last).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in available]).first()
+    rest = {c: F.when(is_last, max(0, want[c] - taken[c])).otherwise(F.col(c)).alias(c) for c in available}
+    return shares.select("source_file", *rest.values())
 
 
 def with_hash(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
@@ -123,10 +122,9 @@ def stratified_sample(
     return mark_sample(rows, strata, targets, key, seed, per_bucket).where("chosen").drop("chosen")
 
 
-def class_targets(plan: list[tuple[str, int, int]], rows: DataFrame) -> DataFrame:
+def class_targets(plan: DataFrame) -> DataFrame:
     """Sampling plan as (source_file, label, n) rows."""
-    flat = [(f, label, n) for f, benign, attack in plan for label, n in ((0, benign), (1, attack))]
-    return rows.sparkSession.createDataFrame(flat, "source_file string, label int, n long")
+    return plan.select("source_file", F.stack(F.lit(2), F.lit(0), F.col("benign"), F.lit(1), F.col("attack")).alias("label", "n"))
 
 
 def balanced_sample(
@@ -141,9 +139,7 @@ def balanced_sample(
         F.sum(F.when(F.col("label") == 0, F.col("_rows")).otherwise(0)).alias("benign"),
         F.sum(F.when(F.col("label") == 1, F.col("_rows")).otherwise(0)).alias("attack"),
     )
-    # One row per data file.
-    counts = sorted((r["source_file"], r["benign"], r["attack"]) for r in per_file.collect())
-    targets = class_targets(allocate_targets(counts, benign_ratio, attack_ratio, max_samples), rows)
+    targets = class_targets(allocate_targets(per_file, benign_ratio, attack_ratio, max_samples))
     return stratified_sample(features, strata, targets, key, seed, per_bucket)
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.operators import flows, models, training
+from flowsentry.functions import scalars as S
+from flowsentry.operators import decisions, flows, models, training
 from flowsentry.plans import inputs as I
 from flowsentry.plans import oracle as O
 from flowsentry.plans.alert_views import DECIDED_SQL, decided
 from flowsentry.plans.catalog import Catalog
 from flowsentry.schemas import FLOW_CSV_COLUMNS, MODEL_FEATURES
 from flowsentry.session import scratch_path
+from flowsentry.plans.stores import written_lines
 from flowsentry.sources import readers, sinks
 
 FLOWS_SQL = """flows as (select l_orderkey, l_partkey, l_linenumber, l_linestatus as source_file,
@@ -107,16 +109,33 @@ ROUNDED_FEATURES = ", ".join(f"round({f}::double, 6) as {f}" for f in MODEL_FEAT
 
 
 def register(c: Catalog) -> None:
-    for name in ("prj5_training_features", "ml3_training_features"):
-        c.add(
-            name,
-            f"with {FLOWS_SQL} select l_orderkey, l_partkey, l_linenumber, {ROUNDED_FEATURES}, label from "
-            f"(select l_orderkey, l_partkey, l_linenumber, {FEATURE_SQL} from flows)",
-        )(
-            lambda spark, sf: doubles(
-                training.training_features(numeric(spark, sf), "l_orderkey", "l_partkey", "l_linenumber")
-            )
-        )
+    @c.add(
+        "prj5_training_features",
+        f"with {FLOWS_SQL} select l_orderkey, l_partkey, l_linenumber, {ROUNDED_FEATURES}, label from "
+        f"(select l_orderkey, l_partkey, l_linenumber, {FEATURE_SQL} from flows)",
+    )
+    def prj5(spark, sf):
+        return doubles(training.training_features(numeric(spark, sf), "l_orderkey", "l_partkey", "l_linenumber"))
+
+    @c.add(
+        "ml3_training_features",
+        f"""with {FLOWS_SQL} select source_file, label, count(*) as n, sum(total_frames::double) as frames,
+            sum(total_bytes::double) as bytes, max(protocol::double) as protocol
+            from (select source_file, {FEATURE_SQL} from flows) group by 1, 2""",
+    )
+    def ml3(spark, sf):
+        """The same features from the written flow files, as the training job reads them."""
+        path = scratch_path(spark, "flow-files")
+        rows = I.training_flows(spark, sf).select("source_file", *FLOW_CSV_COLUMNS)
+        rows.write.option("header", True).partitionBy("source_file").csv(path)
+        flow_rows = readers.read_flow_csv(spark, path)
+        named = flow_rows.withColumn("source_file", F.regexp_extract("source_file", "source_file=([^/]*)", 1))
+        features = training.training_features(named, "source_file")
+        total = lambda c, name: F.sum(F.col(c).cast("double")).alias(name)
+        return features.groupBy("source_file", "label").agg(
+            F.count(F.lit(1)).alias("n"), total("total_frames", "frames"), total("total_bytes", "bytes"),
+            F.max(F.col("protocol").cast("double")).alias("protocol"),
+        )
 
     @c.add("agg9_class_counts", f"with {FLOWS_SQL} select source_file, benign, attack from counts")
     def agg9(spark, sf):
@@ -124,10 +143,7 @@ def register(c: Catalog) -> None:
 
     @c.add("ml1_allocate_targets", f"with {FLOWS_SQL} select source_file, benign, attack from targets")
     def ml1(spark, sf):
-        rows = training.class_counts(numeric(spark, sf))
-        counts = sorted((r["source_file"], r["benign"], r["attack"]) for r in rows.collect())
-        plan = training.allocate_targets(counts, 0.9, 0.1, 20_000)
-        return spark.createDataFrame(plan, "source_file string, benign long, attack long")
+        return training.allocate_targets(training.class_counts(numeric(spark, sf)), 0.9, 0.1, 20_000)
 
     @c.add(
         "ml2_stratified_sample",
@@ -148,10 +164,23 @@ def register(c: Catalog) -> None:
         return split.select("l_orderkey", "l_partkey", "l_linenumber", "label", "is_val")
 
     feedback_sql = DECIDED_SQL.rstrip() + ",\n" + FEEDBACK_SQL
-    for name in ("src9_read_feedback", "ml4_feedback_samples"):
-        c.add(name, feedback_sql + f" select alert_id, {ROUNDED_FEATURES}, label from feedback")(
-            lambda spark, sf: doubles(training.feedback_samples(written_feedback(spark, sf)))
-        )
+
+    @c.add("ml4_feedback_samples", feedback_sql + f" select alert_id, {ROUNDED_FEATURES}, label from feedback")
+    def ml4(spark, sf):
+        return doubles(training.feedback_samples(written_feedback(spark, sf)))
+
+    @c.add(
+        "src9_read_feedback",
+        DECIDED_SQL
+        + """select id as alert_id, status as decision, type, src_ip, t_us, event_id + 8400000000 as decision_us
+             from decided where status in ('ignored', 'resolved')""",
+    )
+    def src9(spark, sf):
+        rows = readers.read_feedback(spark, written_lines(decisions.feedback_rows(decided(spark, sf)), "feedback-lines"))
+        return rows.select(
+            "alert_id", "decision", "alert.type", "alert.src_ip", F.unix_micros(S.parse_iso(F.col("alert.timestamp"))).alias("t_us"),
+            F.unix_micros(S.parse_iso(F.col("decision_timestamp"))).alias("decision_us"),
+        )
 
     union_sql = (
         feedback_sql + ", " + FLOWS_SQL

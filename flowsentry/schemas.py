@@ -86,7 +86,7 @@ FEEDBACK_JSON = _struct(
     decision_timestamp=_S,
     decision=_S,
     alert_id=_S,
-    alert=_struct(id=_S, type=_S, model_features=T.MapType(_S, _S)),
+    alert=_struct(id=_S, timestamp=_S, type=_S, src_ip=_S, model_features=T.MapType(_S, _S)),
     justification=_S,
 )
 

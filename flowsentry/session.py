@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Upper bound for a table that may be replicated to every executor.
+#: Upper bounds for a table that may be replicated to every executor.
 BROADCAST_ROW_LIMIT = 200_000
+BROADCAST_BYTES = 8 << 20
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -61,6 +64,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` holds at most ``limit`` rows; reads no more than ``limit + 1``."""
-    return df.limit(limit + 1).count() <= limit
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` holds at most ``limit`` rows of ``most_bytes`` in all; reads no more than ``limit + 1`` rows."""
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in df.dtypes if kind in ("string", "binary")]
+    size = reduce(lambda a, b: a + b, texts, F.lit(16 * max(1, len(df.columns))))
+    rows, total = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= limit and total <= most_bytes

@@ -1,3 +1,5 @@
+import bisect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +10,15 @@ from flowsentry.sources import readers, sinks
 from tests.conftest import SF_SMALL
 
 
-def test_targets_follow_the_ratio_and_the_last_file_takes_the_rest():
-    assert training.allocate_targets([("a", 700, 50), ("b", 300, 25)], 0.9, 0.1, 10_000) == [("a", 472, 50), ("b", 203, 25)]
-    assert training.allocate_targets([("a", 700, 50), ("b", 300, 25)], 0.9, 0.1, 100) == [("a", 63, 7), ("b", 27, 3)]
+def test_targets_follow_the_ratio_and_the_last_file_takes_the_rest(spark):
+    def targets(rows, most):
+        counts = spark.createDataFrame(rows, "source_file string, benign long, attack long")
+        return sorted(map(tuple, training.allocate_targets(counts, 0.9, 0.1, most).collect()))
+
+    assert targets([("b", 300, 25), ("a", 700, 50)], 10_000) == [("a", 472, 50), ("b", 203, 25)]
+    assert targets([("a", 700, 50), ("b", 300, 25)], 100) == [("a", 63, 7), ("b", 27, 3)]
     with pytest.raises(ValueError):
-        training.allocate_targets([("a", 700, 0)], 0.9, 0.1, 100)
+        targets([("a", 700, 0)], 100)
 
 
 def test_samples_are_exact_and_repeatable(spark):
@@ -38,29 +44,28 @@ def test_split_takes_a_fifth_of_each_class(spark):
     assert {(r["label"], r["is_val"]): r["count"] for r in got} == {(0, True): 20, (0, False): 80, (1, True): 1, (1, False): 8}
 
 
-def sweep(scores):
-    """Plain threshold sweep."""
-    best = None
+def best_threshold(scores):
+    """From the sorted scores: F1 is 2 tp over the number of alarms plus the number of attacks."""
+    attacks = sum(y for y, _ in scores)
+    ordered = sorted(p for _, p in scores)
+    hits = sorted(p for y, p in scores if y)
+    found = []
     for t in np.arange(0.20, 0.96, 0.01):
-        tp = sum(1 for y, p in scores if p >= t and y == 1)
-        fp = sum(1 for y, p in scores if p >= t and y == 0)
-        fn = sum(1 for y, p in scores if p < t and y == 1)
-        precision = tp / (tp + fp) if tp + fp else 0.0
-        recall = tp / (tp + fn) if tp + fn else 0.0
-        f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-        if best is None or f1 > best[1]:
-            best = (float(t), f1, precision, recall)
-    return best
+        alarms = len(ordered) - bisect.bisect_left(ordered, t)
+        tp = len(hits) - bisect.bisect_left(hits, t)
+        found.append((2 * tp / max(1, alarms + attacks), -t, tp / max(1, alarms), tp / max(1, attacks)))
+    f1, t, precision, recall = max(found)
+    return float(-t), f1, precision, recall
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_threshold_equals_a_plain_sweep(spark, seed):
+def test_threshold_equals_sorted_counts(spark, seed):
     rnd = np.random.default_rng(seed)
     ticks = np.arange(0.20, 0.96, 0.01)
     probs = np.concatenate([rnd.random(200), ticks, np.nextafter(ticks, 0), [0.35, 0.0, 1.0]])
     scores = [(int(rnd.random() < p), float(p)) for p in probs]
     got = models.pick_threshold(spark.createDataFrame(scores, "label int, prob double")).first()
-    assert tuple(got) == pytest.approx(sweep(scores), abs=1e-12)
+    assert tuple(got) == pytest.approx(best_threshold(scores), abs=1e-12)
 
 
 def test_threshold_without_attacks(spark):
