@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions import labels as L
 from flowsentry.functions import scalars as S
 from flowsentry.operators.cascade import signature_alerts
+from flowsentry.session import materialize
 
 GROUP_KEY = ["src_ip", "type", "window", "status"]
 GROUP_ORDER = ["src_ip", "type", "window", "status"]
@@ -177,6 +178,17 @@ def page(groups: DataFrame, limit: int | None = None, after: Row | None = None)
     return rows if limit is None else rows.limit(limit)
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """Add ``place`` = 1, 2, ... to rows in their order: rows are counted by partition, no task sees all of them."""
+    row = F.monotonically_increasing_id()
+    rows = materialize(ordered.withColumns({"_part": F.shiftright(row, 33), "_row": row.bitwiseAND((1 << 33) - 1)}), "ordered")
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    before = rows.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+    return rows.join(before.select("_part", "_before"), "_part").select(
+        *ordered.columns, (F.col("_before") + F.col("_row") + 1).alias("place")
+    )
+
+
 def by_score(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.desc("max_score"), *GROUP_ORDER)
 

@@ -18,12 +18,15 @@ from flowsentry.sources import readers, sinks
 
 AS_OF_US = 8_400_000_000
 
-_STORES: dict[tuple[str, str], DataFrame] = {}
+_STORES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def alert_store(spark: SparkSession, sf: str) -> DataFrame:
-    """The alerts of the whole packet table, detected once per session and kept as a written table."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The alerts of the whole packet table, kept as a written table as long as its input files stay as they are."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    version = ",".join(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found)
+    key = (spark.sparkContext.applicationId, sf, version)
     if key not in _STORES:
         _STORES[key] = materialize(full_cascade(spark, sf), "alerts")
     return _STORES[key]
@@ -217,13 +220,16 @@ def register(c: Catalog) -> None:
     def srt1(spark, sf):
         return shown(A.page(groups(spark, sf)))
 
-    @c.add("srt2_groups_by_score", DECIDED_SQL + f"select {SHOWN_SQL} from groups")
+    def place(first: str) -> str:
+        return f"select {SHOWN_SQL}, row_number() over (order by {first} desc, {TIES}) as place from groups"
+
+    @c.add("srt2_groups_by_score", DECIDED_SQL + place("max_score"))
     def srt2_score(spark, sf):
-        return shown(A.by_score(groups(spark, sf)))
+        return shown(A.placed(A.by_score(groups(spark, sf))), [*SHOWN, "place"])
 
-    @c.add("srt2_groups_by_count", DECIDED_SQL + f"select {SHOWN_SQL} from groups")
+    @c.add("srt2_groups_by_count", DECIDED_SQL + place("count"))
     def srt2_count(spark, sf):
-        return shown(A.by_count(groups(spark, sf)))
+        return shown(A.placed(A.by_count(groups(spark, sf))), [*SHOWN, "place"])
 
     @c.add(
         "srt3_live_feed",
@@ -297,8 +303,10 @@ def register(c: Catalog) -> None:
         from flowsentry.session import scratch_path
 
         path = scratch_path(spark, "decisions")
-        sinks.append_decisions(decision_requests(spark, sf), path)
-        return decisions.apply_decisions(alert_store(spark, sf), spark.read.parquet(path)).select("id", "status")
+        store = alert_store(spark, sf)
+        sinks.append_alerts(store, f"{path}/alerts")
+        sinks.append_decisions(decision_requests(spark, sf), f"{path}/decisions")
+        return readers.read_current_alerts(spark, f"{path}/alerts", f"{path}/decisions").select("id", "status")
 
     @c.add("prj11_severity4", O.WITH_ALERTS + f"select event_id, {O.severity('score')} as severity from alerts")
     def prj11(spark, sf):

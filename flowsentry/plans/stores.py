@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from flowsentry import schemas
 from flowsentry.functions import scalars as S
+from flowsentry.operators import alerts as A
 from flowsentry.operators import decisions, intel
 from flowsentry.plans import inputs as I
 from flowsentry.plans import oracle as O
-from flowsentry.plans.alert_views import ALERTS_AND, BLOCKS_SQL, alert_store
+from flowsentry.plans.alert_views import ALERTS_AND, BLOCKS_SQL, DETECTED_SQL, alert_store, block_log
 from flowsentry.plans.catalog import Catalog
 from flowsentry.plans.detection import PARSED_SQL, RAW_SQL
 from flowsentry.session import scratch_path
@@ -144,12 +145,22 @@ def register(c: Catalog) -> None:
         I.training_flows(spark, sf).write.option("header", True).csv(path)
         return readers.read_flow_csv(spark, path).select(*schemas.FLOW_CSV_COLUMNS)
 
-    @c.add("src4_read_rules", "with " + PARSED_SQL + " select name, sid, src_ip, dst_ip, dst_port, proto from parsed")
+    rule_out = ["name", "sid", "src_ip", "dst_ip", "dst_port", "proto"]
+
+    @c.add(
+        "src4_read_rules",
+        "with " + PARSED_SQL + f""" select {', '.join(rule_out)}, row_number() over (order by folder, line_no) as place
+          from (select *, line_no % 3 as folder from parsed)""",
+    )
     def src4(spark, sf):
-        path = scratch_path(spark, "rules") + ".rules"
-        I.rule_lines(spark, sf).select("line").write.text(f"{path}/more")
+        path = scratch_path(spark, "rules")
+        lines = I.rule_lines(spark, sf)
+        for part in (2, 0, 1):  # the order of the folders' names counts, not that of writing
+            rows = lines.where(F.col("line_no") % 3 == part).orderBy("line_no")
+            rows.select("line").coalesce(1).write.text(f"{path}/rules{part}")
         # Written part files end in .txt; the folder reader looks for *.rules, so it is given another pattern here.
-        return readers.read_rules(spark, path, pattern="*.txt").select("name", "sid", "src_ip", "dst_ip", "dst_port", "proto")
+        rules = readers.read_rules(spark, path, pattern="*.txt")
+        return A.placed(rules.orderBy("ord")).select(*rule_out, "place")
 
     @c.add("src5_read_ioc_text", "with " + FOUND_SQL + " select ip from valid")
     def src5(spark, sf):
@@ -196,6 +207,16 @@ def register(c: Catalog) -> None:
     def agg13(spark, sf):
         return intel.feed_counts(abuse=read_abuse(spark, sf), c2=read_c2(spark, sf))
 
+    @c.add(
+        "agg13_blocked_count",
+        ALERTS_AND + BLOCKS_SQL + ", " + DETECTED_SQL
+        + " select 'blocked' as feed, count(*) as entries from blocks union all select 'detected', count(*) from detected",
+    )
+    def agg13_blocked(spark, sf):
+        store, log = alert_store(spark, sf), block_log(spark, sf)
+        blocked = A.blocked_or_detected(log, store)
+        return intel.feed_counts(blocked=blocked, detected=A.blocked_or_detected(log.where("1 = 0"), store))
+
     union_sql = "with " + FOUND_SQL + ", " + PULSES_SQL + " select ip from valid union select ip from pulses"
 
     @c.add("set2_indicator_union", union_sql)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.operators import intel
+from flowsentry.operators import cascade, intel
 from flowsentry.plans import inputs as I
 from flowsentry.plans import oracle as O
 from flowsentry.plans.alert_views import ALERTS_AND, BLOCKS_SQL, alert_store
@@ -14,9 +14,14 @@ from flowsentry.plans.detection import ALERT_OUT, ROUNDED, ROUNDED_SQL, rounded
 from flowsentry.session import scratch_path
 from flowsentry.sources import readers
 from flowsentry.streaming import jobs
+from flowsentry.streaming.slices import SlicedStream
 
-#: Half of the test tables' time span, so that a slice is processed while the rest still waits.
-DELAY_US = 1_500_000_000
+#: Less than a batch's stretch of the test tables' time, so that slices are processed while the rest still waits.
+DELAY_US = 300_000_000
+
+
+#: Files a stream of the whole table arrives in; each is a micro-batch.
+BATCHES = 5
 
 
 def packet_stream(spark: SparkSession, sf: str, rows: DataFrame | None = None, path: str | None = None) -> tuple[DataFrame, str]:
@@ -26,6 +31,18 @@ def packet_stream(spark: SparkSession, sf: str, rows: DataFrame | None = None, p
     return spark.readStream.schema(rows.schema).parquet(path), path
 
 
+def run_in_batches(spark: SparkSession, job: SlicedStream, rows: DataFrame, batches: int = BATCHES) -> None:
+    """All rows in order of time, in equal stretches of time, one micro-batch after the other."""
+    path = scratch_path(spark, "batches")
+    first, last = rows.agg(F.min("t_us"), F.max("t_us")).first()
+    length = (last - first) // batches + 1
+    for n in range(batches):
+        part = rows.where(F.floor((F.col("t_us") - first) / length) == n)
+        part.write.mode("append").parquet(path)
+        job.start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+    job.finish()
+
+
 def alert_stream(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "alerts")
     store = alert_store(spark, sf)
@@ -36,23 +53,31 @@ def alert_stream(spark: SparkSession, sf: str) -> DataFrame:
 def register(c: Catalog) -> None:
     @c.add("str1_stream_cascade", O.WITH_ALERTS + f"select {', '.join(ALERT_OUT)} from alerts")
     def str1(spark, sf):
-        events, _ = packet_stream(spark, sf)
         job = jobs.CascadeStream(
             spark, scratch_path(spark, "cascade"), DELAY_US, I.indicators(spark, sf), I.cascade_rules(spark, sf)
         )
-        job.start(events).awaitTermination()
-        job.finish()
+        run_in_batches(spark, job, I.packets(spark, sf))
         return job.output("alerts").select(*ALERT_OUT)
 
+    @c.add(
+        "str1_stream_blocks",
+        ALERTS_AND + BLOCKS_SQL + " select src_ip, t_us, event_id, reason, 'block-signature' as mode from blocks",
+    )
+    def str1_blocks(spark, sf):
+        config = cascade.CascadeConfig(mode="block-signature")
+        job = jobs.CascadeStream(
+            spark, scratch_path(spark, "cascade"), DELAY_US, I.indicators(spark, sf), I.cascade_rules(spark, sf), config
+        )
+        run_in_batches(spark, job, I.packets(spark, sf), 2)
+        return job.output("blocks").select("src_ip", "t_us", "event_id", "reason", "mode")
+
     @c.add(
         "str2_stream_flow_state",
         O.WITH_FEATURES + f"select event_id, session_start_us, total_frames, total_bytes, {ROUNDED_SQL} from features",
     )
     def str2(spark, sf):
-        events, _ = packet_stream(spark, sf)
         job = jobs.FlowFeatureStream(spark, scratch_path(spark, "flows"), DELAY_US)
-        job.start(events).awaitTermination()
-        job.finish()
+        run_in_batches(spark, job, I.packets(spark, sf))
         features = job.output("features")
         return rounded(features.select("event_id", "session_start_us", "total_frames", "total_bytes", *ROUNDED))
 
@@ -64,23 +89,22 @@ def register(c: Catalog) -> None:
     )
     def str3(spark, sf):
         flagged = intel.ioc_match(I.packets(spark, sf), I.indicators(spark, sf))
-        events, _ = packet_stream(spark, sf, flagged)
         job = jobs.ThresholdStream(spark, scratch_path(spark, "thresholds"), DELAY_US)
-        job.start(events).awaitTermination()
-        job.finish()
+        run_in_batches(spark, job, flagged)
         return job.output("hits").withColumn("severity", F.round("severity", 6))
 
     @c.add(
         "str4_stream_alert_minutes",
         O.WITH_ALERTS
         + """select src_ip, type, t_us // 60000000 * 60000000 as window_us, count(*) as count, max(score) as max_score
-             from alerts where t_us // 60000000 * 60000000 + 60000000
-               <= (select max(t_us) // 1000 * 1000 - 300000000 from alerts) group by 1, 2, 3""",
+             from alerts group by 1, 2, 3""",
     )
     def str4(spark, sf):
         path = scratch_path(spark, "minutes")
-        jobs.write_alert_minutes(alert_stream(spark, sf), path, "5 minutes").awaitTermination()
-        rows = spark.read.parquet(f"{path}/groups")
+        query = jobs.write_alert_minutes(alert_stream(spark, sf), path, "5 minutes")
+        query.awaitTermination()
+        jobs.close_alert_minutes(query, alert_store(spark, sf), path)
+        rows = jobs.read_alert_minutes(spark, path)
         return rows.select("src_ip", "type", F.unix_micros("window").alias("window_us"), "count", "max_score")
 
     @c.add(
@@ -97,7 +121,7 @@ def register(c: Catalog) -> None:
         "str6_late_rows",
         O.WITH_PACKETS
         + """select event_id, t_us from packets where event_id % 10 = 0
-             and t_us < (select max(t_us) - 1500000000 from packets where event_id % 10 <> 0)""",
+             and t_us < (select max(t_us) - 300000000 from packets where event_id % 10 <> 0)""",
     )
     def str6(spark, sf):
         """A tenth of the packets arrives after all others."""

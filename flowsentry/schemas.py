@@ -90,6 +90,8 @@ FEEDBACK_JSON = _struct(
     justification=_S,
 )
 
+DECISION = _struct(id=_S, new_status=_S, justification=_S, decision_ts=T.TimestampType())
+
 BLOCK_LOG = _struct(timestamp=_S, src_ip=_S, reason=_S, mode=_S)
 
 RULE_COLUMNS = ["ord", "name", "sid", "src_ip", "dst_ip", "dst_port", "proto", "severity", "source_engine"]

@@ -12,7 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from flowsentry import schemas
 from flowsentry.functions import scalars as S
-from flowsentry.operators import flows, rules as rule_ops
+from flowsentry.operators import decisions, flows, rules as rule_ops
 from flowsentry.operators.intel import indicators_in_text
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
@@ -257,5 +257,16 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, schemas.FEEDBACK_JSON)
 
 
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Stored analyst decisions; a missing path gives none."""
+    rows = _if_present(lambda: spark.read.parquet(path))
+    return spark.createDataFrame([], schemas.DECISION) if rows is None else rows
+
+
+def read_current_alerts(spark: SparkSession, alerts_path: str, decisions_path: str) -> DataFrame:
+    """Stored alerts as the stored decisions have left them."""
+    return decisions.apply_decisions(read_alerts(spark, alerts_path), read_decisions(spark, decisions_path))
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, schemas.RUN)

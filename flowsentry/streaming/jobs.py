@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowsentry.operators import cascade, flows, intel
+from flowsentry.operators import rules as rules_of
 from flowsentry.operators.flows import FLOW_KEY, IDLE_GAP_US
 from flowsentry.session import materialize
 from flowsentry.sources import sinks
@@ -96,7 +97,10 @@ class CascadeStream(ThresholdStream):
         config: cascade.CascadeConfig | None = None,
     ) -> None:
         super().__init__(spark, path, delay_us, config)
-        self.indicators, self.rules = indicators, rules
+        # Constant over the life of the stream, so they are counted and written once.
+        self.indicators, self.rules = intel.indicator_set(indicators), rules_of.rule_table(rules)
+        if self.config.mode == "block-signature":
+            self.state_tables = (*self.state_tables, "blocked")
 
     def run(self, ready, state, watermark):
         flagged = intel.ioc_match(ready, self.indicators)
@@ -106,6 +110,14 @@ class CascadeStream(ThresholdStream):
         kept = self.kept(stages, state, watermark)
         kept["sessions"] = open_sessions(scored, state.get("sessions"), watermark)
         outputs = {"alerts": alerts}
+        if self.config.mode == "block-signature":
+            # A source is blocked once for good, so the list of blocked sources is the one state without an age.
+            blocks = cascade.block_rows(alerts, self.config.mode)
+            if "blocked" in state:
+                blocks = blocks.join(state["blocked"], "src_ip", "left_anti")
+            outputs["blocks"] = blocks = materialize(blocks, "blocks")
+            named = blocks.select("src_ip")
+            kept["blocked"] = named.unionByName(state["blocked"]) if "blocked" in state else named
         if self.config.mode == "soc-queue-ml":
             outputs["soc_queue"] = cascade.soc_queue(alerts)
         return outputs, kept
@@ -113,9 +125,12 @@ class CascadeStream(ThresholdStream):
 
 def alert_minutes(alerts: DataFrame, delay: str) -> DataFrame:
     """Streaming minute groups of alerts; a minute is final once the watermark has passed it."""
+    return _minutes(alerts.withWatermark("ts", delay))
+
+
+def _minutes(alerts: DataFrame) -> DataFrame:
     return (
-        alerts.withWatermark("ts", delay)
-        .groupBy("src_ip", "type", F.coalesce("status", F.lit("pending")).alias("status"), F.window("ts", "1 minute").alias("_w"))
+        alerts.groupBy("src_ip", "type", F.coalesce("status", F.lit("pending")).alias("status"), F.window("ts", "1 minute").alias("_w"))
         .agg(F.count(F.lit(1)).alias("count"), F.max("score").alias("max_score"), F.max("ts").alias("latest_ts"))
         .select("src_ip", "type", F.col("_w.start").alias("window"), "status", "count", "max_score", "latest_ts")
     )
@@ -126,6 +141,22 @@ def write_alert_minutes(alerts: DataFrame, path: str, delay: str, **trigger) ->
     return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
+def close_alert_minutes(query: StreamingQuery, alerts: DataFrame, path: str) -> None:
+    """Write the minutes an ended stream still held open, from its ``alerts`` as a table.
+
+    The stream has written every minute that ends at or before its last watermark; the others begin a minute before it
+    at the earliest, so only the newest alerts are read again. Run twice, it writes the same rows once.
+    """
+    marks = [p["eventTime"].get("watermark") for p in query.recentProgress if p.get("eventTime")]
+    reached = F.to_timestamp(F.lit(max((m for m in marks if m), default="1970-01-01T00:00:00.000Z")))
+    rest = alerts.where(F.date_trunc("minute", "ts") + F.expr("interval 1 minute") > reached)
+    _minutes(rest).write.mode("overwrite").parquet(f"{path}/closing")
+
+
+def read_alert_minutes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/groups").unionByName(spark.read.parquet(f"{path}/closing"))
+
+
 def write_first_blocks(alerts: DataFrame, path: str, mode: str = "block-signature", **trigger) -> StreamingQuery:
     """One block row per source for good: the log itself is the memory, so no stream state grows."""
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 BEGINNING, END = -(1 << 62), 1 << 62
@@ -20,8 +19,6 @@ META = "batch long, watermark long"
 class SlicedStream:
     """Base of the stateful stream jobs; ``run`` turns one slice into output and state tables."""
 
-    outputs: tuple[str, ...] = ()
-
     def __init__(self, spark: SparkSession, path: str, delay_us: int) -> None:
         self.spark, self.path, self.delay_us = spark, path.rstrip("/"), delay_us
 
@@ -39,10 +36,12 @@ class SlicedStream:
             self._process(None, last["batch"] + 1, final=True)
 
     def output(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/out/{name}").drop("batch")
+        """Rows of this table that finished batches have written."""
+        done = self.spark.read.schema(META).json(f"{self.path}/meta").select("batch").distinct()
+        return self.spark.read.parquet(f"{self.path}/out/{name}").join(done, "batch", "left_semi").drop("batch")
 
     def late_rows(self) -> DataFrame:
-        """Rows that arrived after their slice was processed."""
+        """Rows that arrived after their slice was processed, and rows without a time."""
         return self.spark.read.parquet(f"{self.path}/late").drop("batch")
 
     def late_counts(self) -> DataFrame:
@@ -73,7 +72,7 @@ class SlicedStream:
         if last:
             waiting = self.spark.read.parquet(f"{self.path}/pending/batch={last['batch']}")
         if rows is not None:
-            self._write(rows.where(F.col("t_us") < before), "late", batch_id)
+            self._write(rows.where((F.col("t_us") < before) | F.col("t_us").isNull()), "late", batch_id)
             fresh = rows.where(F.col("t_us") >= before)
             waiting = fresh if waiting is None else waiting.unionByName(fresh)
         newest = waiting.agg(F.max("t_us")).first()[0]
@@ -98,7 +97,3 @@ class SlicedStream:
 def younger_than(rows: DataFrame, age_us: int, watermark: int) -> DataFrame:
     """Rows that can still matter to events at or after the watermark."""
     return rows.where(F.col("t_us") >= watermark - age_us)
-
-
-def empty_like(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
-    return spark.createDataFrame([], schema)
