@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.functions import scalars as S
-from flowsentry.operators import decisions, flows, models, training
+from flowsentry.operators import decisions, flows, models, training, training_job
 from flowsentry.plans import inputs as I
 from flowsentry.plans import oracle as O
 from flowsentry.plans.alert_views import DECIDED_SQL, decided
 from flowsentry.plans.catalog import Catalog
 from flowsentry.schemas import FLOW_CSV_COLUMNS, MODEL_FEATURES
-from flowsentry.session import scratch_path
+from flowsentry.session import materialize, scratch_path
 from flowsentry.plans.stores import written_lines
 from flowsentry.sources import readers, sinks
 
@@ -243,19 +245,48 @@ def register(c: Catalog) -> None:
         metrics = models.eval_metrics(I.scored_events(spark, sf))
         return metrics.select(*[F.round(m, 6).alias(m) for m in ("auc", "aucpr", "logloss")])
 
-    @c.add("ml6_train_model")
+    @c.add(
+        "ml6_train_model",
+        f"""with {FLOWS_SQL}, halves as (select label, count(*) as n, cast(floor(count(*) * 0.2::double) as bigint) as val_rows
+             from sampled group by 1)
+            select label, n - val_rows as train_rows, val_rows, true as round_in_range, true as beats_constant, true as f1_in_range
+            from halves""",
+    )
     def ml6(spark, sf):
-        split = training.stratified_split(sample(spark, sf), SAMPLE_KEY)
-        model = models.train_model(split, rounds=5, maxDepth=4)
-        scored = models.score_rows(split.where("is_val"), model)
-        return models.pick_threshold(scored.select("label", F.col("ml").alias("prob")))
+        """A model has no SQL form; what must hold of it has: its rounds, a loss below a constant's, sound figures."""
+        split = materialize(training.stratified_split(sample(spark, sf), SAMPLE_KEY), "split")
+        trained = models.train(split)
+        scored = models.score_rows(split.where("is_val"), trained.model).select("label", F.col("ml").alias("prob"))
+        f1 = models.pick_threshold(scored).first()["f1"]
+        counts = split.groupBy("label").agg(
+            F.count_if(~F.col("is_val")).alias("train_rows"), F.count_if("is_val").alias("val_rows")
+        )
+        share = split.where("is_val").agg(F.avg("label")).first()[0]
+        constant = -(share * math.log(share) + (1 - share) * math.log(1 - share))
+        return counts.select(
+            "label", "train_rows", "val_rows",
+            F.lit(0 <= trained.best_iteration < 350).alias("round_in_range"),
+            F.lit(trained.best_score < 1.02 * constant).alias("beats_constant"),
+            F.lit(0 <= f1 <= 1).alias("f1_in_range"),
+        )
 
-    @c.add("ml8_score_events")
+    @c.add(
+        "ml8_score_events",
+        O.WITH_PACKETS + "select event_id, true as is_probability, true as label_follows_threshold from packets",
+    )
     def ml8(spark, sf):
-        split = training.stratified_split(sample(spark, sf), SAMPLE_KEY)
-        model = models.train_model(split, rounds=3, maxDepth=3)
-        features = flows.flow_features(I.packets(spark, sf))
-        return models.score_events(features, 0.35, model).select("event_id", "ml", "ml_label")
+        """Trained, stored, promoted and loaded again by the training job; then scores all packets."""
+        store = scratch_path(spark, "model-store")
+        rows = sample(spark, sf).select(*MODEL_FEATURES, "label", *SAMPLE_KEY, F.lit(False).alias("from_feedback"))
+        training_job.run_job(rows, SAMPLE_KEY, store, "run_1", "2026-01-01T00:00:00Z")
+        active = training_job.load_active(spark, store)
+        scored = models.score_events(flows.flow_features(I.packets(spark, sf)), active.threshold, active.model)
+        attack = F.col("ml_label") == "xgboost_anomaly"
+        return scored.select(
+            "event_id",
+            F.col("ml").between(0, 1).alias("is_probability"),
+            (attack == (F.col("ml") >= active.threshold)).alias("label_follows_threshold"),
+        )
 
     @c.add(
         "ml8_score_events_fallback",

@@ -139,4 +139,6 @@ RUN = _struct(
     best_score=_D,
     archived_model=_S,
     promoted=_B,
+    kind=_S,
+    report_f1=_D,
 )

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsentry.operators import flows, models, training
+from flowsentry.operators import flows, models, training, training_job
 from flowsentry.plans import inputs as I
 from flowsentry.sources import readers, sinks
 from tests.conftest import SF_SMALL
@@ -98,10 +98,38 @@ def test_model_separates_what_can_be_separated(spark):
         "id", *[(F.col("id") % 7 + i).cast("float").alias(f) for i, f in enumerate(models.MODEL_FEATURES[:-1])],
         F.when(F.col("id") % 3 == 0, 6.0).otherwise(17.0).cast("float").alias("protocol"),
         (F.col("id") % 3 == 0).cast("int").alias("label"))
-    model = models.train_model(training.stratified_split(rows, ["id"]), rounds=3, maxDepth=2, featureSubsetStrategy="all")
+    trained = models.train(training.stratified_split(rows, ["id"]), rounds=4, patience=1, maxDepth=2, featureSubsetStrategy="all")
+    model = trained.model
+    assert model.getNumTrees == trained.best_iteration + 1 and 0 < trained.best_score < 0.6
     scored = models.score_rows(rows, model)
     best = models.pick_threshold(scored.select("label", F.col("ml").alias("prob"))).first()
     assert best["f1"] == 1.0
     features = flows.flow_features(I.packets(spark, SF_SMALL))
     labels = models.score_events(features, 0.5, model).groupBy("proto", "ml_label").count().collect()
     assert {r["ml_label"] for r in labels if r["proto"] == "TCP"} == {"xgboost_anomaly"}
+
+
+def test_job_promotes_and_rolls_back(spark, tmp_path):
+    store = str(tmp_path / "store")
+    noise = F.pmod(F.xxhash64("id"), F.lit(10)) < 3
+    rows = spark.range(400).select(
+        "id", *[(F.col("id") % 7 + i).cast("float").alias(f) for i, f in enumerate(models.MODEL_FEATURES[:-1])],
+        F.when(F.col("id") % 3 == 0, 6.0).otherwise(17.0).cast("float").alias("protocol"),
+        (F.col("id") % 3 == 0).cast("int").alias("label"), F.lit(False).alias("from_feedback"))
+    worse = rows.withColumn("label", F.when(noise, 1 - F.col("label")).otherwise(F.col("label")))
+    small = dict(rounds=2, patience=1, maxDepth=2, featureSubsetStrategy="all")
+    assert training_job.load_active(spark, store) is None
+    assert training_job.cascade_config(spark, store).scorer is None
+    first = training_job.run_job(worse, ["id"], store, "a", "2026-01-01T00:00:00Z", **small).first()
+    second = training_job.run_job(rows, ["id"], store, "b", "2026-01-02T00:00:00Z", **small).first()
+    third = training_job.run_job(worse, ["id"], store, "c", "2026-01-03T00:00:00Z", **small).first()
+    assert (first["promoted"], second["promoted"], third["promoted"]) == (True, True, False)
+    assert second["val_f1"] == 1.0 > first["val_f1"] and second["sampled_rows"] == 400 and 0 <= first["report_f1"] <= 1
+    assert training_job.load_active(spark, store).run_id == "b"
+    features = flows.flow_features(I.packets(spark, SF_SMALL))
+    with_b = training_job.cascade_config(spark, store).scorer(features).agg(F.sum("ml")).first()[0]
+    training_job.roll_back(spark, store, "a", "2026-01-04T00:00:00Z")
+    assert training_job.load_active(spark, store).run_id == "a"
+    assert training_job.cascade_config(spark, store).scorer(features).agg(F.sum("ml")).first()[0] != with_b
+    with pytest.raises(ValueError):
+        training_job.roll_back(spark, store, "nothing", "2026-01-05T00:00:00Z")
