@@ -16,6 +16,7 @@ from flowsentry.functions import labels as L
 from flowsentry.functions import scalars as S
 from flowsentry.operators import flows, intel, rules as rule_ops, thresholds
 from flowsentry.operators.cooldown import first_per_key
+from flowsentry.session import materialize
 
 
 @dataclass
@@ -69,7 +70,10 @@ class Stages:
 
 def counting_stages(flagged: DataFrame, config: CascadeConfig, carry: Carry = Carry()) -> Stages:
     """SYN and login detection on packets that carry an ``ioc`` flag."""
-    syn_rows = thresholds.syn_only(flagged.where(~F.col("ioc"))).select("event_id", "t_us", "src_ip", "dst_port")
+    # Narrow, few, and read by both detectors: matched against the indicators once.
+    syn_rows = materialize(
+        thresholds.syn_only(flagged.where(~F.col("ioc"))).select("event_id", "t_us", "src_ip", "dst_port"), "syn-rows"
+    )
     past = None if carry.syn_rows is None else carry.syn_rows.select("src_ip", "t_us", "event_id")
     syn_hits = thresholds.syn_flood(syn_rows, config.syn, last_alerts=carry.syn_alerts, history=past)
     login_rows = without_events(

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from flowsentry.session import materialize
 
-#: Candidates a key may have to be folded in one row; counted before anything is collected.
-FOLD_LIMIT = 50_000
+#: Candidates a key may have to be folded in one row; counted before anything is collected. The fold copies what it has
+#: kept with each alert, so the limit bounds that too.
+FOLD_LIMIT = 4_096
 BLOCK_COOLDOWNS = 2
 BLOCKS_PER_SPAN = 64
 

@@ -229,16 +229,38 @@ def flow_features(events: DataFrame, **options) -> DataFrame:
     )
 
 
-def flow_summary(packets: DataFrame, **options) -> DataFrame:
-    """One row per flow session with its final totals and ratios."""
+def flow_summary(packets: DataFrame, gap_us: int = IDLE_GAP_US, block_us: int = BLOCK_US) -> DataFrame:
+    """One row per flow session with its final totals and ratios.
+
+    Packets become one row per stretch of a session within a time block; only these rows meet by flow.
+    """
+    rows = packets.select(*FLOW_KEY, "t_us", "event_id", "packet_size", F.floor(F.col("t_us") / block_us).alias("_blk"))
+    in_block = Window.partitionBy(*FLOW_KEY, "_blk").orderBy("t_us", "event_id")
+    cut = F.coalesce(F.col("t_us") - F.lag("t_us").over(in_block) > gap_us, F.lit(False)).cast("int")
+    stretches = (
+        rows.withColumn("_cut", cut)
+        .withColumn("_local", F.sum("_cut").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy(*FLOW_KEY, "_blk", "_local")
+        .agg(
+            F.min("t_us").alias("first_t"),
+            F.max("t_us").alias("last_t"),
+            F.count(F.lit(1)).alias("_frames"),
+            F.sum(F.col("packet_size").cast("double")).alias("_bytes"),
+        )
+    )
+    by_flow = Window.partitionBy(*FLOW_KEY).orderBy("_blk", "_local")
+    joined = F.coalesce(F.col("first_t") - F.lag("last_t").over(by_flow) <= gap_us, F.lit(False))
     sessions = (
-        running_flows(packets, **options)
-        .groupBy(*FLOW_KEY, "session_start_us")
+        stretches.withColumn("_new", (~joined).cast("int"))
+        .withColumn("_session", F.sum("_new").over(by_flow.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy(*FLOW_KEY, "_session")
         .agg(
-            F.max("total_frames").alias("total_frames"),
-            F.max("t_us").alias("last_us"),
-            F.sum(F.col("packet_size").cast("double")).alias("total_bytes"),
+            F.min("first_t").alias("session_start_us"),
+            F.max("last_t").alias("last_us"),
+            F.sum("_frames").cast("double").alias("total_frames"),
+            F.sum("_bytes").alias("total_bytes"),
         )
+        .drop("_session")
     )
     duration = F.greatest((F.col("last_us") - F.col("session_start_us")) / F.lit(1_000_000.0), F.lit(0.001))
     return with_ratios(sessions.withColumn("duration", duration))
