@@ -80,6 +80,14 @@ def group_alerts(alerts: DataFrame) -> DataFrame:
     )
 
 
+def group_members(alerts: DataFrame) -> DataFrame:
+    """One row per alert with the key of its group, its time and id: the members of a group, in order of (ts, id).
+
+    Nothing is gathered, so a group may have any number of members.
+    """
+    return _keyed(alerts).select(*GROUP_KEY, "ts", "id")
+
+
 def group_member_ids(alerts: DataFrame, slice_us: int = 1_000_000) -> DataFrame:
     """Ids of every group in time order, one array per time slice of the minute.
 

@@ -107,6 +107,13 @@ def register(c: Catalog) -> None:
         rows = groups(spark, sf).withColumn("total_bytes", F.col("model_features.total_bytes"))
         return shown(rows, [*GROUP_OUT, "total_bytes"])
 
+    @c.add("agg1_group_members", DECIDED_SQL + "select src_ip, type, window_us, status, t_us, id from placed")
+    def agg1_members(spark, sf):
+        members = A.group_members(decided(spark, sf))
+        return members.select(
+            "src_ip", "type", F.unix_micros("window").alias("window_us"), "status", F.unix_micros("ts").alias("t_us"), "id"
+        )
+
     @c.add(
         "agg1_group_member_ids",
         DECIDED_SQL

@@ -1,15 +1,17 @@
 """Exactly-once event-time slices of a stream.
 
-Every micro-batch is put aside until the watermark (largest event time seen minus the allowed delay) has
-passed it. Rows below the watermark are then processed together, in event-time order, by the same operators
-a batch job uses, so the result does not depend on how the stream was cut. What later slices need is kept as
-tables of bounded age next to the output. All paths carry the batch id and are overwritten on a retry.
+Every micro-batch is written once, by slices of event time, and stays aside until the watermark (largest event time
+seen minus the allowed delay) has passed it. The rows between the last watermark and the new one are then read
+together and processed, in event-time order, by the same operators a batch job uses, so the result does not depend
+on how the stream was cut. What later slices need is kept as tables of bounded age next to the output. All paths
+carry the batch id and are overwritten on a retry.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 BEGINNING, END = -(1 << 62), 1 << 62
@@ -19,8 +21,10 @@ META = "batch long, watermark long"
 class SlicedStream:
     """Base of the stateful stream jobs; ``run`` turns one slice into output and state tables."""
 
-    def __init__(self, spark: SparkSession, path: str, delay_us: int) -> None:
+    def __init__(self, spark: SparkSession, path: str, delay_us: int, slice_us: int | None = None) -> None:
         self.spark, self.path, self.delay_us = spark, path.rstrip("/"), delay_us
+        self.slice_us = slice_us or max(1_000_000, delay_us)
+        self.schema: T.StructType | None = None
 
     def run(self, ready: DataFrame, state: dict[str, DataFrame], watermark: int) -> tuple[dict, dict]:
         raise NotImplementedError
@@ -33,7 +37,7 @@ class SlicedStream:
         """Process what still waits for the watermark; for streams that have ended."""
         last = self._last(END)
         if last is not None:
-            self._process(None, last["batch"] + 1, final=True)
+            self._process(last["batch"] + 1, final=True)
 
     def output(self, name: str) -> DataFrame:
         """Rows of this table that finished batches have written."""
@@ -48,10 +52,15 @@ class SlicedStream:
         return self.spark.read.parquet(f"{self.path}/late").groupBy("batch").agg(F.count(F.lit(1)).alias("late"))
 
     def _on_batch(self, rows: DataFrame, batch_id: int) -> None:
-        inbox = f"{self.path}/inbox/batch={batch_id}"
-        rows.write.mode("overwrite").parquet(inbox)
-        # Read back with the job's own session, where adaptive execution is on.
-        self._process(self.spark.read.schema(rows.schema).parquet(inbox), batch_id)
+        slices = rows.withColumn("slice", F.floor(F.col("t_us") / self.slice_us))
+        slices.write.mode("overwrite").partitionBy("slice").parquet(f"{self.path}/inbox/batch={batch_id}")
+        self.schema = T.StructType([*rows.schema, T.StructField("batch", T.LongType()), T.StructField("slice", T.LongType())])
+        self._process(batch_id)
+
+    def _arrived(self) -> DataFrame:
+        # Read back with the job's own session, where adaptive execution is on. A first batch may be without rows.
+        reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
+        return reader.parquet(f"{self.path}/inbox")
 
     def _last(self, before: int):
         try:
@@ -65,24 +74,28 @@ class SlicedStream:
     def _write(self, table: DataFrame, kind: str, batch_id: int) -> None:
         table.write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={batch_id}")
 
-    def _process(self, rows: DataFrame | None, batch_id: int, final: bool = False) -> None:
+    def _process(self, batch_id: int, final: bool = False) -> None:
         last = self._last(batch_id)
         before = last["watermark"] if last else BEGINNING
-        waiting = None
-        if last:
-            waiting = self.spark.read.parquet(f"{self.path}/pending/batch={last['batch']}")
-        if rows is not None:
-            self._write(rows.where((F.col("t_us") < before) | F.col("t_us").isNull()), "late", batch_id)
-            fresh = rows.where(F.col("t_us") >= before)
-            waiting = fresh if waiting is None else waiting.unionByName(fresh)
-        newest = waiting.agg(F.max("t_us")).first()[0]
-        watermark = END if final else max(before, newest - self.delay_us if newest is not None else before)
-
-        self._write(waiting.where(F.col("t_us") >= watermark), "pending", batch_id)
+        arrived = self._arrived().where(F.col("batch") <= batch_id)
+        watermark = END
+        if not final:
+            own = arrived.where(F.col("batch") == batch_id).drop("batch", "slice")
+            self._write(own.where((F.col("t_us") < before) | F.col("t_us").isNull()), "late", batch_id)
+            newest = own.agg(F.max("t_us")).first()[0]
+            watermark = before if newest is None else max(before, newest - self.delay_us)
+        # Late rows lie below the watermark of their own batch, so they are not in this stretch; of the others only the
+        # slices it touches are read.
+        ready = arrived.where((F.col("t_us") >= before) & (F.col("t_us") < watermark))
+        if before > BEGINNING:
+            ready = ready.where(F.col("slice") >= before // self.slice_us)
+        if watermark < END:
+            ready = ready.where(F.col("slice") <= watermark // self.slice_us)
+        ready = ready.drop("batch", "slice")
         state = {}
         if last:
             state = {n: self.spark.read.parquet(f"{self.path}/state/{n}/batch={last['batch']}") for n in self.state_tables}
-        outputs, kept = self.run(waiting.where(F.col("t_us") < watermark), state, watermark)
+        outputs, kept = self.run(ready, state, watermark)
         for name, table in outputs.items():
             self._write(table, f"out/{name}", batch_id)
         for name, table in kept.items():

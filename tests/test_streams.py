@@ -40,7 +40,7 @@ def test_flow_sessions_survive_batch_borders_and_retries(spark, tmp_path):
     assert {tuple(r) for r in job.output("features").select(*columns).collect()} == want
     # A repeated batch replaces its own output.
     last = job._last(1 << 60)["batch"]
-    job._process(None, last, final=True)
+    job._process(last, final=True)
     assert {tuple(r) for r in job.output("features").select(*columns).collect()} == want
     assert job.output("features").count() == len(want)
 
@@ -58,6 +58,18 @@ def test_late_rows_go_to_their_own_table(spark, tmp_path):
     assert job.late_counts().orderBy("batch").collect() == [(1, early)]
 
 
+def test_first_batch_without_rows_and_rows_without_time(spark, tmp_path):
+    packets = I.packets(spark, SF_SMALL)
+    timeless = packets.limit(5).withColumn("t_us", F.lit(None).cast("long"))
+    job = jobs.FlowFeatureStream(spark, str(tmp_path / "job"), 100 * SECOND)
+    for part in (packets.limit(0), packets.where("t_us < 1000000000").unionByName(timeless)):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        job.start(spark.readStream.schema(packets.schema).parquet(str(tmp_path / "in"))).awaitTermination()
+    job.finish()
+    assert job.late_rows().count() == 5
+    assert job.output("features").count() == packets.where("t_us < 1000000000").count()
+
+
 def test_json_event_stream_drops_broken_lines(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "e.json").write_text(
