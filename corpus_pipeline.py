@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import common, packing, secrets, simhash
-from flowsentry.llm.queries import toxicity_scores
+from flowsentry.llm import common, packing, queries, secrets, simhash
+from flowsentry.llm import toxicity as scorer
 from flowsentry.session import materialize, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,9 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
     common.prepare(spark)
-    scores = toxicity_scores(docs, common.table(spark, sf_dir, "labels"))
-    toxic = scores.where("predicted = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["toxic_id"]), "left_anti").select(*COLUMNS)
+    index = queries.toxicity_index(docs, common.table(spark, sf_dir, "labels"))
+    return scorer.below(docs.select(*COLUMNS), index, queries.TOXIC_FROM)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     member = materialize(simhash.near_duplicates(docs, width=4, distance=4).select("doc_id", "component_id"), "members")
     first = member.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     several = member.groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept"]), "left_semi").select(*COLUMNS)
+    # As many ids as documents, so a merge join at any size.
+    kept = docs.join(first.hint("merge"), docs["doc_id"].eqNullSafe(first["kept"]), "left_semi").select(*COLUMNS)
+    if several.isEmpty():
+        return kept
     once = kept.join(several, kept["doc_id"].eqNullSafe(several["again"]), "left_anti")
     rest = kept.join(several, kept["doc_id"].eqNullSafe(several["again"]), "left_semi").dropDuplicates()
     return once.unionByName(rest)

@@ -58,18 +58,26 @@ def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return toxicity_scores(docs, common.table(spark, sf_dir, "labels")).select(
-        "doc_id", "held_out", "score", "predicted", "neighbours"
+        "doc_id", "held_out", "score", "predicted", "neighbours", "evidence"
     )
 
 
+#: Score from which a document counts as toxic.
+TOXIC_FROM = 0.3
+
+
+def toxicity_index(docs: DataFrame, labels: DataFrame) -> toxicity.Index | None:
+    return toxicity.fit(docs, labels, common.remainder("doc_id", 4) != 2)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    index = toxicity.fit(docs, labels, common.remainder("doc_id", 4) != 2)
-    return toxicity.score(docs, index).select(
+    return toxicity.score(docs, toxicity_index(docs, labels)).select(
         "doc_id",
         (common.remainder("doc_id", 4) == 2).alias("held_out"),
         "score",
-        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
         "neighbours",
+        "evidence",
     )
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +16,12 @@ from flowsentry.llm.words import Recent
 
 #: The bounded sample the neighbours come from: at most so many examples of each label, in the order of a hash of
 #: their texts, and at most so many characters of each label.
-EXAMPLES, EXAMPLE_CHARS = 2500, 16_000_000
+EXAMPLES, EXAMPLE_CHARS = 2000, 16_000_000
 #: Word beginnings of these lengths are terms beside the whole words.
 STEMS = (4, 5, 6)
 #: A term is kept if its log-likelihood ratio against the labels reaches this value and so many examples have it.
 ASSOCIATION, LEAST_EXAMPLES = 40.0, 4
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, SHOWN, BLOCK = 15, 3, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,19 +40,22 @@ def association(df1: np.ndarray, df0: np.ndarray, n1: int, n0: int) -> np.ndarra
 
 
 class Index(NamedTuple):
-    """Postings (example, weight) by term, the greatest weight of each term in each block of examples, and the votes."""
+    """Postings (example, weight) by term, for each term and block of examples the greatest weight and the place of its
+    postings, and the votes."""
 
     terms: dict[str, int]
     idf: np.ndarray
     examples: list[np.ndarray]
     weights: list[np.ndarray]
     block_max: np.ndarray
+    heads: np.ndarray
     label: np.ndarray
+    ids: np.ndarray
     edges: np.ndarray
     rates: np.ndarray
 
 
-def build(texts: list[str], labels: list[int], prior: float) -> Index:
+def build(texts: list[str], labels: list[int], prior: float, names: list[int] | None = None) -> Index:
     label = np.array(labels, np.int8)
     n1, n0 = int(label.sum()), int((1 - label).sum())
     bags = [bag_of_words(t) for t in texts]
@@ -76,7 +80,9 @@ def build(texts: list[str], labels: list[int], prior: float) -> Index:
     block_max = np.zeros((len(terms), -(-len(texts) // BLOCK)))
     for t, (e, x) in enumerate(zip(examples, weights)):
         np.maximum.at(block_max[t], e // BLOCK, x)
-    index = Index(terms, idf, examples, weights, block_max, label[order], np.zeros(0), np.zeros(0))
+    borders = np.arange(block_max.shape[1] + 1) * BLOCK
+    heads = np.array([np.searchsorted(e, borders) for e in examples], np.int32).reshape(len(terms), len(borders))
+    index = Index(terms, idf, examples, weights, block_max, heads, label[order], np.array(names or range(len(texts)), np.int64)[order], np.zeros(0), np.zeros(0))
     votes = np.array([vote(index, bags[i], leave=place) for place, i in enumerate(order.tolist())])
     edges, rates = calibrate(votes, label[order], prior)
     return index._replace(edges=edges, rates=rates)
@@ -112,12 +118,10 @@ def search(index: Index, ids: np.ndarray, w: np.ndarray, leave: int = -1) -> tup
         if not len(blocks):
             break
         score = np.zeros(len(blocks) * BLOCK)
-        for t, x in zip(ids.tolist(), w.tolist()):
-            e, posted = index.examples[t], index.weights[t]
-            for i, b in enumerate(blocks.tolist()):
-                lo, hi = np.searchsorted(e, (b * BLOCK, (b + 1) * BLOCK))
-                if lo < hi:
-                    score[e[lo:hi] - b * BLOCK + i * BLOCK] += x * posted[lo:hi]
+        for k, i in np.argwhere(index.block_max[np.ix_(ids, blocks)]).tolist():
+            t, b = ids[k], blocks[i]
+            own = slice(*index.heads[t, b : b + 2])
+            score[index.examples[t][own] + (i - b) * BLOCK] += w[k] * index.weights[t][own]
         e = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         hit = (score > 0) & (e != leave)
         found_e, found_s = np.concatenate([found_e, e[hit]]), np.concatenate([found_s, score[hit]])
@@ -154,58 +158,87 @@ def calibrate(votes: np.ndarray, label: np.ndarray, prior: float) -> tuple[np.nd
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, examples: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Index | None:
     """The index over a bounded sample of the labelled rows for which ``usable`` (over doc_id) holds.
 
-    Of each label, the first ``examples`` rows in the order of a hash of the text are taken, as long as their texts sum up
+    Of each label, the first ``examples`` rows in the order of a hash of the id are taken, as long as their texts sum up
     to at most ``chars`` characters. Shares of the labels are counted over all usable labelled rows. None without labels.
     """
     known = labels.where(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not counts:
         return None
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    taken, of = [], []
-    for y in (0, 1):
-        rows = (
-            texts.where(F.col("toxic") == y)
-            .select(F.xxhash64("text").alias("h"), "doc_id", F.char_length("text").alias("n"))
-            .orderBy("h", "doc_id")
-            .limit(examples)
-            .collect()
-        )
-        size = np.cumsum([r["n"] for r in rows])
-        ids = [r["doc_id"] for r, s in zip(rows, size) if s <= chars]
-        some = texts.where((F.col("toxic") == y) & F.col("doc_id").isin(ids)).select("doc_id", "text")
-        found = dict(sorted((r["doc_id"], r["text"]) for r in some.collect()))
-        taken += found.values()
-        of += [y] * len(found)
-    return build(taken, of, counts.get(1, 0) / sum(counts.values()))
+    order = F.xxhash64("doc_id")
+    chosen = {
+        y: [r["doc_id"] for r in known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples).collect()]
+        for y in counts
+    }
+    wanted = [i for ids in chosen.values() for i in ids]
+    size = F.char_length(F.coalesce("text", F.lit("")))
+    sizes = docs.where(F.col("doc_id").isin(wanted)).groupBy("doc_id").agg(F.max(size).alias("n")).collect()
+    n = {r["doc_id"]: r["n"] for r in sizes}
+    taken, of, named = [], [], []
+    for y, ids in sorted(chosen.items()):
+        ids = [i for i in ids if i in n]
+        ids = [i for i, s in zip(ids, np.cumsum([n[i] for i in ids])) if s <= chars]
+        some = docs.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.max("text").alias("text")).collect()
+        some.sort(key=lambda r: r["doc_id"])
+        taken += [r["text"] or "" for r in some]
+        named += [r["doc_id"] for r in some]
+        of += [y] * len(some)
+    return build(taken, of, counts.get(1, 0) / sum(counts.values()), named) if taken else None
+
+
+class Scorer:
+    """Scores of texts, with what a worker remembers of the words it has met."""
+
+    def __init__(self, index: Index | None):
+        self.index = index
+        if index is not None:
+            terms = index.terms
+            self.numbers = Recent(lambda w: tuple(terms[t] for t in terms_of(w) if t in terms), 100_000, 64)
+            # Most texts hold no term at all; that shows between white space, before the text is cut into words.
+            self.telling = Recent(lambda s: any(map(self.numbers.__getitem__, _WORD.findall(s.lower()))), 300_000, 64)
+
+    def __call__(self, text: str | None) -> tuple[float, int, str]:
+        """(score, number of neighbours, the nearest of them as id:label:cosine)"""
+        index = self.index
+        if index is None:
+            return 0.0, 0, ""
+        value, n, evidence = 0.0, 0, ""
+        if any(map(self.telling.__getitem__, (text or "").split())):
+            ids, w = vector(bag_of_words(text), index.terms, index.idf, self.numbers.__getitem__)
+            e, s = search(index, ids, w)
+            value, n = float((s * index.label[e]).sum() / NEIGHBOURS), len(e)
+            nearest = zip(index.ids[e[:SHOWN]].tolist(), index.label[e[:SHOWN]].tolist(), s[:SHOWN].tolist())
+            evidence = ",".join(f"{i}:{y}:{c:.4f}" for i, y, c in nearest)
+        at = max(0, int(np.searchsorted(index.edges, value, "right")) - 1)
+        return float(index.rates[at]), n, evidence
 
 
 def score(docs: DataFrame, index: Index | None) -> DataFrame:
-    """(doc_id, score, neighbours): the calibrated share of label 1, and the evidence behind it.
+    """(doc_id, score, neighbours, evidence): the calibrated share of label 1, and what it rests on.
 
-    ``neighbours`` is the number of labelled examples with a cosine above zero that voted (at most NEIGHBOURS). A text
+    ``neighbours`` is the number of labelled examples with a cosine above zero that voted (at most NEIGHBOURS), ``evidence``
+    the nearest SHOWN of them as id:label:cosine, comma-joined. A text
     without any term, empty and null texts among them, gets the rate of such texts. Without an index every score is 0.
     Rows and their order do not matter to each other; repeated rows are scored each; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
     def rows(batches):
-        index = shared.value
-        if index is not None:
-            terms = index.terms
-            numbers = Recent(lambda w: tuple(terms[t] for t in terms_of(w) if t in terms), 400_000, 64)
+        scorer = Scorer(shared.value)
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                if index is None:
-                    yield doc_id, 0.0, 0
-                    continue
-                found = _WORD.findall((text or "").lower())
-                value, n = 0.0, 0
-                if any(map(numbers.__getitem__, set(found))):
-                    ids, w = vector(Counter(found), terms, index.idf, numbers.__getitem__)
-                    e, s = search(index, ids, w)
-                    value, n = float((s * index.label[e]).sum() / NEIGHBOURS), len(e)
-                at = max(0, int(np.searchsorted(index.edges, value, "right")) - 1)
-                yield doc_id, float(index.rates[at]), n
-
-    return common.map_rows(docs.select("doc_id", "text"), rows, "doc_id long, score double, neighbours long")
+                yield doc_id, *scorer(text)
+
+    return common.map_rows(docs.select("doc_id", "text"), rows, "doc_id long, score double, neighbours long, evidence string")
+
+
+def below(docs: DataFrame, index: Index | None, limit: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``limit``; decided where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t)[0] < limit for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -61,6 +61,9 @@ def test_held_out_accuracy_and_edges(spark):
     for r in got:
         by.setdefault(r["doc_id"], []).append(r["score"])
     assert by[5000] == by[5001] and by[5000][0] < 0.3 and by[5002][0] >= 0.3 and len(by[5003]) == 2
+    toxic = next(r for r in got if r["doc_id"] == 5002)
+    shown = [e.split(":") for e in toxic["evidence"].split(",")]
+    assert 1 <= len(shown) <= toxicity.SHOWN and all(truth[int(i)] == int(y) == 1 and 0 < float(c) <= 1 for i, y, c in shown)
     assert toxicity.score(d.limit(0), index).collect() == []
 
 
