@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -88,19 +89,46 @@ def join(tokenizer, left: Encoded, right: Encoded, reach: int = 2 * LONGEST_SPEC
         reach *= 2
 
 
-def join_all(tokenizer, parts: list[Encoded]) -> Encoded:
+class Part(NamedTuple):
+    """A stretch of text with its ids as bytes, four each."""
+
+    text: str
+    ids: bytes
+
+
+_LAST_WORD, _GAP = re.compile(r".*(?:\A|[ \t\n\r])(?=[^ \t\n\r])", re.DOTALL), re.compile(r"[ \t\n\r]|\Z")
+
+
+def join_parts(tokenizer, left: Part, right: Part) -> Part:
+    """The same for long parts, whose spans are not kept.
+
+    Ids restart at white space, so the words around the join are all that is needed of either side: from the last word
+    that starts before the window to the first white space behind it. In text without white space that is all of it.
+    """
+    reach = 2 * LONGEST_SPECIAL
+    m = _LAST_WORD.match(left.text, 0, max(0, len(left.text) - reach))
+    tail = encode_whole(tokenizer, left.text[m.end() if m else 0 :])
+    head = encode_whole(tokenizer, right.text[: _GAP.search(right.text, min(len(right.text), 3 * reach)).start()])
+    middle = join(tokenizer, tail, head, reach).ids.astype("<u4").tobytes()
+    return Part(left.text + right.text, left.ids[: len(left.ids) - 4 * len(tail.ids)] + middle + right.ids[4 * len(head.ids) :])
+
+
+def join_all(tokenizer, parts: list[Part]) -> Part:
     """Neighbours are joined in pairs, then pairs of pairs, up to the whole text."""
     while len(parts) > 1:
-        parts = [join(tokenizer, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        pairs = range(0, len(parts), 2)
+        parts = [join_parts(tokenizer, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in pairs]
     return parts[0]
 
 
-def encode_tree(tokenizer, text: str, leaf_chars: int) -> Encoded:
+def encode_tree(encoder: words.WordIds, text: str, leaf_chars: int) -> Part:
     """The same in one process: halves of halves, down to ``leaf_chars``."""
     if len(text) <= leaf_chars:
-        return encode_whole(tokenizer, text)
+        return Part(text, encoder.encode(text))
     half = len(text) // 2
-    return join(tokenizer, encode_tree(tokenizer, text[:half], leaf_chars), encode_tree(tokenizer, text[half:], leaf_chars))
+    return join_parts(
+        encoder.tokenizer, encode_tree(encoder, text[:half], leaf_chars), encode_tree(encoder, text[half:], leaf_chars)
+    )
 
 
 def encode(docs: DataFrame, tokenizer_path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -123,21 +151,15 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, leaf_chars: int =
                 yield doc_id, encoder.encode(text)
 
     def leaf(batches):
-        tokenizer = words.load(path)
+        encoder = words.word_ids(path)
         for batch in batches:
             for key, doc_id, at, text in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "at", "part"))):
-                e = encode_whole(tokenizer, text)
-                yield key, doc_id, at, text, *(np.asarray(x, "<i4").tobytes() for x in (e.ids, e.start, e.end))
+                yield key, doc_id, at, text, encoder.encode(text)
 
     def whole(group: pa.Table) -> pa.Table:
-        tokenizer = words.load(path)
         rows = sorted(group.to_pylist(), key=lambda r: r["at"])
         copies = sum(r["at"] == 0 for r in rows)
-        parts = [
-            Encoded(r["part"], np.frombuffer(r["ids"], "<u4"), *(np.frombuffer(r[c], "<i4").astype(np.int64) for c in ("start", "end")))
-            for r in rows[::copies]
-        ]
-        ids = join_all(tokenizer, parts).ids.astype("<u4").tobytes()
+        ids = join_all(words.load(path), [Part(r["part"], r["ids"]) for r in rows[::copies]]).ids
         return pa.table(
             {"doc_id": pa.array([rows[0]["doc_id"]] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())}
         )
@@ -148,9 +170,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, leaf_chars: int =
         F.posexplode(F.expr(f"regexp_extract_all(text, '(?s).{{1,{leaf_chars}}}', 0)")).alias("at", "part"),
     )
     encoded = common.map_rows(
-        leaves.repartition("key", "at"),
-        leaf,
-        "key long, doc_id long, at int, part string, ids binary, start binary, end binary",
+        leaves.repartition("key", "at"), leaf, "key long, doc_id long, at int, part string, ids binary"
     )
     return common.map_rows(docs.where(size <= leaf_chars), short, "doc_id long, ids binary").unionByName(
         encoded.groupBy("key").applyInArrow(whole, "doc_id long, ids binary")

@@ -96,10 +96,10 @@ class Recent(dict):
 class WordIds:
     """Words to little-endian unsigned 32-bit ids. Remembers a bounded number of short words and pieces."""
 
-    def __init__(self, path: str, limit: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 300_000, longest: int = 64):
         self.tokenizer, self.piece, self.longest = load(path), pieces(path), longest
         self.known = Recent(self.word, limit, longest)
-        self.known_pieces = Recent(self.piece_ids, limit // 2, longest)
+        self.known_pieces = Recent(self.piece_ids, limit // 3, longest)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, split_words(text)))

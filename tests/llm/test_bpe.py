@@ -12,22 +12,25 @@ def plain(text):
 
 
 def test_tree_equals_whole():
-    tokenizer = words.load(words.default_path())
+    encoder = words.word_ids(words.default_path())
     rng = random.Random(8)
     for k in range(250):
         pool = rng.sample(NASTY, rng.randint(1, len(NASTY)))
         text = "".join(rng.choices(pool, k=rng.randint(0, 400)))
-        e = bpe.encode_tree(tokenizer, text, rng.choice([3, 17, 60]))
-        assert e.ids.tolist() == plain(text), repr(text)
+        e = bpe.encode_tree(encoder, text, rng.choice([3, 17, 60]))
+        assert np.frombuffer(e.ids, "<u4").tolist() == plain(text), repr(text)
         assert e.text == text
+        cut = rng.randint(0, len(text))
+        two = bpe.join(encoder.tokenizer, *(bpe.encode_whole(encoder.tokenizer, t) for t in (text[:cut], text[cut:])))
+        assert two.ids.tolist() == plain(text)
 
 
 def test_unsplit_text():
-    tokenizer = words.load(words.default_path())
+    encoder = words.word_ids(words.default_path())
     rng = random.Random(9)
     for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "!?", "thein"):
         text = "".join(rng.choices(letters, k=5000))
-        assert bpe.encode_tree(tokenizer, text, 300).ids.tolist() == plain(text)
+        assert np.frombuffer(bpe.encode_tree(encoder, text, 300).ids, "<u4").tolist() == plain(text)
 
 
 def test_encode_and_decode_in_spark(spark):
