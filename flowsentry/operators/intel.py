@@ -39,7 +39,7 @@ def indicator_set(indicators: DataFrame) -> IndicatorSet:
     return IndicatorSet(ips, fits_broadcast(ips))
 
 
-def ioc_match(rows: DataFrame, indicators: DataFrame | IndicatorSet) -> DataFrame:
+def ioc_match(rows: DataFrame, indicators: DataFrame | IndicatorSet, small: bool | None = None) -> DataFrame:
     """Add ``ioc``: source or destination address is an indicator.
 
     Two equality joins, never one OR condition. The indicator side is replicated only when it was counted
@@ -47,7 +47,7 @@ def ioc_match(rows: DataFrame, indicators: DataFrame | IndicatorSet) -> DataFram
     more than once prepares an ``indicator_set``.
     """
     known = indicators if isinstance(indicators, IndicatorSet) else indicator_set(indicators)
-    side = F.broadcast if known.small else (lambda df: df)
+    side = F.broadcast if (known.small if small is None else small) else (lambda df: df)
     out = rows
     for address in ("src_ip", "dst_ip"):
         hits = known.ips.select(F.col("ip").alias(address), F.lit(True).alias(f"_{address}_hit"))

@@ -124,10 +124,11 @@ def test_decisions_close_pending_alerts_once(spark, store):
         uid(1): ("ignored", "noise"), uid(4): ("resolved", None)}
 
 
-def test_only_the_first_500_ids_of_a_request_count(spark):
+def test_all_ids_of_a_request_count_unless_limited(spark):
     ids = [uid(n) for n in range(600)]
-    got = D.validate_decisions(spark.createDataFrame([(ids, "ignored", None)], "ids array<string>, new_status string, justification string"))
-    assert got.count() == 500
+    requests = spark.createDataFrame([(ids, "ignored", None)], "ids array<string>, new_status string, justification string")
+    assert D.validate_decisions(requests).count() == 600
+    assert D.validate_decisions(requests, max_ids=500).count() == 500
 
 
 def test_justification_is_cut_before_tags_are_stripped(spark):
