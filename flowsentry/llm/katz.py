@@ -30,7 +30,8 @@ from flowsentry.llm import common
 from flowsentry.session import materialize
 
 UNIT_TOKENS = 2_000_000
-BUCKETS = 64
+#: Documents for each bucket of words and of pairs; their number grows with the table, a bucket does not.
+BUCKET_DOCUMENTS = 4096
 #: Counts up to this one are discounted, if the counts of counts allow it.
 HIGHEST = 5
 #: No word holds white space, so these texts stand for the marks.
@@ -65,7 +66,7 @@ class Hashes(dict):
     """Word to 64-bit hash, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -221,17 +222,18 @@ def _pair_rows(plan: _Pairs, model: Unigram, documents: int, answers: pa.Table,
         h = history[own]
         heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         runs = np.diff(np.r_[heads, len(h)]).astype(np.uint32)
+        distinct, first_at, place = np.unique(word[own].astype(np.uint32), return_index=True, return_inverse=True)
         out.append(
             (
                 0, unit, int(bucket[own[0]]), zip_sorted(h[heads]), zip_array(runs), zip_array(history_count[own][heads]),
-                zip_array(word[own].astype(np.uint32)), zip_array(word_count[own]), zip_array(doc[own]),
-                zip_array(flags & 1),
+                zip_sorted(distinct), zip_array(word_count[own][first_at]), zip_array(place.astype(np.uint32)),
+                zip_array(doc[own]), zip_array(flags & 1),
             )
         )
     kept = (base_score, n_known, length, ids)
-    out.append((1, unit, int(unit % plan.buckets), *map(zip_array, kept), zip_array(flags), None, None))
-    names = ("kind", "unit", "bucket", *"abcdefg")
-    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7)
+    out.append((1, unit, int(unit % plan.buckets), *map(zip_array, kept), zip_array(flags), None, None, None))
+    names = ("kind", "unit", "bucket", *"abcdefgh")
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 8)
     return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, zip(*out), kinds)})
 
 
@@ -247,15 +249,17 @@ def _count_pairs(plan: _Pairs, model: Unigram, group: pa.Table) -> pa.Table:
             runs = unzip_array(r["b"], np.uint32)
             history.append(np.repeat(unzip_sorted(r["a"], np.uint64), runs))
             count_h.append(np.repeat(unzip_array(r["c"], np.uint64), runs))
-            word.append(unzip_array(r["d"], np.uint32))
-            count_w.append(unzip_array(r["e"], np.uint64))
-            own, flags = unzip_array(r["f"], np.uint32), unzip_array(r["g"], np.uint8)
+            place = unzip_array(r["f"], np.uint32)
+            word.append(unzip_sorted(r["d"], np.uint32)[place])
+            count_w.append(unzip_array(r["e"], np.uint64)[place])
+            own, flags = unzip_array(r["g"], np.uint32), unzip_array(r["h"], np.uint8)
             train.append(flags[own])
             doc.append(own.astype(np.int64) + base)
             units.append(r["unit"])
             sizes.append(len(flags))
             base += len(flags)
         history, count_h, word, count_w, doc, train = map(np.concatenate, (history, count_h, word, count_w, doc, train))
+        rows = group = None
         order = np.lexsort((word, history))
         history, word = history[order], word[order]
         new_h = np.r_[True, history[1:] != history[:-1]]
@@ -361,11 +365,13 @@ def _finish(parts: pa.Table, base: pa.Table) -> pa.Table:
     )
 
 
-def katz_scores(docs: DataFrame, held_out: Column, buckets: int = BUCKETS, unit_tokens: int = UNIT_TOKENS) -> DataFrame:
+def katz_scores(
+    docs: DataFrame, held_out: Column, bucket_documents: int = BUCKET_DOCUMENTS, unit_tokens: int = UNIT_TOKENS
+) -> DataFrame:
     """Learns from the rows of ``docs`` for which ``held_out`` is false and scores all of them.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, the model's log10
-    probability. ``buckets`` is a power of two; there may be 2^32 / buckets distinct words in each.
+    probability. The words fall into a power of two of buckets; there may be 2^32 / buckets distinct words in each.
 
     P(w | h) = d(c) c / n(h) for a pair seen c > 0 times, else a(h) P(w); P(w) = d(c) c / N for a known word, and unknown
     words share one unit of the mass the discounts leave. Lower-casing touches A-Z only; words end at ASCII white space.
@@ -373,7 +379,8 @@ def katz_scores(docs: DataFrame, held_out: Column, buckets: int = BUCKETS, unit_
     like the empty text when the caller hashes it. Without training rows every token is unknown: score 0. An empty table
     gives no rows; other columns are ignored.
     """
-    bits = buckets.bit_length() - 1
+    bits = min(16, max(2, (docs.count() // bucket_documents).bit_length()))
+    buckets = 1 << bits
     source = docs.select("doc_id", held_out.alias("held_out"), "text")
     units = common.map_rows(
         source,
@@ -400,7 +407,7 @@ def katz_scores(docs: DataFrame, held_out: Column, buckets: int = BUCKETS, unit_
     def count_pairs(group: pa.Table) -> pa.Table:
         return _count_pairs(plan, model, group)
 
-    letters = ", ".join(f"{c} binary" for c in "abcdefg")
+    letters = ", ".join(f"{c} binary" for c in "abcdefgh")
     asked = answers.where("unit is not null").groupBy("unit")
     pairs = asked.cogroup(units.where("kind = 1").groupBy("unit")).applyInArrow(
         pair_rows, f"kind int, unit long, bucket int, {letters}"

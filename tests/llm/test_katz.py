@@ -77,7 +77,7 @@ def test_scores_equal_a_plain_model(spark):
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)] + ["The", "the", "É", "x y"]
     docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(150)]
     docs += [(3, None), (4, ""), (None, "the w1"), (7, docs[7][1]), (7, docs[7][1]), (900, "the " * 5000)]
-    compare(spark, docs, buckets=4, unit_tokens=500)
+    compare(spark, docs, bucket_documents=10, unit_tokens=500)
     compare(spark, docs)
 
 
