@@ -12,9 +12,9 @@ from flowsentry.llm.topk import best_of
 #: The bounded sample the index is fitted on: the rows whose ids have the smallest hashes.
 PIVOTS = 512
 #: Pivots kept for each vector, nearest first.
-PREFIX = 64
+PREFIX = 80
 #: Share of a block's rows that is ranked again exactly, and the least number.
-RERANK_SHARE, RERANK_LEAST = 0.2, 512
+RERANK_SHARE, RERANK_LEAST = 0.3, 512
 #: Queries of a block.
 QUERIES = 4096
 
@@ -40,7 +40,12 @@ def footrule(pivots: np.ndarray, best: int, prefix: int, share: float, least: in
 
     def search(ids, rows, query_ids, queries):
         width = max(pivots.shape[1], max(map(len, rows)), max(map(len, queries)))
-        x, q = _matrix(rows, width), _matrix(queries, width)
+        q = _matrix(queries, width)
+        # Copies of a vector are one entry of the index; the first of them by id can be among the best, no others.
+        x, inverse = np.unique(_matrix(rows, width), axis=0, return_inverse=True)
+        by_vector = np.argsort(inverse.ravel(), kind="stable")
+        first = np.searchsorted(inverse.ravel()[by_vector], np.arange(len(x) + 1))
+        copies = np.minimum(np.diff(first), best + 1)
         p = np.zeros((len(pivots), width))
         p[:, : pivots.shape[1]] = pivots
         own = prefixes(x, p, prefix)
@@ -49,18 +54,21 @@ def footrule(pivots: np.ndarray, best: int, prefix: int, share: float, least: in
         heads = np.searchsorted(own.ravel()[order], np.arange(len(p) + 1))
         row, place = np.divmod(order, length)
         files = [(row[a:b], place[a:b]) for a, b in zip(heads[:-1], heads[1:])]
-        keep = min(len(rows), max(least, int(np.ceil(share * len(rows)))))
+        keep = min(len(x), max(least, int(np.ceil(share * len(x)))))
         out = []
         for i, order in enumerate(prefixes(q, p, prefix)):
-            saved = np.zeros(len(rows), np.int32)  # what a shared pivot saves against the distance of strangers
+            saved = np.zeros(len(x), np.int32)  # what a shared pivot saves against the distance of strangers
             for at, pivot in enumerate(order):
                 where, places = files[pivot]
                 saved[where] += length - np.abs(places - at)
-            near = np.sort(best_of(saved, keep))
-            near = near[ids[near] != query_ids[i]]
-            score = (x[near] * q[i]).sum(1)
-            kept = best_of(score, best)
-            out.append((np.full(len(kept), i), near[kept], score[kept]))
+            near = best_of(saved, keep)
+            score = np.repeat((x[near] * q[i]).sum(1), copies[near])
+            nth = np.arange(len(score)) - np.repeat(np.cumsum(copies[near]) - copies[near], copies[near])
+            found = by_vector[np.repeat(first[near], copies[near]) + nth]
+            order = np.argsort(found)
+            order = order[ids[found[order]] != query_ids[i]]
+            kept = order[best_of(score[order], best)]
+            out.append((np.full(len(kept), i), found[kept], score[kept]))
         return tuple(np.concatenate(z) for z in zip(*out))
 
     return search
