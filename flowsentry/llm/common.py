@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from flowsentry.session import configure
 
 #: Arrow batches between the JVM and Python stay below this size, however long the texts are.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
