@@ -19,8 +19,10 @@ from flowsentry.llm.words import Recent
 EXAMPLES, EXAMPLE_CHARS = 2000, 16_000_000
 #: Word beginnings of these lengths are terms beside the whole words.
 STEMS = (4, 5, 6)
-#: A term is kept if its log-likelihood ratio against the labels reaches this value and so many examples have it.
-ASSOCIATION, LEAST_EXAMPLES = 40.0, 4
+#: A term is kept if no example of label 0 has it, however rare it is, or if its log-likelihood ratio against the labels
+#: reaches the first value an example and its share among label 1 is so many times that among label 0. Kept terms below
+#: the first value weigh less.
+ASSOCIATION, LIFT = 0.01, 2
 NEIGHBOURS, SHOWN, BLOCK = 15, 3, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,14 +41,22 @@ def association(df1: np.ndarray, df0: np.ndarray, n1: int, n0: int) -> np.ndarra
     return np.where(df1 * n0 >= df0 * n1, out, -out)
 
 
+def strength(df1: np.ndarray, df0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How far terms speak for label 1, up to 1; 0 for those that are not kept. Does not hang on the number of examples."""
+    df1, df0 = np.maximum(df1, 0), np.maximum(df0, 0)
+    ratio = association(df1, df0, max(n1, 1), max(n0, 1)) / (ASSOCIATION * max(n1 + n0, 1))
+    leans = (df0 == 0) | ((ratio >= 1) & (df1 * max(n0, 1) >= LIFT * df0 * max(n1, 1)))
+    return np.where((df1 > 0) & leans, np.sqrt(np.clip(ratio, 1e-6, 1)), 0.0)
+
+
 class Index(NamedTuple):
     """Postings (example, weight) by term, for each term and block of examples the greatest weight and the place of its
     postings, and the votes."""
 
     terms: dict[str, int]
     idf: np.ndarray
-    examples: list[np.ndarray]
-    weights: list[np.ndarray]
+    places: np.ndarray
+    values: np.ndarray
     block_max: np.ndarray
     heads: np.ndarray
     label: np.ndarray
@@ -54,6 +64,14 @@ class Index(NamedTuple):
     edges: np.ndarray
     rates: np.ndarray
 
+    @property
+    def examples(self) -> list[np.ndarray]:
+        return [self.places[a:b] for a, b in self.heads[:, [0, -1]].tolist()]
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return [self.values[a:b] for a, b in self.heads[:, [0, -1]].tolist()]
+
 
 def build(texts: list[str], labels: list[int], prior: float, names: list[int] | None = None) -> Index:
     label = np.array(labels, np.int8)
@@ -62,30 +80,40 @@ def build(texts: list[str], labels: list[int], prior: float, names: list[int] |
     df = (Counter(), Counter())
     for bag, y in zip(bags, labels):
         df[y].update({t for w in bag for t in terms_of(w)})
-    seen = [t for t, n in df[1].items() if n >= LEAST_EXAMPLES]
+    seen = sorted(df[1])
     df1, df0 = (np.array([df[y][t] for t in seen], float) for y in (1, 0))
-    kept = np.flatnonzero(association(df1, df0, max(n1, 1), max(n0, 1)) >= ASSOCIATION) if seen else []
-    terms = {seen[i]: k for k, i in enumerate(sorted(kept, key=lambda i: seen[i]))}
-    idf = np.zeros(len(terms))
-    for t, k in terms.items():
-        idf[k] = 1 + np.log(len(texts) / (df[1][t] + df[0][t]))
+    kept = strength(df1, df0, n1, n0) > 0
+    # What would be kept without one example that has the term: an example must not choose the terms it is judged by.
+    without = strength(df1, df0 - 1, n1, n0 - 1) > 0, strength(df1 - 1, df0, n1 - 1, n0) > 0
+    chosen = np.concatenate([np.flatnonzero(kept), np.flatnonzero(~kept & without[0])])
+    every = {seen[i]: k for k, i in enumerate(chosen.tolist())}
+    usable = [set(np.flatnonzero(w[chosen]).tolist()) for w in without]
+    idf = (1 + np.log(len(texts) / (df1 + df0))) * np.where(kept, strength(df1, df0, n1, n0), strength(df1, df0 - 1, n1, n0 - 1))
+    idf = idf[chosen]
+    numbers = Recent(lambda w: tuple(every[t] for t in terms_of(w) if t in every), 300_000, 64)
     order = np.argsort(-label, kind="stable")  # blocks of one label keep their bounds tight
-    rows: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for place, i in enumerate(order.tolist()):
-        ids, w = vector(bags[i], terms, idf)
-        for t, x in zip(ids.tolist(), w.tolist()):
-            rows[t].append((place, x))
-    examples = [np.array([e for e, _ in r], np.int32) for r in rows]
-    weights = [np.array([x for _, x in r]) for r in rows]
-    block_max = np.zeros((len(terms), -(-len(texts) // BLOCK)))
-    for t, (e, x) in enumerate(zip(examples, weights)):
-        np.maximum.at(block_max[t], e // BLOCK, x)
-    borders = np.arange(block_max.shape[1] + 1) * BLOCK
-    heads = np.array([np.searchsorted(e, borders) for e in examples], np.int32).reshape(len(terms), len(borders))
-    index = Index(terms, idf, examples, weights, block_max, heads, label[order], np.array(names or range(len(texts)), np.int64)[order], np.zeros(0), np.zeros(0))
-    votes = np.array([vote(index, bags[i], leave=place) for place, i in enumerate(order.tolist())])
+    vectors = [vector(bags[i], every, idf, numbers.__getitem__) for i in order.tolist()]
+    at = np.repeat(np.arange(len(texts), dtype=np.int32), [len(ids) for ids, _ in vectors])
+    term, value = (np.concatenate([v[k] for v in vectors]) for k in (0, 1))
+    by = np.argsort(term, kind="stable")
+    term, places, values = term[by], at[by], value[by]
+    blocks = -(-len(texts) // BLOCK)
+    cell = term * blocks + places // BLOCK
+    block_max = np.zeros(len(every) * blocks)
+    np.maximum.at(block_max, cell, values)
+    heads = np.searchsorted(cell, np.arange(len(every))[:, None] * blocks + np.arange(blocks + 1)).astype(np.int32)
+    index = Index(every, idf, places, values, block_max.reshape(len(every), blocks), heads, label[order], np.array(names or range(len(texts)), np.int64)[order], np.zeros(0), np.zeros(0))
+    votes = np.array([
+        vote(index, bags[i], leave=place, lookup=lambda w, own=usable[labels[i]]: [t for t in numbers[w] if t in own])
+        for place, i in enumerate(order.tolist())
+    ])
     edges, rates = calibrate(votes, label[order], prior)
-    return index._replace(edges=edges, rates=rates)
+    n = int(kept.sum())
+    end = int(heads[n - 1, -1]) if n else 0
+    return index._replace(
+        terms=dict(list(every.items())[:n]), idf=idf[:n], places=places[:end], values=values[:end],
+        block_max=index.block_max[:n].copy(), heads=heads[:n].copy(), edges=edges, rates=rates,
+    )
 
 
 def bag_of_words(text: str) -> Counter:
@@ -117,11 +145,12 @@ def search(index: Index, ids: np.ndarray, w: np.ndarray, leave: int = -1) -> tup
         blocks = blocks[bound[blocks] >= edge]
         if not len(blocks):
             break
-        score = np.zeros(len(blocks) * BLOCK)
-        for k, i in np.argwhere(index.block_max[np.ix_(ids, blocks)]).tolist():
-            t, b = ids[k], blocks[i]
-            own = slice(*index.heads[t, b : b + 2])
-            score[index.examples[t][own] + (i - b) * BLOCK] += w[k] * index.weights[t][own]
+        k, i = np.nonzero(index.block_max[np.ix_(ids, blocks)])
+        start = index.heads[ids[k], blocks[i]]
+        n = index.heads[ids[k], blocks[i] + 1] - start
+        own = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        to = index.places[own] + np.repeat((i - blocks[i]) * BLOCK, n)
+        score = np.bincount(to, np.repeat(w[k], n) * index.values[own], len(blocks) * BLOCK)
         e = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         hit = (score > 0) & (e != leave)
         found_e, found_s = np.concatenate([found_e, e[hit]]), np.concatenate([found_s, score[hit]])

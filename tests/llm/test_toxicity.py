@@ -76,3 +76,22 @@ def test_without_labels(spark):
     index = toxicity.fit(d, one, F.lit(True))
     assert [r["score"] for r in toxicity.score(d, index).collect()] == pytest.approx([0.0, 0.0])
     assert toxicity.bag_of_words("A a b") == Counter({"a": 2, "b": 1})
+
+
+def test_few_examples_and_rare_terms_count():
+    rng = random.Random(3)
+    clean = [" ".join(rng.choices(CLEAN, k=30)) for _ in range(60)]
+    bad = [f"{' '.join(rng.choices(CLEAN, k=30))} {' '.join(rng.sample(BAD, 2))}" for _ in range(5)]
+    bad.append(" ".join(rng.choices(CLEAN, k=30)) + " quzzorim")  # the only example with this word
+    index = toxicity.build(clean + bad, [0] * len(clean) + [1] * len(bad), 0.1)
+    assert {"quzzorim", *BAD} <= index.terms.keys() and not any(t.rstrip("*") in CLEAN for t in index.terms)
+    scorer = toxicity.Scorer(index)
+    copy, fresh, fine = scorer(bad[-1]), scorer("tree vile river nasty stone"), scorer(clean[0])
+    assert copy[1] == 1 and copy[2].startswith(f"{len(clean) + len(bad) - 1}:1:")
+    assert fresh[0] >= 0.3 > fine[0]
+
+
+def test_choice_of_terms_does_not_hang_on_the_number_of_examples():
+    small = toxicity.strength(np.array([4.0, 1, 9]), np.array([1.0, 0, 30]), 9, 40)
+    assert np.allclose(small, toxicity.strength(np.array([400.0, 100, 900]), np.array([100.0, 0, 3000]), 900, 4000))
+    assert small[0] > 0 and small[1] > 0 and small[2] == 0
