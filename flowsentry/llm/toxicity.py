@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm import common
 from flowsentry.llm.words import Recent
+from flowsentry.session import materialize
 
 #: The bounded sample the neighbours come from: at most so many examples of each label, in the order of a hash of
 #: their texts, and at most so many characters of each label.
@@ -184,29 +185,38 @@ def calibrate(votes: np.ndarray, label: np.ndarray, prior: float) -> tuple[np.nd
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
+def draw(rows: DataFrame, examples: int, chars: int) -> list[int]:
+    """Ids of (doc_id, n, at) in the order of ``at``, as many as ``examples`` and ``chars`` allow; each is taken if it fits."""
+    ids, left, rest = [], chars, F.lit(True)
+    while len(ids) < examples:
+        some = rows.where(rest & (F.col("n") <= left)).orderBy("at", "doc_id").limit(examples).collect()
+        for r in some:
+            if r["n"] <= left and len(ids) < examples:
+                ids.append(r["doc_id"])
+                left -= r["n"]
+        if len(some) < examples:
+            break
+        last = some[-1]
+        rest = (F.col("at") > last["at"]) | ((F.col("at") == last["at"]) & (F.col("doc_id") > last["doc_id"]))
+    return ids
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, examples: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Index | None:
     """The index over a bounded sample of the labelled rows for which ``usable`` (over doc_id) holds.
 
-    Of each label, the first ``examples`` rows in the order of a hash of the id are taken, as long as their texts sum up
-    to at most ``chars`` characters. Shares of the labels are counted over all usable labelled rows. None without labels.
+    Of each label, the first ``examples`` rows in the order of a hash of the id are taken whose texts sum up to at most
+    ``chars`` characters; a text that does not fit is passed over. Shares of the labels are counted over all usable labelled rows. None without labels.
     """
     known = labels.where(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not counts:
         return None
-    order = F.xxhash64("doc_id")
-    chosen = {
-        y: [r["doc_id"] for r in known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples).collect()]
-        for y in counts
-    }
-    wanted = [i for ids in chosen.values() for i in ids]
     size = F.char_length(F.coalesce("text", F.lit("")))
-    sizes = docs.where(F.col("doc_id").isin(wanted)).groupBy("doc_id").agg(F.max(size).alias("n")).collect()
-    n = {r["doc_id"]: r["n"] for r in sizes}
+    sizes = docs.groupBy("doc_id").agg(F.max(size).alias("n"))
+    drawn = materialize(known.join(sizes, "doc_id").withColumn("at", F.xxhash64("doc_id")), "example-sizes")
     taken, of, named = [], [], []
-    for y, ids in sorted(chosen.items()):
-        ids = [i for i in ids if i in n]
-        ids = [i for i, s in zip(ids, np.cumsum([n[i] for i in ids])) if s <= chars]
+    for y in sorted(counts):
+        ids = draw(drawn.where(F.col("toxic") == y), examples, chars)
         some = docs.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.max("text").alias("text")).collect()
         some.sort(key=lambda r: r["doc_id"])
         taken += [r["text"] or "" for r in some]

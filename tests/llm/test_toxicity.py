@@ -95,3 +95,18 @@ def test_choice_of_terms_does_not_hang_on_the_number_of_examples():
     small = toxicity.strength(np.array([4.0, 1, 9]), np.array([1.0, 0, 30]), 9, 40)
     assert np.allclose(small, toxicity.strength(np.array([400.0, 100, 900]), np.array([100.0, 0, 3000]), 900, 4000))
     assert small[0] > 0 and small[1] > 0 and small[2] == 0
+
+
+def test_long_example_does_not_end_the_sample(spark):
+    common.prepare(spark)
+    rows = texts(40)
+    long = {i for i, *_ in rows if i % 8 < 2}  # of each label some
+    d = spark.createDataFrame([(i, t + " x" * 5000 * (i in long)) for i, t, _ in rows], "doc_id long, text string")
+    y = spark.createDataFrame([(i, v, 1) for i, _, v in rows], "doc_id long, toxic int, quality int")
+    index = toxicity.fit(d, y, F.lit(True), chars=9000)
+    short = {(i, v) for i, _, v in rows if i not in long and v == 1}
+    got = set(zip(index.ids.tolist(), index.label.tolist()))
+    assert short <= got and not long & {i for i, _ in got}
+    few = {v: sum(y == v for _, y in zip(*(index.ids, index.label))) for v in (0, 1)}
+    again = toxicity.fit(d, y, F.lit(True), examples=3, chars=9000)
+    assert few[1] == 5 and again.label.tolist() == [1, 1, 1, 0, 0, 0] and not long & set(again.ids.tolist())
