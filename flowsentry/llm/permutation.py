@@ -41,11 +41,13 @@ def footrule(pivots: np.ndarray, best: int, prefix: int, share: float, least: in
     def search(ids, rows, query_ids, queries):
         width = max(pivots.shape[1], max(map(len, rows)), max(map(len, queries)))
         q = _matrix(queries, width)
-        # Copies of a vector are one entry of the index; the first of them by id can be among the best, no others.
+        # Copies of a vector are one entry of the index; the first of them by id can be among the best, no others. Rows with
+        # the query's own id take no place from them.
         x, inverse = np.unique(_matrix(rows, width), axis=0, return_inverse=True)
         by_vector = np.argsort(inverse.ravel(), kind="stable")
         first = np.searchsorted(inverse.ravel()[by_vector], np.arange(len(x) + 1))
-        copies = np.minimum(np.diff(first), best + 1)
+        same = np.sort(ids)
+        repeats = np.searchsorted(same, query_ids, "right") - np.searchsorted(same, query_ids)
         p = np.zeros((len(pivots), width))
         p[:, : pivots.shape[1]] = pivots
         own = prefixes(x, p, prefix)
@@ -62,9 +64,10 @@ def footrule(pivots: np.ndarray, best: int, prefix: int, share: float, least: in
                 where, places = files[pivot]
                 saved[where] += length - np.abs(places - at)
             near = best_of(saved, keep)
-            score = np.repeat((x[near] * q[i]).sum(1), copies[near])
-            nth = np.arange(len(score)) - np.repeat(np.cumsum(copies[near]) - copies[near], copies[near])
-            found = by_vector[np.repeat(first[near], copies[near]) + nth]
+            copies = np.minimum(first[near + 1] - first[near], best + repeats[i])
+            score = np.repeat((x[near] * q[i]).sum(1), copies)
+            nth = np.arange(len(score)) - np.repeat(np.cumsum(copies) - copies, copies)
+            found = by_vector[np.repeat(first[near], copies) + nth]
             order = np.argsort(found)
             order = order[ids[found[order]] != query_ids[i]]
             kept = order[best_of(score[order], best)]

@@ -74,3 +74,11 @@ def test_recall(spark):
     want = brute(data, 20, 20, lambda e: e, False)
     hit = {(r["query_id"], r["vec_id"]) for r in got} & {(r[0], r[2]) for r in want}
     assert len(hit) >= 0.9 * len(want)
+
+
+def test_repeated_query_rows_leave_room_for_copies(spark):
+    common.prepare(spark)
+    rows = [(20, [1.0, 0.5])] * 30 + [(100 + i, [1.0, 0.5]) for i in range(1, 20)] + [(200 + i, [0.5, i / 10]) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, permutation.nearest(df, F.col("vec_id") == 20, best=5, share=1.0).collect()))
+    assert [(q, rank, i) for q, rank, i, _ in got] == [(20, r, 100 + r) for r in range(1, 6)]
