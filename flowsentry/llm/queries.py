@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import bpe, common, katz, packing, pages, permutation, preferences, secrets, simhash, topk, toxicity
+from flowsentry.llm import bpe, common, katz, linededup, packing, pages, permutation, preferences, secrets, simhash, topk, toxicity
 from flowsentry.plans.catalog import Catalog
 
 
@@ -22,6 +22,20 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 """
 
 
+OP11_SQL = r"""
+with d as (
+  select row_number() over () as place, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select place, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from d),
+k as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+f as (select key from k where length(key) >= 1 group by key having count(distinct place) >= 10)
+select any_value(k.doc_id) as doc_id, count(*)::bigint as n_lines, count(f.key)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where f.key is null), '')) as kept_sha256
+from k left join f on k.key = f.key group by place
+"""
+
+
 def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k and 2k + 1 are the chosen and the rejected side of pair k."""
     conv = F.col("conv_id")
@@ -100,6 +114,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(common.table(spark, sf_dir, "documents"), least_documents=10, least_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def register(catalog: Catalog) -> None:
     catalog.add("op1_preferences", preferences.ORACLE)(op1_preferences)
     catalog.add("op2_secret_scan")(op2_secret_scan)
@@ -111,3 +130,4 @@ def register(catalog: Catalog) -> None:
     catalog.add("op8_packing")(op8_packing)
     catalog.add("op9_simhash")(op9_simhash)
     catalog.add("op10_bpe")(op10_bpe)
+    catalog.add("op11_line_dedup", OP11_SQL)(op11_line_dedup)
