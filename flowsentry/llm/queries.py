@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import bpe, common, katz, linededup, packing, pages, permutation, preferences, secrets, simhash, topk, toxicity
+from flowsentry.llm import bpe, common, katz, linededup, packing, pages, permutation, preferences, repair, secrets, simhash, topk, toxicity
 from flowsentry.plans.catalog import Catalog
 
 
@@ -119,6 +119,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = common.table(spark, sf_dir, "conversations")
+    return repair.repair_report(conversations, repair.damage(conversations))
+
+
 def register(catalog: Catalog) -> None:
     catalog.add("op1_preferences", preferences.ORACLE)(op1_preferences)
     catalog.add("op2_secret_scan")(op2_secret_scan)
@@ -131,3 +136,4 @@ def register(catalog: Catalog) -> None:
     catalog.add("op9_simhash")(op9_simhash)
     catalog.add("op10_bpe")(op10_bpe)
     catalog.add("op11_line_dedup", OP11_SQL)(op11_line_dedup)
+    catalog.add("op12_conversation_repair")(op12_conversation_repair)
