@@ -3,7 +3,7 @@
 All rows are dealt out by ranges of (conv_id, turn, place in the table), so that a conversation of any length lies in
 neighbouring partitions in its order, and are cut into blocks of at most BLOCK rows there. A block that is a whole
 conversation is searched once. The blocks of a longer one are searched for each state before and behind them; these small
-tables are combined by FAN neighbours at a time, level by level, and the way that was chosen at the top is handed down
+tables are combined by 64 neighbours at a time, level by level, and the way that was chosen at the top is handed down
 again. So no task holds a conversation.
 """
 
@@ -12,15 +12,15 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.llm import common, editsearch
 from flowsentry.session import materialize
 
-#: Rows of a block, nodes that are combined at a time, and nodes of a partition while combining.
-BLOCK, FAN = 64, 64
-NODES = 16 * FAN
+#: Rows of a block; two to the power of FAN_BITS neighbouring nodes are combined at a time.
+BLOCK, FAN_BITS = 64, 6
 
 #: What is known of a stretch of rows: counts, then what its neighbours have to know.
 STATS = ["rows", "blank", "duplicate", "truncated", "illegal", "least_turn", "most_turn", "turns", "first_initial", "last_initial", "first_turn", "last_turn"]
@@ -29,11 +29,11 @@ EDIT = ["conv_id", "turn", "place", "k", "edit", "role", "text"]
 WHOLE, PIECE, EDITED, RAW = range(4)
 CUT = (
     "kind int, conv_id long, turn long, place long, k int, edit string, role string, text string, node long, stats array<long>, "
-    "costs array<long>, ranks array<long>, audits array<string>, cost long"
+    "costs array<long>, ranks array<long>, audits array<string>, cost long, part long, at long"
 )
-NODE = "conv_id long, turn long, place long, stats array<long>, costs array<long>, ranks array<long>, children array<long>, states array<binary>"
+NODE = "conv_id long, place long, pos long, stats array<long>, costs array<long>, ranks array<long>, children array<long>, states array<binary>"
 
-TOP = "conv_id long, turn long, place long, stats array<long>, cost long, leaving int"
+TOP = "conv_id long, place long, stats array<long>, cost long, leaving int"
 WAY = "node long, entry int, leaving int, last boolean"
 
 _NOT_BLANK = "[^\\x20\\x09-\\x0D]"
@@ -124,93 +124,85 @@ def _edits(rows: list[dict], audit: str, entry: int):
 def cut(rows: DataFrame) -> DataFrame:
     """Rows in order, cut into blocks; see CUT."""
 
-    def finished(block, whole):
+    def finished(block, whole, at):
         r, stats = block[0], stretch(block)
         states = [(x["initial"], x["mode"]) for x in block]
         if whole:
             cost, audit = editsearch.search(states)
-            yield WHOLE, r["conv_id"], r["turn"], r["place"], None, None, None, None, None, stats, None, None, [audit], cost
+            yield WHOLE, r["conv_id"], r["turn"], r["place"], None, None, None, None, None, stats, None, None, [audit], cost, None, None
             for conv_id, turn, place, k, edit, role, text in _edits(block, audit, editsearch.START):
-                yield EDITED, conv_id, turn, place, k, edit, role, text, None, None, None, None, None, None
+                yield EDITED, conv_id, turn, place, k, edit, role, text, None, None, None, None, None, None, None, None
         else:
             found = editsearch.ways(states)
             audits = [w and w[1] for w in found]
             costs = [-1 if w is None else w[0] for w in found]
-            yield PIECE, r["conv_id"], r["turn"], r["place"], None, None, None, None, r["place"], stats, costs, editsearch.ranks(audits), audits, None
+            tables = stats, costs, editsearch.ranks(audits), audits
+            yield PIECE, r["conv_id"], r["turn"], r["place"], None, None, None, None, r["place"], *tables, None, *at
             for k, x in enumerate(block):
-                yield RAW, x["conv_id"], x["turn"], x["place"], k, None, x["role"], x["text"], r["place"], None, None, None, None, None
+                yield RAW, x["conv_id"], x["turn"], x["place"], k, None, x["role"], x["text"], r["place"], None, None, None, None, None, None, None
 
     def run(batches):
         # begun: this conversation starts here, since another one ended before it in this partition.
-        block, begun, first = [], False, True
+        block, begun, part, at = [], False, TaskContext.get().partitionId(), 0
         for batch in batches:
             for r in batch.to_pylist():
-                if block and r["conv_id"] != block[0]["conv_id"]:
-                    yield from finished(block, begun)
-                    block, begun, first = [], True, False
-                elif len(block) == BLOCK:
-                    yield from finished(block, False)
-                    block, begun = [], False
+                other = bool(block) and r["conv_id"] != block[0]["conv_id"]
+                if other or len(block) == BLOCK:
+                    yield from finished(block, begun and other, (part, at))
+                    block, begun, at = [], other, at + 1
                 block.append(r)
         if block:
-            yield from finished(block, False)
+            yield from finished(block, False, (part, at))
 
     order = ["conv_id", "turn", "place"]
     return common.map_rows(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, CUT)
 
 
+KEPT = ["conv_id", "place", "pos", "stats", "costs", "ranks"]
+
+
 def combine(nodes: DataFrame) -> DataFrame:
-    """Up to FAN neighbouring nodes of a conversation in one; see NODE."""
+    """Nodes of a conversation whose ``pos`` differ in the last FAN_BITS bits only, in one; see NODE."""
 
     def merged(group):
         costs, ranks, states = editsearch.chain([(n["costs"], n["ranks"]) for n in group])
+        stats = add([n["stats"] for n in group])
         first = group[0]
-        return (
-            first["conv_id"], first["turn"], first["place"], add([n["stats"] for n in group]), costs, ranks,
-            [n["place"] for n in group], states,
-        )
+        return first["conv_id"], first["place"], first["pos"] >> FAN_BITS, stats, costs, ranks, [n["place"] for n in group], states
 
     def run(batches):
         group = []
         for batch in batches:
             for n in batch.to_pylist():
-                if group and (n["conv_id"] != group[0]["conv_id"] or len(group) == FAN):
+                if group and (n["conv_id"], n["pos"] >> FAN_BITS) != (group[0]["conv_id"], group[0]["pos"] >> FAN_BITS):
                     yield merged(group)
                     group = []
                 group.append(n)
         if group:
             yield merged(group)
 
-    order = ["conv_id", "turn", "place"]
-    parts = max(1, nodes.count() // NODES)
-    return common.map_rows(nodes.repartitionByRange(parts, *order).sortWithinPartitions(*order), run, NODE)
+    together = nodes.repartition("conv_id", F.shiftright("pos", FAN_BITS)).sortWithinPartitions("conv_id", "pos")
+    return common.map_rows(together, run, NODE)
 
 
 def choose(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((conv_id, turn, place, stats, cost, leaving) of each conversation, (node, entry, leaving, last) of each block).
+    """((conv_id, place, stats, cost, leaving) of each conversation, (node, entry, leaving, last) of each block).
 
-    ``leaving`` is the state behind the last row, ``last`` marks a conversation's last block.
+    ``leaving`` is the state behind the last row, ``last`` marks a conversation's last block. A node is named by the place
+    of its first row. Its ``pos`` grows with the partition and the block in it, and loses FAN_BITS bits on each level.
     """
+    most_part, most_at = pieces.agg(F.coalesce(F.max("part"), F.lit(0)), F.coalesce(F.max("at"), F.lit(0))).first()
+    width = most_at.bit_length()
+    nodes, levels = pieces.withColumn("pos", F.shiftleft("part", width) + F.col("at")).select(*KEPT), []
+    for _ in range(max(1, -(-(most_part.bit_length() + width) // FAN_BITS))):
+        levels.append(materialize(combine(nodes), "chat-nodes"))
+        nodes = levels[-1].select(*KEPT)
 
     def top(batches):
         for batch in batches:
             for n in batch.to_pylist():
                 cost, leaving = editsearch.finish(n["costs"], n["ranks"])
-                yield n["conv_id"], n["turn"], n["place"], n["stats"], cost, leaving
-
-    kept = ["conv_id", "turn", "place", "stats", "costs", "ranks"]
-    nodes, levels = pieces.select(*kept), []
-    while True:
-        level = materialize(combine(nodes), "chat-nodes")
-        several = level.groupBy(F.col("conv_id").alias("several")).count().where("count > 1")
-        same = F.col("conv_id").eqNullSafe(F.col("several"))
-        ended = common.map_rows(level.select(*kept).join(several, same, "left_anti"), top, TOP)
-        levels.append((level, ended))
-        # Only what is not yet one node goes on, so its nodes become fewer on each level, and so do the partitions.
-        nodes = materialize(level.select(*kept).join(several, same, "left_semi"), "chat-nodes")
-        if nodes.isEmpty():
-            break
-    tops = materialize(reduce(DataFrame.unionByName, [t for _, t in levels]), "chat-tops")
+                yield n["conv_id"], n["place"], n["stats"], cost, leaving
 
     def down(batches):
         for batch in batches:
@@ -219,13 +211,11 @@ def choose(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for k, child in enumerate(n["children"]):
                     yield child, path[k], path[k + 1], n["last"] and k + 1 == len(n["children"])
 
+    tops = common.map_rows(nodes, top, TOP)
     chosen = tops.select(F.col("place").alias("node"), F.lit(editsearch.START).alias("entry"), "leaving", F.lit(True).alias("last"))
-    for level, _ in reversed(levels):
-        # A node has the place of its first child, so one name stands for all levels of it: the way of the top is kept
-        # until the level it ended on has taken it.
+    for level in reversed(levels):
         inner = level.select(F.col("place").alias("node"), "children", "states")
-        below = materialize(common.map_rows(chosen.join(inner, "node"), down, WAY), "chat-ways")
-        chosen = below.unionByName(chosen.join(inner, "node", "left_anti"))
+        chosen = materialize(common.map_rows(chosen.join(inner, "node"), down, WAY), "chat-ways")
     return tops, chosen
 
 
@@ -252,7 +242,7 @@ def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # The edits of each block of a cut conversation, on its way.
     closing = reduce(lambda c, q: c.when(F.col("leaving") == q, editsearch.CLOSING[q]), editsearch.CLOSING, F.when(F.lit(False), ""))
-    taken = pieces.drop("k", "edit", "role", "text", "cost").join(ways, "node")
+    taken = pieces.select("conv_id", "turn", "place", "node", "audits").join(ways, "node")
     taken = taken.withColumn("audit", F.concat(F.element_at("audits", _way(F.col("entry"), F.col("leaving"))), F.when(F.col("last"), closing).otherwise("")))
     taken = materialize(taken.select("conv_id", "turn", "place", "node", "entry", "audit"), "chat-audits")
 

@@ -138,11 +138,10 @@ def random_table(rng):
     return rows
 
 
-@pytest.mark.parametrize("block, fan", [(64, 64), (3, 2)])
+@pytest.mark.parametrize("block, fan", [(64, 6), (3, 1)])
 def test_repair_in_spark(spark, monkeypatch, block, fan):
     monkeypatch.setattr(repair, "BLOCK", block)
-    monkeypatch.setattr(repair, "FAN", fan)
-    monkeypatch.setattr(repair, "NODES", 4)
+    monkeypatch.setattr(repair, "FAN_BITS", fan)
     common.prepare(spark)
     rows = random_table(random.Random(block))
     df = spark.createDataFrame([(*r, 1, "n") for r in rows], "conv_id long, turn long, role string, text string, node int, audit string")
@@ -160,8 +159,7 @@ def test_repair_in_spark(spark, monkeypatch, block, fan):
 def test_one_conversation_of_all_rows(spark, monkeypatch):
     """A single conversation, cut into many blocks over all partitions and three levels of nodes."""
     monkeypatch.setattr(repair, "BLOCK", 4)
-    monkeypatch.setattr(repair, "FAN", 4)
-    monkeypatch.setattr(repair, "NODES", 64)
+    monkeypatch.setattr(repair, "FAN_BITS", 2)
     common.prepare(spark)
     rng = random.Random(5)
     rows = [(1, t, rng.choice(["user", "assistant"]), rng.choice(["Same.", f"{t}.", "x", f"{t}"])) for t in range(500)]
