@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import bpe, common, katz, linededup, packing, pages, permutation, preferences, repair, secrets, simhash, topk, toxicity
+from flowsentry.llm import align, bpe, common, katz, linededup, packing, pages, permutation, preferences, repair, secrets, simhash, topk, toxicity
 from flowsentry.plans.catalog import Catalog
 
 
@@ -124,6 +124,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(conversations, repair.damage(conversations))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_statistics(common.table(spark, sf_dir, "documents"))
+
+
 def register(catalog: Catalog) -> None:
     catalog.add("op1_preferences", preferences.ORACLE)(op1_preferences)
     catalog.add("op2_secret_scan")(op2_secret_scan)
@@ -137,3 +141,4 @@ def register(catalog: Catalog) -> None:
     catalog.add("op10_bpe")(op10_bpe)
     catalog.add("op11_line_dedup", OP11_SQL)(op11_line_dedup)
     catalog.add("op12_conversation_repair")(op12_conversation_repair)
+    catalog.add("op13_token_alignment")(op13_token_alignment)
