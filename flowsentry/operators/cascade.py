@@ -6,16 +6,18 @@ is invisible to the later ones; a SYN or login candidate held back by its cooldo
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowsentry.functions import labels as L
 from flowsentry.functions import scalars as S
-from flowsentry.operators import flows, intel, rules as rule_ops, thresholds
+from flowsentry.operators import dense, flows, intel, rules as rule_ops, thresholds
 from flowsentry.operators.cooldown import first_per_key
+from flowsentry.operators.flows import IDENTITY
 from flowsentry.session import materialize
 
 
@@ -25,26 +27,22 @@ class CascadeConfig:
     mode: str = "detect-only"
     syn: thresholds.SynFlood = field(default_factory=thresholds.SynFlood)
     services: list = field(default_factory=lambda: thresholds.LOGIN_SERVICES)
-    #: Time block of the flow windows; a batch run measures it if none is given.
+    #: Time block of the flow windows.
     flow_block_us: int | None = None
     #: Scores feature rows (adds ``ml``); the built-in heuristic is used when none is given.
     scorer: Callable[[DataFrame], DataFrame] | None = None
 
 
-@dataclass
-class Carry:
-    """What an earlier slice of the same stream leaves behind; all parts are optional."""
-
-    syn_rows: DataFrame | None = None
-    syn_alerts: DataFrame | None = None
-    login_rows: DataFrame | None = None
-    login_alerts: DataFrame | None = None
-    sessions: DataFrame | None = None
+def by_event(rows: DataFrame, hits: DataFrame, how: str) -> DataFrame:
+    """Join ``rows`` with ``hits`` by ``flows.IDENTITY``, nulls equal, without the hits' own key columns."""
+    named = hits.withColumnsRenamed({k: f"{k}_hit" for k in IDENTITY})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_hit")) for k in IDENTITY])
+    return rows.join(named, same, how).drop(*[f"{k}_hit" for k in IDENTITY])
 
 
 def without_events(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows an earlier stage has not taken."""
-    return rows.join(hits.select("event_id"), "event_id", "left_anti")
+    return by_event(rows, hits.select(*IDENTITY), "left_anti")
 
 
 def heuristic_scorer(features: DataFrame) -> DataFrame:
@@ -64,25 +62,17 @@ class Stages:
 
     @property
     def hits(self) -> DataFrame:
-        columns = ["event_id", "name", "severity"]
+        columns = [*IDENTITY, "name", "severity"]
         return self.syn_hits.select(*columns).unionByName(self.login_hits.select(*columns))
 
 
-def counting_stages(flagged: DataFrame, config: CascadeConfig, carry: Carry = Carry()) -> Stages:
+def counting_stages(flagged: DataFrame, config: CascadeConfig) -> Stages:
     """SYN and login detection on packets that carry an ``ioc`` flag."""
-    # Narrow, few, and read by both detectors: matched against the indicators once.
-    syn_rows = materialize(
-        thresholds.syn_only(flagged.where(~F.col("ioc"))).select("event_id", "t_us", "src_ip", "dst_port"), "syn-rows"
-    )
-    past = None if carry.syn_rows is None else carry.syn_rows.select("src_ip", "t_us", "event_id")
-    syn_hits = thresholds.syn_flood(syn_rows, config.syn, last_alerts=carry.syn_alerts, history=past)
-    login_rows = without_events(
-        syn_rows.where(F.col("dst_port").isin([s.port for s in config.services])), syn_hits
-    )
-    login_hits = thresholds.login_bruteforce(
-        login_rows, config.services, last_alerts=carry.login_alerts, history=carry.login_rows
-    )
-    return Stages(syn_rows, syn_hits, login_rows, login_hits)
+    # Narrow, few, and read by both detectors.
+    syn_rows = materialize(thresholds.syn_only(flagged.where(~F.col("ioc"))).select(*IDENTITY, "dst_port"), "syn-rows")
+    syn_hits = thresholds.syn_flood(syn_rows, config.syn)
+    login_rows = without_events(syn_rows.where(F.col("dst_port").isin([s.port for s in config.services])), syn_hits)
+    return Stages(syn_rows, syn_hits, login_rows, thresholds.login_bruteforce(login_rows, config.services))
 
 
 def signature_struct(name: Column, severity: Column, sid: Column, engine: Column) -> Column:
@@ -91,38 +81,33 @@ def signature_struct(name: Column, severity: Column, sid: Column, engine: Column
     )
 
 
-def score_and_match(
-    packets: DataFrame,
-    flagged: DataFrame,
-    stages: Stages,
-    rules: DataFrame,
-    config: CascadeConfig,
-    carry: Carry = Carry(),
-) -> DataFrame:
-    """Feature rows with ``sig`` (struct or null), ``ml`` and ``ml_label``."""
-    marks = stages.hits.select("event_id", F.col("name").alias("hit_name"), F.col("severity").alias("hit_severity"))
-    marked = flagged.join(marks, "event_id", "left")
-    features = flows.flow_features(marked, block_us=config.flow_block_us or flows.BLOCK_US, open_sessions=carry.sessions)
-    matched = rule_ops.first_rule_match(features, rules)
+def signature_of(rule: Column) -> Column:
+    """``sig`` of a row with ``ioc``, ``hit_name`` and ``hit_severity``: the first stage that takes it, else null."""
     none = F.lit(None).cast("string")
-    sig = (
-        F.when(
-            F.col("ioc"),
-            signature_struct(F.lit(intel.IOC_NAME), F.lit(intel.IOC_SEVERITY), none, F.lit("otx")),
-        )
+    return (
+        F.when(F.col("ioc"), signature_struct(F.lit(intel.IOC_NAME), F.lit(intel.IOC_SEVERITY), none, F.lit("otx")))
         .when(
             F.col("hit_name").isNotNull(),
             signature_struct(F.col("hit_name"), F.col("hit_severity"), none, F.lit("builtin")),
         )
-        .when(
-            F.col("rule").isNotNull(),
-            signature_struct(
-                F.col("rule.name"), F.col("rule.severity"), F.col("rule.sid"), F.col("rule.source_engine")
-            ),
-        )
+        .when(rule.isNotNull(), signature_struct(rule["name"], rule["severity"], rule["sid"], rule["source_engine"]))
     )
-    scored = (config.scorer or heuristic_scorer)(matched.withColumn("sig", sig))
-    return scored.withColumn("ml_label", L.anomaly_label(F.col("ml"), config.threshold))
+
+
+def scored(features: DataFrame, config: CascadeConfig) -> DataFrame:
+    """Feature rows with ``ml`` and ``ml_label``."""
+    rows = (config.scorer or heuristic_scorer)(features)
+    return rows.withColumn("ml_label", L.anomaly_label(F.col("ml"), config.threshold))
+
+
+def score_and_match(flagged: DataFrame, stages: Stages, rules: DataFrame, config: CascadeConfig) -> DataFrame:
+    """Feature rows with ``sig`` (struct or null), ``ml`` and ``ml_label``."""
+    marks = stages.hits.select(*IDENTITY, F.col("name").alias("hit_name"), F.col("severity").alias("hit_severity"))
+    block_us = config.flow_block_us or flows.BLOCK_US
+    marked = by_event(dense.cut_blocks(flagged, flows.FLOW_KEY, block_us), marks, "left")
+    features = flows.flow_features(marked, block_us=block_us)
+    matched = rule_ops.first_rule_match(features, rules)
+    return scored(matched.withColumn("sig", signature_of(F.col("rule"))), config)
 
 
 def alert_columns(kind: Column, score: Column, action: Column, source: Column, sid: Column) -> list[Column]:
@@ -146,8 +131,11 @@ def alert_columns(kind: Column, score: Column, action: Column, source: Column, s
     ]
 
 
-def build_alerts(scored: DataFrame, mode: str) -> DataFrame:
-    """At most one alert per event: the signature if there is one, else the model's."""
+def build_alerts(scored: DataFrame, mode: str, also: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """At most one alert per event: the signature if there is one, else the model's.
+
+    ``also`` keeps further rows, ``extra`` further columns.
+    """
     is_sig = F.col("sig").isNotNull()
     label = F.col("ml_label")
     confirmed = is_sig & F.contains(F.col("sig.name"), F.lit("L7BruteForce")) & (label != "benign")
@@ -158,7 +146,9 @@ def build_alerts(scored: DataFrame, mode: str) -> DataFrame:
     )
     kind = F.when(is_sig, F.concat(F.lit("signature:"), F.col("sig.name"))).otherwise(label)
     source = F.when(is_sig, F.col("sig.source_engine")).otherwise(F.lit("ml"))
-    return scored.where(is_sig | (label != "benign")).select(
+    wanted = is_sig | (label != "benign")
+    return scored.where(wanted if also is None else wanted | also).select(
+        *extra,
         *alert_columns(kind, score, L.policy_action(mode, is_sig), source, F.col("sig.sid")),
         F.when(is_sig, S.round4(F.col("ml"))).alias("ml_score"),
         F.when(confirmed, F.lit(True)).alias("hybrid_confirmed"),
@@ -172,17 +162,18 @@ def run_cascade(
 ) -> DataFrame:
     """Alerts for a bounded set of packets (or normalised events), each with its own ``event_id`` and a time.
 
-    Hits are joined back by ``event_id``, so rows without one, or without a time, are refused.
+    The input is read once, matched against the indicators and written; all stages read that table. Rows without an id
+    or a time are refused. Rows equal in ``flows.IDENTITY`` are one event that was delivered more than once.
     """
     config = config or CascadeConfig()
-    nameless = packets.where(F.col("event_id").isNull() | F.col("t_us").isNull()).limit(1).count()
-    if nameless:
+    nameless = F.col("event_id").isNull() | F.col("t_us").isNull()
+    seen = Observation()
+    flagged = intel.ioc_match(packets.observe(seen, F.count(F.when(nameless, 1)).alias("nameless")), indicators)
+    flagged = materialize(flagged, "events")
+    if seen.get["nameless"]:
         raise ValueError("every event needs an event_id and a time; see readers.event_keys and readers.rejected_events")
-    if config.flow_block_us is None:
-        config = replace(config, flow_block_us=flows.block_length(packets))
-    flagged = intel.ioc_match(packets, indicators)
-    stages = counting_stages(flagged, config)
-    return build_alerts(score_and_match(packets, flagged, stages, rules, config), config.mode)
+    flagged = flows.unique_events(flagged)
+    return build_alerts(score_and_match(flagged, counting_stages(flagged, config), rules, config), config.mode)
 
 
 def signature_alerts(alerts: DataFrame) -> DataFrame:

@@ -1,26 +1,32 @@
 """Alert cooldown: per key, keep a candidate only if the last kept one is at least the cooldown away.
 
-The rule is greedy and therefore sequential along a key. Keys with few candidates are folded inside one
-row. A key with many candidates is cut into time blocks: every block is reduced, in parallel, to a map from
-"earliest time an alert is allowed when the block begins" to "last alert kept in the block", neighbouring
-maps are combined, and only these small maps are walked in time order. Each block then picks its own alerts.
+The rule is greedy and therefore sequential along a key. All candidates are dealt out by ranges of (key, time), so
+partitions are of equal size whatever the keys. Within a partition times are jumped through in order. Only the key a
+partition begins with may have begun before: for it the partition gives a map from "earliest time an alert is allowed"
+to "last alert kept here". Maps of neighbouring partitions are combined by 64, level by level, and what is allowed at
+the start of each is handed down again; the partition's own alerts follow from that.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowsentry.session import materialize
 
-#: Candidates a key may have to be folded in one row; counted before anything is collected. The fold copies what it has
-#: kept with each alert, so the limit bounds that too.
-FOLD_LIMIT = 4_096
-BLOCK_COOLDOWNS = 2
-BLOCKS_PER_SPAN = 64
+#: Two to this power maps are combined at a time.
+FAN_BITS = 6
+
+#: Kinds of rows a partition gives: an alert, the times of its first key, and a map.
+KEPT, WAITING, MAP = range(3)
+PARTS = "kind int, key string, cd long, pos long, t_us long, times binary, upto binary, last binary"
+NODE = "key string, cd long, pos long, upto binary, last binary"
+ENTER = "key string, pos long, allowed long"
+FIRST, NEVER = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def keep_after_cooldown(
@@ -28,7 +34,6 @@ def keep_after_cooldown(
     keys: list[str],
     cooldown_us: Column,
     last_alerts: DataFrame | None = None,
-    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Kept candidates. ``cooldown_us`` must be constant within a key.
 
@@ -46,99 +51,130 @@ def keep_after_cooldown(
         )
     body = F.struct("event_id", *[c for c in payload if c != "event_id"])
     ticks = timed.groupBy(*keys, "_cd", "t_us").agg(F.min(body).alias("_body"))
-    # Later stages read the candidates several times; writing them once keeps the plan from multiplying.
-    ticks = materialize(ticks, "candidates")
-
-    many = ticks.groupBy(*keys).count().where(F.col("count") > fold_limit).select(*keys)
-    if many.isEmpty():
-        kept = _fold(ticks, keys)
-    else:
-        few_kept = _fold(ticks.join(many, keys, "left_anti"), keys)
-        kept = few_kept.unionByName(_by_blocks(ticks.join(many, keys, "left_semi"), keys))
+    # Written once: the times are read here, the alerts' own columns at the end.
+    ticks = materialize(ticks.withColumn("_key", F.to_json(F.struct(*keys))), "candidates")
+    times = kept_times(ticks.select(F.col("_key").alias("key"), F.col("_cd").alias("cd"), "t_us"))
+    kept = ticks.join(times.select(F.col("key").alias("_key"), "t_us"), ["_key", "t_us"])
     return kept.select(*keys, "t_us", *[F.col(f"_body.{c}").alias(c) for c in payload]).select(*columns)
 
 
-def _fold(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    tick = F.struct("t_us", "_body")
-    series = ticks.groupBy(*keys, "_cd").agg(F.sort_array(F.collect_list(tick)).alias("_ticks"))
-    tick_type = series.schema["_ticks"].dataType.simpleString()
-    kept = F.aggregate(
-        "_ticks",
-        F.array().cast(tick_type),
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x["t_us"] - F.try_element_at(acc, F.lit(-1))["t_us"] >= F.col("_cd")),
-            F.concat(acc, F.array(x)),
-        ).otherwise(acc),
-    )
-    return series.select(*keys, F.inline(kept))
-
-
-def _by_blocks(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact greedy selection for keys with many candidates."""
-    blocked = ticks.withColumn("_blk", F.floor(F.col("t_us") / (F.col("_cd") * BLOCK_COOLDOWNS))).withColumn(
-        "_span", F.floor(F.col("_blk") / BLOCKS_PER_SPAN)
-    )
-    key_fields = [blocked.schema[k] for k in keys]
-    longs = T.ArrayType(T.LongType())
-
-    def layout(*extra: tuple[str, T.DataType]) -> T.StructType:
-        return T.StructType(key_fields + [T.StructField(n, t) for n, t in extra])
-
-    map_schema = layout(("_cd", T.LongType()), ("_span", T.LongType()), ("_blk", T.LongType()), ("upto", longs), ("last", longs))
-    span_schema = layout(("_cd", T.LongType()), ("_span", T.LongType()), ("upto", longs), ("last", longs))
-    enter_span = layout(("_span", T.LongType()), ("enter", T.LongType()))
-    enter_block = layout(("_blk", T.LongType()), ("enter", T.LongType()))
-
-    def row(pdf: pd.DataFrame, **values) -> dict:
-        return {**{k: pdf[k].iloc[0] for k in keys}, **values}
-
-    def block_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        cd, blk = int(pdf["_cd"].iloc[0]), int(pdf["_blk"].iloc[0])
-        upto, last = entry_map(np.sort(pdf["t_us"].to_numpy()), blk * cd * BLOCK_COOLDOWNS, cd)
-        return pd.DataFrame([row(pdf, _cd=cd, _span=int(pdf["_span"].iloc[0]), _blk=blk, upto=upto, last=last)])
-
-    def span_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        cd, span = int(pdf["_cd"].iloc[0]), int(pdf["_span"].iloc[0])
-        maps = _ordered_maps(pdf, "_blk")
-        upto, last = combine_maps(maps, span * BLOCKS_PER_SPAN * cd * BLOCK_COOLDOWNS, cd)
-        return pd.DataFrame([row(pdf, _cd=cd, _span=span, upto=upto, last=last)])
-
-    def walk_spans(pdf: pd.DataFrame) -> pd.DataFrame:
-        cd = int(pdf["_cd"].iloc[0])
-        steps = walk_maps(_ordered_maps(pdf, "_span"), None, cd)
-        return pd.DataFrame([row(pdf, _span=span, enter=enter) for span, enter in steps])
-
-    def walk_blocks(maps: pd.DataFrame, enter: pd.DataFrame) -> pd.DataFrame:
-        cd = int(maps["_cd"].iloc[0])
-        steps = walk_maps(_ordered_maps(maps, "_blk"), int(enter["enter"].iloc[0]), cd)
-        return pd.DataFrame([row(maps, _blk=blk, enter=start) for blk, start in steps])
-
-    def pick(block: pd.DataFrame, enter: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(block["t_us"].to_numpy())
-        chosen = greedy(times, int(enter["enter"].iloc[0]), int(block["_cd"].iloc[0]))
-        return pd.DataFrame({**{k: block[k].iloc[0] for k in keys}, "t_us": chosen}, columns=[*keys, "t_us"])
-
-    narrow = blocked.select(*keys, "_cd", "_span", "_blk", "t_us")
-    maps = materialize(narrow.groupBy(*keys, "_blk").applyInPandas(block_map, map_schema), "block-maps")
-    spans = maps.groupBy(*keys, "_span").applyInPandas(span_map, span_schema)
-    into_span = spans.groupBy(*keys).applyInPandas(walk_spans, enter_span)
-    into_block = (
-        maps.groupBy(*keys, "_span").cogroup(into_span.groupBy(*keys, "_span")).applyInPandas(walk_blocks, enter_block)
-    )
-    times = (
-        narrow.groupBy(*keys, "_blk")
-        .cogroup(into_block.groupBy(*keys, "_blk"))
-        .applyInPandas(pick, layout(("t_us", T.LongType())))
-    )
-    return ticks.join(times, [*keys, "t_us"]).select(*keys, "t_us", "_body")
-
-
-def _ordered_maps(pdf: pd.DataFrame, order: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    pdf = pdf.sort_values(order)
-    return [
-        (int(o), np.asarray(u, dtype=np.int64), np.asarray(v, dtype=np.int64))
-        for o, u, v in zip(pdf[order], pdf["upto"], pdf["last"])
-    ]
+def kept_times(ticks: DataFrame) -> DataFrame:
+    """(key, t_us) of the candidates that are kept; ``ticks`` is (key, cd, t_us) without repeated rows."""
+    order = ["key", "t_us"]
+    parts = materialize(ticks.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_partition, PARTS), "cooldown-parts")
+    levels = [parts.where(F.col("kind") == MAP).select("key", "cd", "pos", "upto", "last")]
+    highest = levels[0].agg(F.max("pos")).first()[0] or 0
+    for _ in range(max(1, -(-highest.bit_length() // FAN_BITS))):
+        together = levels[-1].repartition("key", F.shiftright("pos", FAN_BITS)).sortWithinPartitions("key", "pos")
+        levels.append(materialize(together.mapInArrow(partial(_combined, FAN_BITS), NODE), "cooldown-maps"))
+    # Nothing is known before a key's first map.
+    enter = levels.pop().select("key", "pos", F.lit(int(FIRST)).alias("allowed"))
+    for level in reversed(levels):
+        both = (
+            enter.select("key", F.col("pos").alias("group"), F.lit(int(FIRST)).alias("pos"), "allowed")
+            .unionByName(level.withColumn("group", F.shiftright("pos", FAN_BITS)), allowMissingColumns=True)
+            .repartition("key", "group")
+            .sortWithinPartitions("key", "group", "pos")
+        )
+        enter = materialize(both.mapInArrow(_handed_down, ENTER), "cooldown-entries")
+    waiting = parts.where(F.col("kind") == WAITING).select("key", "cd", "pos", "times").join(enter, ["key", "pos"])
+    return parts.where(F.col("kind") == KEPT).select("key", "t_us").unionByName(waiting.mapInArrow(_picked, "key string, t_us long"))
+
+
+def _batch(rows: list[tuple], schema: str):
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _longs(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<i8")
+
+
+def _partition(batches):
+    """PARTS of one partition. A place is twice the partition's number, and one more for the last key's."""
+    place = TaskContext.get().partitionId() * 2
+    now, cd, first, held, allowed = None, 0, True, [], FIRST
+
+    def opening():
+        times = np.concatenate(held)
+        upto, last = entry_map(times, int(times[0]), cd)
+        packed = [x.astype("<i8").tobytes() for x in (times, upto, last)]
+        return [(WAITING, now, cd, place, None, packed[0], None, None), (MAP, now, cd, place, None, None, *packed[1:])]
+
+    for batch in batches:
+        keys, cds, times = batch["key"], batch["cd"].to_numpy(), batch["t_us"].to_numpy()
+        ends = keys.dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(times)]
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            key = keys[a].as_py()
+            if now is None:
+                now, cd = key, int(cds[a])
+            elif key != now:
+                if first:
+                    out += opening()
+                now, cd, first, held, allowed = key, int(cds[a]), False, [], FIRST
+            if first:
+                held.append(times[a:b])
+            else:
+                kept = greedy(times[a:b], allowed, cd)
+                allowed = int(kept[-1]) + cd if len(kept) else allowed
+                out += [(KEPT, now, cd, None, t, None, None, None) for t in kept.tolist()]
+        yield _batch(out, PARTS)
+    if now is not None:
+        if first:
+            yield _batch(opening(), PARTS)
+        else:
+            # The key goes on in the next partition from its last alert here, whatever came before.
+            always, last = (np.array([x], "<i8").tobytes() for x in (NEVER, allowed - cd))
+            yield _batch([(MAP, now, cd, place + 1, None, None, always, last)], PARTS)
+
+
+def _combined(bits, batches):
+    """NODE of the maps of each key whose places differ in the last ``bits`` bits only; two maps are held at a time."""
+    group, cd, upto, last, start = None, 0, None, None, 0
+    for batch in batches:
+        for r in batch.to_pylist():
+            mine = (r["key"], r["pos"] >> bits)
+            if mine != group:
+                if group is not None:
+                    yield _batch([(group[0], cd, group[1], upto.astype("<i8").tobytes(), last.astype("<i8").tobytes())], NODE)
+                group, cd, upto, last = mine, r["cd"], _longs(r["upto"]), _longs(r["last"])
+                start = int(upto[0])
+            else:
+                upto, last = combine_maps([(0, upto, last), (1, _longs(r["upto"]), _longs(r["last"]))], start, cd)
+    if group is not None:
+        yield _batch([(group[0], cd, group[1], upto.astype("<i8").tobytes(), last.astype("<i8").tobytes())], NODE)
+
+
+def _handed_down(batches):
+    """ENTER of each map: what is allowed at its start. What is allowed at the start of its group comes first."""
+    allowed = FIRST
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["pos"] == FIRST:
+                allowed = r["allowed"]
+                continue
+            out.append((r["key"], r["pos"], int(allowed)))
+            upto = _longs(r["upto"])
+            at = np.searchsorted(upto, allowed)
+            if at < len(upto):
+                allowed = int(_longs(r["last"])[at]) + r["cd"]
+        yield _batch(out, ENTER)
+
+
+def _picked(batches):
+    for batch in batches:
+        for r in batch.to_pylist():
+            kept = greedy(_longs(r["times"]), r["allowed"], r["cd"])
+            yield _batch([(r["key"], t) for t in kept.tolist()], "key string, t_us long")
 
 
 def _merge_runs(upto: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

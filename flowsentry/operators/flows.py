@@ -1,29 +1,31 @@
 """Event fields, flow sessions and running per-flow features.
 
-A flow key may own a large part of all packets, so no window here spans a whole key. Packets are
-windowed per (flow, time block); what a block inherits from earlier blocks is computed on one
-summary row per block and joined back.
+A flow key may own a large part of all packets, so no window here spans a whole key. Packets are windowed per (flow,
+block), blocks being cut by time and, where packets are dense, by count; what a block inherits from earlier blocks is
+computed on one summary row per block and joined back.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions import scalars as S
+from flowsentry.operators.dense import BLOCK_ROWS, cut_blocks, meet
 from flowsentry.schemas import FLOW_KEY
+from flowsentry.session import materialize
 
 IDLE_GAP_US = 120_000_000
 BLOCK_US = 600_000_000
+#: Rows that are equal in these are one event.
+IDENTITY = ["event_id", "t_us", "src_ip"]
 #: Event columns that make a record a finished flow rather than a packet.
 COUNTERS = ["in_pkts", "out_pkts", "in_bytes", "out_bytes", "duration_ms"]
 
 
-def input_place() -> Column:
-    """A number for each row of a scan that grows within a split in input order; the same whenever the splits are."""
-    return F.monotonically_increasing_id()
+def content_id(columns: list[str], rank: Column) -> Column:
+    """Name of the event with this content and rank among its equals: negative, unlike any given id."""
+    return F.bitwise_not(F.shiftrightunsigned(F.xxhash64(*columns), 1).bitwiseXOR(rank))
 
 
 def event_time() -> Column:
@@ -56,6 +58,23 @@ def event_fields(events: DataFrame) -> DataFrame:
     )
 
 
+def unique_events(events: DataFrame) -> DataFrame:
+    """One row for each event; of rows equal in IDENTITY the least by their other columns.
+
+    Only ids are counted over all rows. Without a repeated id the table is returned as it is; else only the rows with
+    one meet each other.
+    """
+    repeated = events.groupBy(F.col("event_id").alias("_again")).count().where("count > 1").select("_again")
+    repeated = materialize(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return events
+    several = F.col("event_id").eqNullSafe(F.col("_again"))
+    rest = [c for c in events.columns if c not in IDENTITY]
+    merged = events.join(repeated, several, "left_semi").groupBy(*IDENTITY).agg(F.min(F.struct(*rest)).alias("_rest"))
+    merged = merged.select(*[F.col(c) if c in IDENTITY else F.col(f"_rest.{c}").alias(c) for c in events.columns])
+    return materialize(events.join(repeated, several, "left_anti").unionByName(merged), "unique-events")
+
+
 def with_ratios(df: DataFrame, clamp_frames: bool = True) -> DataFrame:
     """Average size and rates from ``total_frames``, ``total_bytes`` and ``duration`` (seconds)."""
     frames, size, duration = F.col("total_frames"), F.col("total_bytes"), F.col("duration")
@@ -82,27 +101,26 @@ def flow_record_features(records: DataFrame) -> DataFrame:
     )
 
 
-def block_length(packets: DataFrame, rows_per_block: int = 100_000_000, longest_us: int = BLOCK_US) -> int:
-    """Block length: short enough that an average block of all flows together holds ``rows_per_block``.
-
-    Reads one column. Long recordings get the usual length, a dense capture of a few minutes a shorter one.
-    """
-    n, first, last = packets.agg(F.count(F.lit(1)), F.min("t_us"), F.max("t_us")).first()
-    if not n:
-        return longest_us
-    return max(1_000, min(longest_us, int((last - first + 1) * rows_per_block / n)))
+BLOCK = [*FLOW_KEY, "_blk", "_sub"]
 
 
 def running_flows(
-    packets: DataFrame, gap_us: int = IDLE_GAP_US, block_us: int = BLOCK_US, open_sessions: DataFrame | None = None
+    packets: DataFrame,
+    gap_us: int = IDLE_GAP_US,
+    block_us: int = BLOCK_US,
+    open_sessions: DataFrame | None = None,
+    most: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``session_start_us``, ``total_frames`` and ``total_bytes`` so far to every packet.
 
     A session ends when the flow is idle for more than ``gap_us``. ``open_sessions`` (flow key, t_us = last
     packet, first_us, frames, bytes) continues sessions of an earlier slice of the same stream.
+
+    Sums run within a block first; the blocks' totals are then summed along each flow, and what a block inherits is
+    added to its first session. Rows that ``dense.cut_blocks`` has cut already are taken as they are.
     """
     frames, size, first = F.lit(1.0), F.col("packet_size").cast("double"), F.col("t_us")
-    rows = packets
+    rows, columns = packets, [c for c in packets.columns if c not in BLOCK[-2:]]
     if open_sessions is not None:
         prior = open_sessions.select(
             *FLOW_KEY,
@@ -114,9 +132,10 @@ def running_flows(
         # An open session is one row that stands for all its packets; ``_frames`` is null on real packets.
         rows = packets.unionByName(prior, allowMissingColumns=True)
         frames, size, first = F.coalesce("_frames", frames), F.coalesce("_bytes", size), F.coalesce("_first", first)
-    rows = rows.withColumn("_blk", F.floor(F.col("t_us") / block_us))
+    if "_sub" not in rows.columns:
+        rows = cut_blocks(rows, FLOW_KEY, block_us, most)
 
-    in_block = Window.partitionBy(*FLOW_KEY, "_blk").orderBy("t_us", "event_id")
+    in_block = Window.partitionBy(*BLOCK).orderBy("t_us", "event_id")
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = lambda value: F.last(F.when(F.col("_cut"), value), ignorenulls=True).over(so_far)
     local = (
@@ -146,22 +165,33 @@ def running_flows(
             }
         )
     )
+    kept = [*columns, *BLOCK[-2:], "_blk_first_t", "_blk_end", "_head", "_f", "_b", "_start"]
+    # Written, so that the blocks' totals and the rows come from one pass over the windows.
+    local = materialize(local.select(*kept, *(["_frames"] if open_sessions is not None else [])), "flow-blocks")
 
-    # One summary row per (flow, block); blocks that can neither give nor take a session are left out.
+    # One summary row per block; time blocks that can neither give nor take a session are left out.
     opens_early = F.col("_blk_first_t") - F.col("_blk") * block_us <= gap_us
     closes_late = (F.col("_blk") + 1) * block_us - F.col("t_us") <= gap_us
-    ends = local.where(F.col("_blk_end") & (opens_early | closes_late)).select(
-        *FLOW_KEY,
-        "_blk",
+    by_flow = Window.partitionBy(*FLOW_KEY).orderBy("_blk", "_sub")
+    ends = local.where(F.col("_blk_end")).select(
+        *BLOCK,
         F.col("_blk_first_t").alias("first_t"),
         F.col("t_us").alias("last_t"),
         "_head",
         "_f",
         "_b",
         "_start",
+        ((F.col("_sub") > 0) | opens_early | closes_late).alias("_near"),
     )
-    by_flow = Window.partitionBy(*FLOW_KEY).orderBy("_blk")
-    chain = Window.partitionBy(*FLOW_KEY, "_chain").orderBy("_blk")
+    # The blocks of a dense time block follow each other at once, so its first one stays as well.
+    several = ends.where("_sub > 0").select(*FLOW_KEY, "_blk").distinct()
+    several = materialize(several, "dense-flows")
+    if several.isEmpty():
+        ends = ends.where("_near")
+    else:
+        dense = several.withColumn("_dense", F.lit(True))
+        ends = meet(ends, dense, [*FLOW_KEY, "_blk"], "left").where("_near or _dense").drop("_dense")
+    chain = Window.partitionBy(*FLOW_KEY, "_chain").orderBy("_blk", "_sub")
     chain_so_far = chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carry = (
         ends.withColumn("_joined", F.coalesce(F.col("first_t") - F.lag("last_t").over(by_flow) <= gap_us, F.lit(False)))
@@ -181,45 +211,38 @@ def running_flows(
             }
         )
         .where("_joined")
-        .select(*FLOW_KEY, "_blk", "in_f", "in_b", "in_start")
+        .select(*BLOCK, "in_f", "in_b", "in_start")
     )
-
     inherits = F.col("_head") & F.col("in_start").isNotNull()
     if open_sessions is not None:
         local = local.where(F.col("_frames").isNull())
     # A key part may be null; it still names one flow.
-    keys = [*FLOW_KEY, "_blk"]
-    named = carry.withColumnsRenamed({k: f"{k}_in" for k in keys})
-    same_flow = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_in")) for k in keys])
-    joined = local.join(named, same_flow, "left")
+    joined = meet(local, materialize(carry, "flow-carry"), BLOCK, "left")
     return joined.select(
-        *packets.columns,
+        *columns,
         F.when(inherits, F.col("in_start")).otherwise(F.col("_start")).alias("session_start_us"),
         (F.col("_f") + F.when(inherits, F.col("in_f")).otherwise(F.lit(0.0))).alias("total_frames"),
         (F.col("_b") + F.when(inherits, F.col("in_b")).otherwise(F.lit(0.0))).alias("total_bytes"),
     )
 
 
+def state_features(rows: DataFrame) -> DataFrame:
+    """Duration and ratios of rows with ``running_flows`` columns."""
+    duration = F.greatest((F.col("t_us") - F.col("session_start_us")) / F.lit(1_000_000.0), F.lit(0.001))
+    return with_ratios(rows.withColumns({"duration": duration, "total_bytes": F.greatest("total_bytes", F.lit(0.0))}))
+
+
 def running_flow_features(packets: DataFrame, **options) -> DataFrame:
     """Running features at every packet: totals since the session began, duration and ratios."""
-    flows = running_flows(packets, **options)
-    duration = F.greatest((F.col("t_us") - F.col("session_start_us")) / F.lit(1_000_000.0), F.lit(0.001))
-    return with_ratios(
-        flows.withColumns({"duration": duration, "total_bytes": F.greatest("total_bytes", F.lit(0.0))})
-    )
+    return state_features(running_flows(packets, **options))
 
 
-def flow_features(events: DataFrame, **options) -> DataFrame:
-    """Full feature rows: flow records use their own counters, packets the running flow state."""
-    if set(COUNTERS) <= set(events.columns):
-        is_record = (F.col("in_pkts") > 0) | (F.col("out_pkts") > 0)
-        running = running_flow_features(events.where(~is_record), **options)
-        records = flow_record_features(events.where(is_record)).withColumn(
-            "session_start_us", F.lit(None).cast("long")
-        )
-        features = running.unionByName(records).drop(*COUNTERS)
-    else:
-        features = running_flow_features(events, **options)
+def is_record() -> Column:
+    """Whether an event with COUNTERS is a finished flow."""
+    return (F.col("in_pkts") > 0) | (F.col("out_pkts") > 0)
+
+
+def packet_fields(features: DataFrame) -> DataFrame:
     return features.withColumns(
         {
             "protocol_num": S.protocol_code(F.col("proto")),
@@ -229,18 +252,45 @@ def flow_features(events: DataFrame, **options) -> DataFrame:
     )
 
 
-def flow_summary(packets: DataFrame, gap_us: int = IDLE_GAP_US, block_us: int = BLOCK_US) -> DataFrame:
+def flow_features(events: DataFrame, **options) -> DataFrame:
+    """Full feature rows: flow records use their own counters, packets the running flow state."""
+    if not set(COUNTERS) <= set(events.columns):
+        return packet_fields(running_flow_features(events, **options))
+    running = running_flow_features(events.where(~is_record()), **options)
+    records = flow_record_features(events.where(is_record()).drop(*BLOCK[-2:]))
+    return packet_fields(running.unionByName(records.withColumn("session_start_us", F.lit(None).cast("long"))).drop(*COUNTERS))
+
+
+def kept_flow_features(rows: DataFrame) -> DataFrame:
+    """The same for rows that already have their ``running_flows`` columns, as a stream's state gives them."""
+    if not set(COUNTERS) <= set(rows.columns):
+        return packet_fields(state_features(rows))
+    own = lambda record, running: F.when(is_record(), record).otherwise(running)
+    running = F.greatest((F.col("t_us") - F.col("session_start_us")) / F.lit(1_000_000.0), F.lit(0.001))
+    filled = rows.withColumns(
+        {
+            "duration": own(F.greatest(F.col("duration_ms") / 1000.0, F.lit(0.001)), running),
+            "total_frames": own(F.greatest(F.col("in_pkts") + F.col("out_pkts"), F.lit(1.0)), F.col("total_frames")),
+            "total_bytes": F.greatest(own(F.col("in_bytes") + F.col("out_bytes"), F.col("total_bytes")), F.lit(0.0)),
+        }
+    )
+    return packet_fields(with_ratios(filled).drop(*COUNTERS))
+
+
+def flow_summary(
+    packets: DataFrame, gap_us: int = IDLE_GAP_US, block_us: int = BLOCK_US, most: int = BLOCK_ROWS
+) -> DataFrame:
     """One row per flow session with its final totals and ratios.
 
-    Packets become one row per stretch of a session within a time block; only these rows meet by flow.
+    Packets become one row per stretch of a session within a block; only these rows meet by flow.
     """
-    rows = packets.select(*FLOW_KEY, "t_us", "event_id", "packet_size", F.floor(F.col("t_us") / block_us).alias("_blk"))
-    in_block = Window.partitionBy(*FLOW_KEY, "_blk").orderBy("t_us", "event_id")
+    rows = cut_blocks(packets.select(*FLOW_KEY, "t_us", "event_id", "packet_size"), FLOW_KEY, block_us, most)
+    in_block = Window.partitionBy(*BLOCK).orderBy("t_us", "event_id")
     cut = F.coalesce(F.col("t_us") - F.lag("t_us").over(in_block) > gap_us, F.lit(False)).cast("int")
     stretches = (
         rows.withColumn("_cut", cut)
         .withColumn("_local", F.sum("_cut").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .groupBy(*FLOW_KEY, "_blk", "_local")
+        .groupBy(*BLOCK, "_local")
         .agg(
             F.min("t_us").alias("first_t"),
             F.max("t_us").alias("last_t"),
@@ -248,7 +298,7 @@ def flow_summary(packets: DataFrame, gap_us: int = IDLE_GAP_US, block_us: int =
             F.sum(F.col("packet_size").cast("double")).alias("_bytes"),
         )
     )
-    by_flow = Window.partitionBy(*FLOW_KEY).orderBy("_blk", "_local")
+    by_flow = Window.partitionBy(*FLOW_KEY).orderBy("_blk", "_sub", "_local")
     joined = F.coalesce(F.col("first_t") - F.lag("last_t").over(by_flow) <= gap_us, F.lit(False))
     sessions = (
         stretches.withColumn("_new", (~joined).cast("int"))

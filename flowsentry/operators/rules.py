@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.schemas import RULE_COLUMNS
-from flowsentry.session import BROADCAST_ROW_LIMIT, materialize
+from flowsentry.session import BROADCAST_BYTES, BROADCAST_ROW_LIMIT, materialize
 
 # Accepted rule header and option forms.
 HEADER_PATTERN = (
@@ -127,13 +127,14 @@ def rule_union(*lists: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RuleTable:
-    """The first rule for each set of field values, written once, and the size of each group of fixed fields."""
+    """The first rule for each set of field values, written once, and whether each group of fixed fields was measured to
+    be small in rows and bytes."""
 
     firsts: DataFrame
-    groups: dict[int, int]
+    groups: dict[int, bool]
 
 
-def rule_table(rules: DataFrame) -> RuleTable:
+def rule_table(rules: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> RuleTable:
     """Null and 0/empty rule fields are wildcards; rules are grouped by the set of fields they fix (at most 16 groups)."""
     fixed = {
         "src_ip": F.coalesce("src_ip", F.lit("")) != "",
@@ -150,9 +151,13 @@ def rule_table(rules: DataFrame) -> RuleTable:
     )
     # Rule text is parsed once, not once per group.
     firsts = materialize(firsts, "rules")
+    texts = [F.col(c) for c in ("src_ip", "dst_ip", "proto")] + [F.col(f"_rule.{c}") for c in ("name", "sid", "source_engine")]
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(t), F.lit(0)) for t in texts], F.lit(200))
     # One row per field combination, never more than 16.
-    groups = {r["_mask"]: r["n"] for r in firsts.groupBy("_mask").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return RuleTable(firsts, groups)
+    sums = firsts.groupBy("_mask").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()
+    # All groups may be replicated at once, so they share the bound.
+    most = BROADCAST_BYTES // max(1, len(sums))
+    return RuleTable(firsts, {r["_mask"]: r["n"] <= limit and r["bytes"] <= most for r in sums})
 
 
 def first_rule_match(rows: DataFrame, rules: DataFrame | RuleTable, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -161,9 +166,9 @@ def first_rule_match(rows: DataFrame, rules: DataFrame | RuleTable, limit: int =
     Each group of a ``rule_table`` holds the first rule per field values, so it is one equality join that cannot
     multiply rows. A group is replicated only if it was counted to be small.
     """
-    table = rules if isinstance(rules, RuleTable) else rule_table(rules)
+    table = rules if isinstance(rules, RuleTable) else rule_table(rules, limit)
     out, found = rows, []
-    for number, size in sorted(table.groups.items()):
+    for number, small in sorted(table.groups.items()):
         keys = [f for i, f in enumerate(MATCH_FIELDS) if number >> i & 1]
         group = table.firsts.where(F.col("_mask") == number)
         if not keys:
@@ -173,7 +178,7 @@ def first_rule_match(rows: DataFrame, rules: DataFrame | RuleTable, limit: int =
         name = f"_rule{number}"
         found.append(F.col(name))
         group = group.select(*keys, F.col("_rule").alias(name))
-        out = out.join(F.broadcast(group) if size <= limit else group, keys, "left")
+        out = out.join(F.broadcast(group) if small else group, keys, "left")
     if not found:
         return rows.withColumn("rule", F.lit(None).cast(table.firsts.schema["_rule"].dataType))
     first = found[0] if len(found) == 1 else F.least(*found)

@@ -1,8 +1,9 @@
 """Sliding-window thresholds: SYN floods and login brute force.
 
 "At least n events of a key in the trailing w seconds" is tested with ``lag(t, n - 1)`` in arrival order
-(time, event id). Windows run per (key, time block); every block also sees the rows of the preceding
-``w`` seconds, so a key that owns a large part of the stream is spread over as many tasks as it has blocks.
+(time, event id). Windows run per (key, block); blocks are cut by time and, where rows are dense, by count, and
+every block also gets the times of the n - 1 rows before it. So a key that owns a large part of the stream is spread
+over as many tasks as it has blocks, even where all its rows lie within a second.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions import scalars as S
 from flowsentry.operators.cooldown import keep_after_cooldown
+from flowsentry.operators.dense import BLOCK_ROWS, cut_blocks, same
 
 SECOND = 1_000_000
-#: Default block length in windows; one window in that many is read twice.
+#: Default block length in windows.
 BLOCK_WINDOWS = 8
 
 
@@ -89,43 +91,48 @@ def trailing_hits(
     longest_us: int,
     extra: int = 0,
     block_us: int | None = None,
-    history: DataFrame | None = None,
+    most: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Rows that complete a trailing window, with ``over`` = rows beyond the limit (at most ``extra``).
 
     ``need`` rows within ``within_us`` (both inclusive, current row counted) make a hit; ``needs`` lists the
-    values ``need`` can take. ``history`` rows count but are never returned.
+    values ``need`` can take. A block gets the times of the ``max(needs) - 1 + extra`` rows before it, however long
+    ago these were and from however many blocks they come, and no other row of its neighbours.
     """
-    block_us = max(block_us or BLOCK_WINDOWS * longest_us, longest_us)
-    stream = rows.withColumn("_new", F.lit(True))
-    if history is not None:
-        stream = stream.unionByName(history.withColumn("_new", F.lit(False)))
-    home = F.floor(F.col("t_us") / block_us)
-    reach = F.floor((F.col("t_us") + longest_us) / block_us)
-    spread = (
-        stream.withColumns({"_home": home, "_need": need, "_within": within_us})
-        .withColumn("_blk", F.explode(F.when(reach > F.col("_home"), F.array("_home", reach)).otherwise(F.array("_home"))))
-    )
-    arrival = Window.partitionBy(*keys, "_blk").orderBy("t_us", "event_id")
+    by = [*keys, "_blk", "_sub"]
+    cut = cut_blocks(rows, keys, max(block_us or BLOCK_WINDOWS * longest_us, longest_us), most)
+    arrival = Window.partitionBy(*by).orderBy("t_us", "event_id")
     offsets = sorted({n - 1 + j for n in needs for j in range(extra + 1)})
-    lagged = spread.withColumns({f"_lag{o}": F.lag("t_us", o).over(arrival) for o in offsets})
+    reach = offsets[-1]
+
+    # The last rows of each block, and before each block those of the blocks before it. Every block has a row, so
+    # ``reach`` blocks hold enough of them.
+    last = cut.select(*by, "t_us", "event_id").withColumn("_later", F.lead("t_us", reach).over(arrival)).where("_later is null")
+    tails = last.groupBy(*by).agg(F.sort_array(F.collect_list("t_us")).alias("_tail"))
+    blocks = Window.partitionBy(*keys).orderBy("_blk", "_sub").rowsBetween(-reach, -1)
+    before = F.flatten(F.collect_list("_tail").over(blocks))
+    halo = tails.select(*by, F.slice(before, F.greatest(F.size(before) - reach + 1, F.lit(1)), reach).alias("_before"))
+
+    named = halo.withColumnsRenamed({k: f"{k}_halo" for k in by})
+    numbered = (
+        cut.withColumns({"_need": need, "_within": within_us, "_row": F.row_number().over(arrival)})
+        .withColumns({f"_lag{o}": F.lag("t_us", o).over(arrival) for o in offsets})
+        .join(named, same(by, "_halo"), "left")
+    )
+
+    def back(o: int) -> Column:
+        """Time of the row that came ``o`` rows earlier, in this block or before it."""
+        missing = F.greatest(F.lit(o) - F.col("_row") + 1, F.lit(1))
+        return F.coalesce(f"_lag{o}", F.when(F.col("_row") <= o, F.try_element_at("_before", -missing)))
 
     def reached(n: int) -> Column:
-        hits = [
-            F.coalesce((F.col("t_us") - F.col(f"_lag{n - 1 + j}") <= F.col("_within")).cast("int"), F.lit(0))
-            for j in range(extra + 1)
-        ]
+        hits = [F.coalesce((F.col("t_us") - back(n - 1 + j) <= F.col("_within")).cast("int"), F.lit(0)) for j in range(extra + 1)]
         return sum(hits[1:], hits[0])
 
     total = F.lit(0)
     for n in sorted(set(needs)):
         total = F.when(F.col("_need") == n, reached(n)).otherwise(total)
-    return (
-        lagged.where(F.col("_new") & (F.col("_blk") == F.col("_home")))
-        .withColumn("over", total - 1)
-        .where(F.col("over") >= 0)
-        .select(*rows.columns, "over")
-    )
+    return numbered.withColumn("over", total - 1).where(F.col("over") >= 0).select(*rows.columns, "over")
 
 
 def syn_flood_candidates(syn_rows: DataFrame, rule: SynFlood = SynFlood(), **options) -> DataFrame:
@@ -161,14 +168,12 @@ def login_bruteforce(
     syn_rows: DataFrame,
     services: list[LoginService] = LOGIN_SERVICES,
     last_alerts: DataFrame | None = None,
-    history: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Login brute-force alerts (src_ip, dst_port, t_us, event_id, name, severity) after the cooldown."""
     columns = ["src_ip", "dst_port", "t_us", "event_id"]
     watched = service_lookup(syn_rows.select(*columns), services)
-    past = None if history is None else service_lookup(history.select(*columns), services)
-    candidates = login_candidates(watched, services, history=past, **options).select(
+    candidates = login_candidates(watched, services, **options).select(
         *columns,
         "cooldown_us",
         F.concat(F.lit("L7BruteForce_"), F.col("service")).alias("name"),

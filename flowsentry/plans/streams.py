@@ -14,9 +14,9 @@ from flowsentry.plans.detection import ALERT_OUT, ROUNDED, ROUNDED_SQL, rounded
 from flowsentry.session import scratch_path
 from flowsentry.sources import readers
 from flowsentry.streaming import jobs
-from flowsentry.streaming.slices import SlicedStream
+from flowsentry.streaming.keyed import KeyedStream
 
-#: Less than a batch's stretch of the test tables' time, so that slices are processed while the rest still waits.
+#: Less than a batch's stretch of the test tables' time, so that rows are released while the rest still waits.
 DELAY_US = 300_000_000
 
 
@@ -31,7 +31,7 @@ def packet_stream(spark: SparkSession, sf: str, rows: DataFrame | None = None, p
     return spark.readStream.schema(rows.schema).parquet(path), path
 
 
-def run_in_batches(spark: SparkSession, job: SlicedStream, rows: DataFrame, batches: int = BATCHES) -> None:
+def run_in_batches(spark: SparkSession, job: KeyedStream, rows: DataFrame, batches: int = BATCHES) -> None:
     """All rows in order of time, in equal stretches of time, one micro-batch after the other."""
     path = scratch_path(spark, "batches")
     first, last = rows.agg(F.min("t_us"), F.max("t_us")).first()
@@ -57,7 +57,7 @@ def register(c: Catalog) -> None:
             spark, scratch_path(spark, "cascade"), DELAY_US, I.indicators(spark, sf), I.cascade_rules(spark, sf)
         )
         run_in_batches(spark, job, I.packets(spark, sf))
-        return job.output("alerts").select(*ALERT_OUT)
+        return job.alerts().select(*ALERT_OUT)
 
     @c.add(
         "str1_stream_blocks",
@@ -69,7 +69,7 @@ def register(c: Catalog) -> None:
             spark, scratch_path(spark, "cascade"), DELAY_US, I.indicators(spark, sf), I.cascade_rules(spark, sf), config
         )
         run_in_batches(spark, job, I.packets(spark, sf), 2)
-        return job.output("blocks").select("src_ip", "t_us", "event_id", "reason", "mode")
+        return job.blocks().select("src_ip", "t_us", "event_id", "reason", "mode")
 
     @c.add(
         "str2_stream_flow_state",
@@ -78,7 +78,7 @@ def register(c: Catalog) -> None:
     def str2(spark, sf):
         job = jobs.FlowFeatureStream(spark, scratch_path(spark, "flows"), DELAY_US)
         run_in_batches(spark, job, I.packets(spark, sf))
-        features = job.output("features")
+        features = job.features()
         return rounded(features.select("event_id", "session_start_us", "total_frames", "total_bytes", *ROUNDED))
 
     @c.add(
@@ -91,7 +91,7 @@ def register(c: Catalog) -> None:
         flagged = intel.ioc_match(I.packets(spark, sf), I.indicators(spark, sf))
         job = jobs.ThresholdStream(spark, scratch_path(spark, "thresholds"), DELAY_US)
         run_in_batches(spark, job, flagged)
-        return job.output("hits").withColumn("severity", F.round("severity", 6))
+        return job.hits().withColumn("severity", F.round("severity", 6))
 
     @c.add(
         "str4_stream_alert_minutes",
@@ -101,9 +101,9 @@ def register(c: Catalog) -> None:
     )
     def str4(spark, sf):
         path = scratch_path(spark, "minutes")
-        query = jobs.write_alert_minutes(alert_stream(spark, sf), path, "5 minutes")
-        query.awaitTermination()
-        jobs.close_alert_minutes(query, alert_store(spark, sf), path)
+        alerts = alert_stream(spark, sf)
+        jobs.write_alert_minutes(alerts, path, "5 minutes").awaitTermination()
+        jobs.close_alert_minutes(alerts, path, "5 minutes")
         rows = jobs.read_alert_minutes(spark, path)
         return rows.select("src_ip", "type", F.unix_micros("window").alias("window_us"), "count", "max_score")
 
@@ -121,7 +121,7 @@ def register(c: Catalog) -> None:
         "str6_late_rows",
         O.WITH_PACKETS
         + """select event_id, t_us from packets where event_id % 10 = 0
-             and t_us < (select max(t_us) - 300000000 from packets where event_id % 10 <> 0)""",
+             and t_us < (select (max(t_us) // 1000 - 300000) * 1000 from packets where event_id % 10 <> 0)""",
     )
     def str6(spark, sf):
         """A tenth of the packets arrives after all others."""

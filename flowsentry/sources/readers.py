@@ -92,12 +92,12 @@ def read_alerts(spark: SparkSession, path: str, as_of: Column | None = None) ->
 
 
 def read_flow_events(spark: SparkSession, path: str) -> DataFrame:
-    """Normalised events. One without ``event_id`` is named by its place in the input, see ``event_keys``."""
+    """Normalised events, each with its own ``event_id``, see ``event_keys``."""
     text = _texts(spark, path, False)
     if text is None:
         return flows.event_fields(spark.createDataFrame([], schemas.EVENT_JSON)).where("t_us is not null")
-    rows = text.where(_is_object(F.col("value"))).select("value", flows.input_place().alias("_place"))
-    return flows.event_fields(event_keys(parsed(rows, schemas.EVENT_JSON))).where("t_us is not null")
+    rows = parsed(text.where(_is_object(F.col("value"))).select("value"), schemas.EVENT_JSON)
+    return flows.event_fields(event_keys(rows.where(flows.event_time().isNotNull())))
 
 
 def rejected_events(spark: SparkSession, path: str) -> DataFrame:
@@ -114,24 +114,49 @@ def rejected_events(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Equal events without an id that are numbered by one row of a task.
+EQUAL_EVENTS = 4096
+
+
 def event_keys(events: DataFrame) -> DataFrame:
-    """Fill missing event ids from ``_place``: negative numbers that grow in input order, unlike any given id."""
-    given = F.col("event_id")
-    return events.withColumn("event_id", F.coalesce(given, F.col("_place") - F.lit(1 << 62))).drop("_place")
+    """One row for each event, with an ``event_id`` that stays the same whatever arrives later.
+
+    An event without an id is named by its content and its rank among the events of equal content. Equal events differ
+    in nothing but that rank, so those that arrive later take the higher ranks and no earlier name changes, whichever
+    file or split a row comes from. A row with an id that is equal to another in all columns has been delivered twice
+    and counts once.
+
+    Rows of equal content are counted before they are shuffled, and many of them are written out again by many tasks.
+    """
+    named, rank = F.col("event_id").isNotNull(), F.col("_rank")
+    counted = events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbers = lambda first, n: F.explode(F.sequence(first, F.least(first + (EQUAL_EVENTS - 1), n - 1)))
+    few = counted.where(named | (F.col("_n") <= EQUAL_EVENTS)).withColumn(
+        "_rank", numbers(F.lit(0).cast("long"), F.when(named, F.lit(1).cast("long")).otherwise(F.col("_n")))
+    )
+    many = (
+        counted.where(~named & (F.col("_n") > EQUAL_EVENTS))
+        .withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(EQUAL_EVENTS).cast("long"))))
+        .repartition("_first")
+        .withColumn("_rank", numbers(F.col("_first"), F.col("_n")))
+        .drop("_first")
+    )
+    ranked = few.unionByName(many)
+    return ranked.withColumn("event_id", F.coalesce("event_id", flows.content_id(events.columns, rank))).drop("_n", "_rank")
 
 
 def stream_flow_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Events as a stream; malformed lines are left out. Events without a time stay in, for the table of late rows.
 
-    An event without an id is named by a digest of its file and text: within a stream no place in the input is known.
+    An event without an id has the name that ``event_keys`` gives to the first event of its content. The stream jobs
+    give equal events their ranks, and merge events delivered twice, when the watermark has passed them.
     """
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    text = reader.text(path)
-    digest = F.shiftrightunsigned(F.xxhash64("_metadata.file_path", "value"), 1)
-    rows = text.where(_is_object(F.col("value"))).select("value", digest.alias("_place"))
-    return flows.event_fields(event_keys(parsed(rows, schemas.EVENT_JSON)))
+    rows = parsed(reader.text(path).where(_is_object(F.col("value"))).select("value"), schemas.EVENT_JSON)
+    name = flows.content_id(rows.columns, F.lit(0).cast("long"))
+    return flows.event_fields(rows.withColumn("event_id", F.coalesce("event_id", name)))
 
 
 def read_flow_csv(spark: SparkSession, *paths: str) -> DataFrame:
