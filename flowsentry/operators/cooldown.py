@@ -55,7 +55,8 @@ def keep_after_cooldown(
     ticks = materialize(ticks.withColumn("_key", F.to_json(F.struct(*keys))), "candidates")
     times = kept_times(ticks.select(F.col("_key").alias("key"), F.col("_cd").alias("cd"), "t_us"))
     kept = ticks.join(times.select(F.col("key").alias("_key"), "t_us"), ["_key", "t_us"])
-    return kept.select(*keys, "t_us", *[F.col(f"_body.{c}").alias(c) for c in payload]).select(*columns)
+    # Alerts are few, and later stages read them again and again.
+    return materialize(kept.select(*keys, "t_us", *[F.col(f"_body.{c}").alias(c) for c in payload]).select(*columns), "kept-alerts")
 
 
 def kept_times(ticks: DataFrame) -> DataFrame:
@@ -64,19 +65,19 @@ def kept_times(ticks: DataFrame) -> DataFrame:
     parts = materialize(ticks.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_partition, PARTS), "cooldown-parts")
     levels = [parts.where(F.col("kind") == MAP).select("key", "cd", "pos", "upto", "last")]
     highest = levels[0].agg(F.max("pos")).first()[0] or 0
-    for _ in range(max(1, -(-highest.bit_length() // FAN_BITS))):
+    for _ in range(max(0, -(-highest.bit_length() // FAN_BITS) - 1)):
         together = levels[-1].repartition("key", F.shiftright("pos", FAN_BITS)).sortWithinPartitions("key", "pos")
         levels.append(materialize(together.mapInArrow(partial(_combined, FAN_BITS), NODE), "cooldown-maps"))
-    # Nothing is known before a key's first map.
-    enter = levels.pop().select("key", "pos", F.lit(int(FIRST)).alias("allowed"))
+    # At the top a key is one group, and nothing is known before it.
+    enter = None
     for level in reversed(levels):
-        both = (
-            enter.select("key", F.col("pos").alias("group"), F.lit(int(FIRST)).alias("pos"), "allowed")
-            .unionByName(level.withColumn("group", F.shiftright("pos", FAN_BITS)), allowMissingColumns=True)
-            .repartition("key", "group")
-            .sortWithinPartitions("key", "group", "pos")
-        )
-        enter = materialize(both.mapInArrow(_handed_down, ENTER), "cooldown-entries")
+        both = level.withColumn("group", F.shiftright("pos", FAN_BITS))
+        if enter is not None:
+            above = enter.select("key", F.col("pos").alias("group"), F.lit(int(FIRST)).alias("pos"), "allowed")
+            both = above.unionByName(both, allowMissingColumns=True)
+        both = both.repartition("key", "group").sortWithinPartitions("key", "group", "pos")
+        enter = both.mapInArrow(_handed_down, ENTER)
+        enter = enter if level is levels[0] else materialize(enter, "cooldown-entries")
     waiting = parts.where(F.col("kind") == WAITING).select("key", "cd", "pos", "times").join(enter, ["key", "pos"])
     return parts.where(F.col("kind") == KEPT).select("key", "t_us").unionByName(waiting.mapInArrow(_picked, "key string, t_us long"))
 
@@ -154,11 +155,13 @@ def _combined(bits, batches):
 
 
 def _handed_down(batches):
-    """ENTER of each map: what is allowed at its start. What is allowed at the start of its group comes first."""
-    allowed = FIRST
+    """ENTER of each map: what is allowed at its start. What is allowed at the start of a group comes first, if known."""
+    group, allowed = None, FIRST
     for batch in batches:
         out = []
         for r in batch.to_pylist():
+            if (r["key"], r["group"]) != group:
+                group, allowed = (r["key"], r["group"]), FIRST
             if r["pos"] == FIRST:
                 allowed = r["allowed"]
                 continue

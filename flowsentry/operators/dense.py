@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowsentry.session import fits_broadcast, materialize
 
 #: Rows of a time block from which it is cut further.
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 250_000
 #: Cuts are found from quantiles that are right to within this share of a cut's rows.
 EXACTNESS = 10
 
@@ -31,10 +31,10 @@ def cut_blocks(rows: DataFrame, keys: list[str], block_us: int, most: int = BLOC
         .agg(F.count(F.lit(1)).alias("_n"), F.min("event_id").alias("_low"), F.max("event_id").alias("_high"))
         .where(F.col("_n") > most)
     )
-    dense = materialize(dense, "dense-blocks")
     largest = dense.agg(F.max("_n")).first()[0]
     if largest is None:
         return blocked.withColumn("_sub", F.lit(0))
+    dense = materialize(dense, "dense-blocks")
     parts = -(-largest // most)
     share = (F.col("event_id").cast("double") - F.col("_low").cast("double")) / (
         F.col("_high").cast("double") - F.col("_low").cast("double") + 1.0

@@ -65,9 +65,9 @@ def unique_events(events: DataFrame) -> DataFrame:
     one meet each other.
     """
     repeated = events.groupBy(F.col("event_id").alias("_again")).count().where("count > 1").select("_again")
-    repeated = materialize(repeated, "repeated-ids")
     if repeated.isEmpty():
         return events
+    repeated = materialize(repeated, "repeated-ids")
     several = F.col("event_id").eqNullSafe(F.col("_again"))
     rest = [c for c in events.columns if c not in IDENTITY]
     merged = events.join(repeated, several, "left_semi").groupBy(*IDENTITY).agg(F.min(F.struct(*rest)).alias("_rest"))
@@ -185,11 +185,10 @@ def running_flows(
     )
     # The blocks of a dense time block follow each other at once, so its first one stays as well.
     several = ends.where("_sub > 0").select(*FLOW_KEY, "_blk").distinct()
-    several = materialize(several, "dense-flows")
     if several.isEmpty():
         ends = ends.where("_near")
     else:
-        dense = several.withColumn("_dense", F.lit(True))
+        dense = materialize(several.withColumn("_dense", F.lit(True)), "dense-flows")
         ends = meet(ends, dense, [*FLOW_KEY, "_blk"], "left").where("_near or _dense").drop("_dense")
     chain = Window.partitionBy(*FLOW_KEY, "_chain").orderBy("_blk", "_sub")
     chain_so_far = chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)

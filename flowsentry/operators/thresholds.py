@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from flowsentry.functions import scalars as S
 from flowsentry.operators.cooldown import keep_after_cooldown
 from flowsentry.operators.dense import BLOCK_ROWS, cut_blocks, same
+from flowsentry.session import materialize
 
 SECOND = 1_000_000
 #: Default block length in windows.
@@ -100,6 +101,8 @@ def trailing_hits(
     ago these were and from however many blocks they come, and no other row of its neighbours.
     """
     by = [*keys, "_blk", "_sub"]
+    # Few and narrow, and read three times: to count blocks, for their last rows, and for the windows.
+    rows = materialize(rows, "watched-rows")
     cut = cut_blocks(rows, keys, max(block_us or BLOCK_WINDOWS * longest_us, longest_us), most)
     arrival = Window.partitionBy(*by).orderBy("t_us", "event_id")
     offsets = sorted({n - 1 + j for n in needs for j in range(extra + 1)})

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,29 @@ BROADCAST_ROW_LIMIT = 200_000
 BROADCAST_BYTES = 8 << 20
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, as ``--py-files`` does, so that they need neither path nor installation."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # else it came as such a file itself
+        archive = os.path.join(tempfile.mkdtemp(prefix="flowsentry-"), "flowsentry.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, files in os.walk(package):
+                for name in sorted(f for f in files if f.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every job in this package relies on."""
+    """Apply the runtime settings every job in this package relies on, and ship the package itself."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

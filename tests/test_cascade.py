@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators import cascade, intel, rules as R, thresholds
 from flowsentry.plans import inputs as I
+from flowsentry.sources import readers
+from flowsentry.streaming import jobs
 from tests import reference_model as model
 from tests.conftest import SF
 from tests.test_windows import packets
@@ -133,3 +135,82 @@ def test_alert_ids_are_stable_uuids(spark):
     run = lambda: cascade.run_cascade(df, spark.createDataFrame([], "ip string"), R.builtin_rules(spark)).first()["id"]
     first = run()
     assert first == run() and len(first) == 36
+
+
+def event_line(t_ms, src="10.0.0.1", size=60):
+    return f'{{"timestamp": "{t_ms / 1000:.3f}", "src_ip": "{src}", "dest_ip": "10.9.9.9", "dest_port": 22, "proto": "tcp", "bytes": {size}, "tcp_flags": "S"}}'
+
+
+def alert_ids(spark, folder):
+    events = readers.read_flow_events(spark, str(folder))
+    return {r["id"] for r in cascade.run_cascade(events, spark.createDataFrame([], "ip string"), no_rules(spark)).select("id").collect()}
+
+
+def test_alert_ids_stay_when_files_arrive(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    # Equal lines among them: sixty attempts, some at one time and of one content.
+    lines = [event_line(1_000 + 20 * (i // 3)) for i in range(60)]
+    (tmp_path / "in" / "b.json").write_text("\n".join(lines))
+    before = alert_ids(spark, tmp_path / "in")
+    (tmp_path / "in" / "a.json").write_text("\n".join(event_line(1_000 + i, f"10.1.{i % 9}.{i % 200}") for i in range(3000)))
+    after = alert_ids(spark, tmp_path / "in")
+    assert len(before) >= 2 and before <= after
+    # In other files, the same events have the same names.
+    (tmp_path / "split").mkdir()
+    for k in range(3):
+        (tmp_path / "split" / f"{k}.json").write_text("\n".join(lines[k::3]))
+    assert alert_ids(spark, tmp_path / "split") == before
+
+
+def test_event_names_are_alike_in_batch_and_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    given = '{"event_id": 5, "timestamp": "2", "src_ip": "10.0.0.3", "dest_ip": "10.9.9.9", "bytes": 1}'
+    lines = [event_line(1_000 + 50 * (i // 4)) for i in range(80)] + [given, given, event_line(99), '{"src_ip": "no time"}']
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines[k::2]))
+    batch = readers.read_flow_events(spark, str(tmp_path / "in"))
+    names = [r["event_id"] for r in batch.collect()]
+    assert len(names) == len(set(names)) == 82 and names.count(5) == 1
+    nothing, rules = spark.createDataFrame([], "ip string"), no_rules(spark)
+    want = {r["id"] for r in cascade.run_cascade(batch, nothing, rules).collect()}
+    job = jobs.CascadeStream(spark, str(tmp_path / "job"), 5_000_000, nothing, rules)
+    job.start(readers.stream_flow_events(spark, str(tmp_path / "in"), 1)).awaitTermination()
+    job.finish()
+    assert {r["id"] for r in job.alerts().collect()} == want and len(want) >= 2
+    assert job.late_rows().count() >= 1
+
+
+def test_many_equal_events_are_numbered_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(readers, "EQUAL_EVENTS", 16)
+    rows = spark.range(1000).select(F.lit(None).cast("long").alias("event_id"), (F.col("id") % 2 + F.col("id") % 3 * 0).alias("t"))
+    named = readers.event_keys(rows)
+    assert named.count() == 1000 == named.select("event_id").distinct().count()
+    more = readers.event_keys(rows.unionByName(rows.limit(300)))
+    assert named.exceptAll(more).isEmpty()
+
+
+def test_repeated_event_ids(spark):
+    # Ids that come again at other times are other events: a cooldown of 10 s allows 11 alerts in 110 s.
+    rows = [dict(t_us=i * 27_500, event_id=i // 4) for i in range(4000)]
+    df, _ = packets(spark, rows)
+    nothing, rules = spark.createDataFrame([], "ip string"), no_rules(spark)
+    alerts = cascade.run_cascade(df, nothing, rules).where("type like '%SYNFlood%'")
+    assert alerts.count() == 11 == alerts.select("id").distinct().count()
+    # The same event delivered four times is one.
+    once, _ = packets(spark, [dict(t_us=i * 100_000) for i in range(400)])
+    again = once.unionByName(once).unionByName(once).unionByName(once)
+    want = cascade.run_cascade(once, nothing, rules)
+    got = cascade.run_cascade(again, nothing, rules)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not want.isEmpty()
+
+
+def test_input_is_read_once_and_nameless_events_are_refused(spark, tmp_path):
+    df, _ = packets(spark, [dict(t_us=i, dst_port=23) for i in range(40)])
+    df.write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    nothing, rules = spark.createDataFrame([], "ip string"), no_rules(spark)
+    alerts = cascade.run_cascade(df, nothing, rules)
+    plan = alerts._jdf.queryExecution().optimizedPlan().toString() + str(alerts.inputFiles())
+    assert str(tmp_path) not in plan
+    with pytest.raises(ValueError, match="event_id"):
+        cascade.run_cascade(df.withColumn("event_id", F.lit(None).cast("long")), nothing, rules)
