@@ -273,8 +273,15 @@ def read_feed_c2(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     ).where(F.coalesce("ip", F.lit("")) != "")
 
 
-def read_block_log(spark: SparkSession, path: str) -> DataFrame:
-    rows = json_lines(spark, path, schemas.BLOCK_LOG)
+def read_block_log(spark: SparkSession, path: str, parts: list[int] | None = None) -> DataFrame:
+    """Rows of the block log; with ``parts`` only those folders are read."""
+    text = _texts(spark, path, False)
+    if text is None:
+        rows = spark.createDataFrame([], schemas.BLOCK_LOG)
+    else:
+        if parts is not None and "part" in text.columns:
+            text = text.where(F.col("part").isin(parts))
+        rows = parsed(text.where(_is_object(F.col("value"))).select("value"), schemas.BLOCK_LOG)
     return rows.withColumn("ts", S.parse_iso(F.col("timestamp"))).drop("timestamp")
 
 

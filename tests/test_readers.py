@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators import alerts as A
 from flowsentry.operators import cascade, decisions, flows, intel, rules
-from flowsentry.sources import readers
+from flowsentry.sources import readers, sinks
 
 
 def write(path, *lines):
@@ -128,3 +128,21 @@ def test_null_flow_keys_keep_their_totals(spark):
 def test_listing_without_cap(spark):
     rows = spark.range(900).selectExpr("id as t_us")
     assert intel.listed(rows, [F.desc("t_us")]).count() == 900 and intel.listed(rows, [F.desc("t_us")], 5).count() == 5
+
+
+def test_block_log_append_reads_only_the_parts_it_touches(spark, tmp_path):
+    def hits(*ips):
+        rows = [(ip, 1_000_000 * k, k, "signature:x") for k, ip in enumerate(ips)]
+        df = spark.createDataFrame(rows, "src_ip string, t_us long, event_id long, type string")
+        return df.withColumn("ts", F.timestamp_micros("t_us"))
+
+    path = str(tmp_path / "blocks")
+    sinks.append_block_log(hits(*[f"10.0.{k // 200}.{k % 200}" for k in range(2000)]), path)
+    sinks.append_block_log(hits("10.0.0.5", "10.9.9.9", "10.9.9.9", ""), path)
+    sinks.append_block_log(hits(), path)
+    rows = readers.read_block_log(spark, path)
+    assert rows.count() == 2001 == rows.select("src_ip").distinct().count()
+    part = rows.where("src_ip = '10.9.9.9'").select(F.pmod(F.xxhash64("src_ip"), F.lit(sinks.BLOCK_PARTS)).alias("p")).first()["p"]
+    few = readers.read_block_log(spark, path, [part])
+    assert 0 < few.count() < 100 and few.where("src_ip = '10.9.9.9'").count() == 1
+    assert all(f"/part={part}/" in f for f in few.inputFiles())
