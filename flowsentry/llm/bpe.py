@@ -17,6 +17,8 @@ from flowsentry.llm import common, words
 
 #: Texts of more code points are cut into leaves of this length, which are encoded apart from each other.
 LEAF_CHARS = 32_768
+#: A word of more code points is joined by its ids' spans, of which this many are kept at each end of a part.
+LONG_WORD, EDGE_IDS = 2048, 1024
 #: No special token of the vocabulary may be longer; windows reach at least twice as far.
 LONGEST_SPECIAL = 16
 
@@ -49,22 +51,39 @@ def _borders(e: Encoded, base: int = 0) -> np.ndarray:
     return at[[_free(e.text[s - base]) for s in e.start[at]]] if len(at) else at
 
 
-def join(tokenizer, left: Encoded, right: Encoded, reach: int = 2 * LONGEST_SPECIAL) -> Encoded:
+class Joined(NamedTuple):
+    """The encoding of a join, and which of the left's last and the right's first ids it has kept."""
+
+    whole: Encoded
+    left_kept: int
+    right_from: int
+
+
+def join_at(
+    tokenizer, left: Encoded, right: Encoded, reach: int = 2 * LONGEST_SPECIAL, more_left: bool = False, more_right: bool = False
+) -> Joined | None:
     """The encoding of ``left.text + right.text`` from both sides' encodings.
 
     A window around the join is encoded anew and doubled until its first id is one of the left side's ids and one of its
     later ids is one of the right side's, on the same characters. Every pair of neighbouring ids has then been seen
     side by side in one of the three encodings, and merges never cross such a pair in a longer text either; splitting
     into pieces goes on alike from a shared id. So the result equals that of encoding the whole text.
+
+    With ``more_left`` the left is only the end of a longer text, with ``more_right`` the right only the beginning of
+    one. None if the window would have to reach beyond them.
     """
     text, cut = left.text + right.text, len(left.text)
     right_start, right_end = right.start + cut, right.end + cut
     left_borders = _borders(left)
     while True:
         keep = left_borders[left.start[left_borders] <= cut - reach]
+        if not len(keep) and more_left:
+            return None
         i = int(keep[-1]) if len(keep) else 0
         a = int(left.start[i]) if len(keep) else 0
         b = min(len(text), cut + 2 * reach)
+        if b == len(text) and more_right:
+            return None
         window = encode_whole(tokenizer, text[a:b])
         start, end = window.start + a, window.end + a
         if not len(keep) or (len(window.ids) and (window.ids[0], start[0], end[0]) == (left.ids[i], a, left.end[i])):
@@ -80,37 +99,118 @@ def join(tokenizer, left: Encoded, right: Encoded, reach: int = 2 * LONGEST_SPEC
                             k, j = x, y
                             break
             if k >= 0:
-                return Encoded(
+                whole = Encoded(
                     text,
                     np.concatenate([left.ids[:i], window.ids[:k], right.ids[j:]]),
                     np.concatenate([left.start[:i], start[:k], right_start[j:]]),
                     np.concatenate([left.end[:i], end[:k], right_end[j:]]),
                 )
+                return Joined(whole, i, j)
         reach *= 2
 
 
+def join(tokenizer, left: Encoded, right: Encoded, reach: int = 2 * LONGEST_SPECIAL) -> Encoded:
+    """:func:`join_at` for two whole texts."""
+    return join_at(tokenizer, left, right, reach).whole
+
+
+class Edge(NamedTuple):
+    """The code points that the first or the last ids of a part cover, counted from the part's beginning."""
+
+    start: np.ndarray
+    end: np.ndarray
+
+
 class Part(NamedTuple):
-    """A stretch of text with its ids as bytes, four each."""
+    """A stretch of text with its ids as bytes, four each.
+
+    ``head`` and ``tail`` are there where the first or the last word is so long that a join must not encode it anew.
+    """
 
     text: str
     ids: bytes
+    head: Edge | None = None
+    tail: Edge | None = None
 
 
 _LAST_WORD, _GAP = re.compile(r".*(?:\A|[ \t\n\r])(?=[^ \t\n\r])", re.DOTALL), re.compile(r"[ \t\n\r]|\Z")
+_REACH = 2 * LONGEST_SPECIAL
+
+
+def _first_words(text: str) -> int:
+    """Where the first white space behind the window of a join is."""
+    return _GAP.search(text, min(len(text), 3 * _REACH)).start()
+
+
+def _last_words(text: str) -> int:
+    """Where the last word begins that starts before the window of a join."""
+    m = _LAST_WORD.match(text, 0, max(0, len(text) - _REACH))
+    return m.end() if m else 0
+
+
+def _edge(e: Encoded, first: bool) -> Edge:
+    part = slice(0, EDGE_IDS) if first else slice(max(0, len(e.ids) - EDGE_IDS), None)
+    return Edge(e.start[part], e.end[part])
+
+
+def encode_leaf(encoder: words.WordIds, text: str) -> Part:
+    long_head, long_tail = _first_words(text) > LONG_WORD, len(text) - _last_words(text) > LONG_WORD
+    if not long_head and not long_tail:
+        return Part(text, encoder.encode(text))
+    e = encode_whole(encoder.tokenizer, text)
+    ids = e.ids.astype("<u4").tobytes()
+    return Part(text, ids, _edge(e, True) if long_head else None, _edge(e, False) if long_tail else None)
+
+
+def _end_of(tokenizer, part: Part, whole_word: bool) -> tuple[Encoded, bool]:
+    """(the part's last ids with what they cover, whether the word goes on to the left of them)."""
+    if part.tail is None or whole_word:
+        return encode_whole(tokenizer, part.text[_last_words(part.text) :]), False
+    n, at = len(part.tail.start), int(part.tail.start[0])
+    ids = np.frombuffer(part.ids, "<u4")[-n:]
+    return Encoded(part.text[at:], ids, part.tail.start - at, part.tail.end - at), 4 * n < len(part.ids)
+
+
+def _begin_of(tokenizer, part: Part, whole_word: bool) -> tuple[Encoded, bool]:
+    if part.head is None or whole_word:
+        return encode_whole(tokenizer, part.text[: _first_words(part.text)]), False
+    n = len(part.head.start)
+    if 4 * n == len(part.ids):
+        return Encoded(part.text, np.frombuffer(part.ids, "<u4"), part.head.start, part.head.end), False
+    return Encoded(part.text[: int(part.head.end[-1])], np.frombuffer(part.ids, "<u4")[:n], part.head.start, part.head.end), True
 
 
 def join_parts(tokenizer, left: Part, right: Part) -> Part:
-    """The same for long parts, whose spans are not kept.
+    """The same for long parts, of which only the ends meet.
 
-    Ids restart at white space, so the words around the join are all that is needed of either side: from the last word
-    that starts before the window to the first white space behind it. In text without white space that is all of it.
+    Ids restart at white space, so where there is some the words around the join are all that is needed of either side.
+    Of longer words the ids at the ends are kept with the code points they cover, and the windows of the join look for
+    agreement among them. Only where none of them agrees is the word encoded anew.
     """
-    reach = 2 * LONGEST_SPECIAL
-    m = _LAST_WORD.match(left.text, 0, max(0, len(left.text) - reach))
-    tail = encode_whole(tokenizer, left.text[m.end() if m else 0 :])
-    head = encode_whole(tokenizer, right.text[: _GAP.search(right.text, min(len(right.text), 3 * reach)).start()])
-    middle = join(tokenizer, tail, head, reach).ids.astype("<u4").tobytes()
-    return Part(left.text + right.text, left.ids[: len(left.ids) - 4 * len(tail.ids)] + middle + right.ids[4 * len(head.ids) :])
+    found = None
+    for whole_word in (False, True):
+        (tail, more_left), (head, more_right) = _end_of(tokenizer, left, whole_word), _begin_of(tokenizer, right, whole_word)
+        found = join_at(tokenizer, tail, head, _REACH, more_left, more_right)
+        if found:
+            break
+    text, middle = left.text + right.text, found.whole
+    n_left, n_right = len(left.ids) // 4 - len(tail.ids), len(right.ids) // 4 - len(head.ids)
+    ids = left.ids[: 4 * n_left] + middle.ids.astype("<u4").tobytes() + right.ids[4 * len(head.ids) :]
+    # What the ends of the whole cover: as before, but for ids the join has changed.
+    new_head, new_tail = left.head, right.tail
+    if n_left == 0 and len(tail.text) == len(left.text):
+        new_head = _edge(middle, True) if _first_words(text) > LONG_WORD else None
+    elif left.head is not None:
+        new_head = Edge(*(x[: n_left + found.left_kept] for x in left.head))
+    shift = len(left.text)
+    if n_right == 0 and len(head.text) == len(right.text):
+        offset = len(left.text) - len(tail.text)
+        last = _edge(middle, False)
+        new_tail = Edge(last.start + offset, last.end + offset) if len(text) - _last_words(text) > LONG_WORD else None
+    elif right.tail is not None:
+        same = min(len(right.tail.start), n_right + len(head.ids) - found.right_from)
+        new_tail = Edge(*(x[len(x) - same :] + shift for x in right.tail))
+    return Part(text, ids, new_head if new_head is None or len(new_head.start) else None, new_tail if new_tail is None or len(new_tail.start) else None)
 
 
 def join_all(tokenizer, parts: list[Part]) -> Part:
@@ -124,13 +224,21 @@ def join_all(tokenizer, parts: list[Part]) -> Part:
 def encode_tree(encoder: words.WordIds, text: str, leaf_chars: int) -> Part:
     """The same in one process: halves of halves, down to ``leaf_chars``."""
     if len(text) <= leaf_chars:
-        return Part(text, encoder.encode(text))
+        return encode_leaf(encoder, text)
     half = len(text) // 2
     return join_parts(
         encoder.tokenizer, encode_tree(encoder, text[:half], leaf_chars), encode_tree(encoder, text[half:], leaf_chars)
     )
 
 
+def _packed(edge: Edge | None) -> bytes | None:
+    return None if edge is None else np.concatenate(edge).astype("<i8").tobytes()
+
+
+def _unpacked(packed: bytes | None) -> Edge | None:
+    return None if packed is None else Edge(*np.frombuffer(packed, "<i8").reshape(2, -1))
+
+
 def encode(docs: DataFrame, tokenizer_path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """(doc_id, ids) with ids as little-endian unsigned 32-bit integers, as the library encodes each whole text.
 
@@ -138,7 +246,8 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, leaf_chars: int =
     are cut into leaves anywhere, inside words too; the leaves are dealt out over all tasks and encoded in parallel,
     and the halves are joined by growing windows, see :func:`join`. Only the leaves of one text meet in one task.
 
-    A null text is empty and has no ids; repeated rows and null ids stay as they are; other columns are ignored.
+    A null text is empty and has no ids; repeated rows and null ids stay as they are; an empty table gives an empty one;
+    other columns are ignored.
     """
     path = tokenizer_path or words.default_path()
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -154,12 +263,14 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, leaf_chars: int =
         encoder = words.word_ids(path)
         for batch in batches:
             for key, doc_id, at, text in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "at", "part"))):
-                yield key, doc_id, at, text, encoder.encode(text)
+                part = encode_leaf(encoder, text)
+                yield key, doc_id, at, text, part.ids, _packed(part.head), _packed(part.tail)
 
     def whole(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["at"])
         copies = sum(r["at"] == 0 for r in rows)
-        ids = join_all(words.load(path), [Part(r["part"], r["ids"]) for r in rows[::copies]]).ids
+        parts = [Part(r["part"], r["ids"], _unpacked(r["head"]), _unpacked(r["tail"])) for r in rows[::copies]]
+        ids = join_all(words.load(path), parts).ids
         return pa.table(
             {"doc_id": pa.array([rows[0]["doc_id"]] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())}
         )
@@ -170,7 +281,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, leaf_chars: int =
         F.posexplode(F.expr(f"regexp_extract_all(text, '(?s).{{1,{leaf_chars}}}', 0)")).alias("at", "part"),
     )
     encoded = common.map_rows(
-        leaves.repartition("key", "at"), leaf, "key long, doc_id long, at int, part string, ids binary"
+        leaves.repartition("key", "at"), leaf, "key long, doc_id long, at int, part string, ids binary, head binary, tail binary"
     )
     return common.map_rows(docs.where(size <= leaf_chars), short, "doc_id long, ids binary").unionByName(
         encoded.groupBy("key").applyInArrow(whole, "doc_id long, ids binary")

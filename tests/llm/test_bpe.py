@@ -33,6 +33,35 @@ def test_unsplit_text():
         assert np.frombuffer(bpe.encode_tree(encoder, text, 300).ids, "<u4").tolist() == plain(text)
 
 
+def test_long_words_of_any_make(monkeypatch):
+    """Short edges and small windows, so that words go on over many parts and the edges often do not suffice."""
+    encoder = words.word_ids(words.default_path())
+    rng = random.Random(12)
+    monkeypatch.setattr(bpe, "LONG_WORD", 100)
+    for k in range(60):
+        monkeypatch.setattr(bpe, "EDGE_IDS", rng.choice([4, 30, 200]))
+        pool = rng.choice(["ab", "abcdefghijklmnopqrstuvwxyz", "thein!?", "aé́中", "'s 12", "x", "<|endoftext|>"])
+        text = "".join(rng.choices(pool, k=rng.randint(500, 4000)))
+        for at in rng.sample(range(len(text)), rng.choice([0, 1, 5])):
+            text = text[:at] + " " + text[at:]
+        e = bpe.encode_tree(encoder, text, rng.choice([130, 400, 1000]))
+        assert np.frombuffer(e.ids, "<u4").tolist() == plain(text), (k, pool)
+        assert e.text == text
+
+
+def test_joins_of_unsplit_text_encode_little_anew(monkeypatch):
+    encoder = words.word_ids(words.default_path())
+    rng = random.Random(13)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    parts = [bpe.encode_leaf(encoder, text[i : i + bpe.LEAF_CHARS]) for i in range(0, len(text), bpe.LEAF_CHARS)]
+    again = []
+    encode = bpe.encode_whole
+    monkeypatch.setattr(bpe, "encode_whole", lambda tokenizer, t: again.append(len(t)) or encode(tokenizer, t))
+    whole = bpe.join_all(encoder.tokenizer, parts)
+    assert sum(again) < len(text) // 100
+    assert np.frombuffer(whole.ids, "<u4").tolist() == plain(text)
+
+
 def test_encode_and_decode_in_spark(spark):
     common.prepare(spark)
     rng = random.Random(10)
