@@ -33,20 +33,26 @@ class CharClass(NamedTuple):
 
 
 _DIGIT, _LOWER, _UPPER = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
+#: Letters and digits in seven runs by turns, capitals (with fewer digits among them) in five; words with numbers have fewer.
+_AMONG_LOWER = re.compile("([a-z]+[0-9]+){3}[a-z]|([0-9]+[a-z]+){3}[0-9]")
+_AMONG_UPPER = re.compile("([A-Z]+[0-9]+){2}[A-Z]|([0-9]+[A-Z]+){2}[0-9]")
 
 CLASSES = (
     CharClass("entropy_hex", re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])"), 24, 3.0, (_DIGIT, re.compile("[a-fA-F]"))),
+    CharClass("entropy_lower", re.compile(r"(?<![A-Za-z0-9])[a-z0-9]{24,}(?![A-Za-z0-9])"), 20, 3.5, (_AMONG_LOWER,)),
+    CharClass("entropy_upper", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{24,}(?![A-Za-z0-9])"), 20, 3.4, (_AMONG_UPPER,)),
     CharClass("entropy_base64", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"), 20, 3.6, (_DIGIT, _LOWER, _UPPER)),
 )
 
 #: Strings that look random but are none: identifiers, placeholders, alphabets, links, paths and data digests.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i:.*(example|sample|placeholder|changeme|your[_-]|dummy|xxxx|0123456789|abcdefgh|12345678).*)",
-    r"(.)\1*",
+    r"(?i:[a-z_-]*(example|sample|placeholder|changeme|your[_-]|dummy|x{4,})[a-z_-]*[0-9]{0,4})",
+    r"(?i:(0123456789|123456789|12345678|abcdefghijklmnopqrstuvwxyz|abcdefgh|abcdef)+[0-9a-h]{0,8})",
+    r"(?P<same>.)(?P=same)*",
     r"[A-Za-z]+([-_/][A-Za-z]+)*[0-9]{0,4}",
     r"[0-9]+([-_/][0-9]+)*",
-    r"/?[a-z0-9]+([/_-][a-z0-9]+){2,}/?",
+    r"/?([a-z]+|[0-9]+)([/_-]([a-z]+|[0-9]+)){2,}/?",
 )
 #: A candidate right behind one of these is part of a link, a file checksum or inline data.
 ALLOWED_BEFORE = re.compile(r"(?i)(://[^\s\"'<>]*|\b(sha\d*|md5|checksum|commit|integrity)[-:=\s]{1,2})$")
@@ -75,7 +81,7 @@ def random_windows(s: str, window: int, threshold: float) -> Iterator[tuple[int,
 
     The entropy is log2(W) - sum(n log2 n) / W; the sum is kept up to date from the two counts a step changes.
     """
-    table = [0.0] + [n * log2(n) for n in range(1, window + 1)]
+    table = [0.0] + [n * log2(n) for n in range(1, window + 2)]
     most = (log2(window) - threshold) * window + 1e-9
     counts: dict[str, int] = {}
     total, begin, end = 0.0, -1, -1

@@ -81,3 +81,25 @@ def test_redact(spark):
     assert len(rows) == len(TEXTS) and rows[0]["text"] is None and rows[1]["text"] == ""
     assert rows[9]["text"] == "𝒳 [SECRET]" and rows[9]["n_chars"] == len("𝒳 [SECRET]")
     assert not any(brute_base(r["text"] or "") for r in rows.values())
+
+
+def test_random_strings_of_every_alphabet():
+    rng = random.Random(9)
+    alphabets = {"lower": "abcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "hex": "0123456789abcdef"}
+    mixed = alphabets["lower"] + alphabets["upper"]
+    for letters in (*alphabets.values(), mixed):
+        found = 0
+        for _ in range(300):
+            s = "".join(rng.choices(letters, k=rng.randint(26, 32)))
+            text = f"the value {s} was set"
+            found += any(text[x.start : x.end] in s and x.end - x.start >= 20 for x in secrets.scan(text))
+        assert found >= 280, letters
+    # A placeholder within a random string does not silence it; a string that is nothing else is silent.
+    assert secrets.scan("aB3dE5gH7jK9mN1pQ3sT512345678")
+    assert not secrets.scan("your-secret-placeholder-value1234 example_of_a_very_long_name12 0123456789abcdefgh0123456789")
+
+
+def test_prose_and_names_are_left_alone():
+    for text in ("internationalization2024 and covid19vaccinationcampaign", "THEQUICKBROWNFOXJUMPSOVER2 lazydogs", "chapter12section34paragraph56",
+                 "https://example.org/a1b2c3d4e5f6g7h8i9j0k1l2m3", "sha1 a9f8b7c6d5e4f3a2b1c0d9e8f7a6b5c4d3e2f1a0"):
+        assert [s for s in secrets.scan(text) if s.kind.startswith("entropy")] == [], text
