@@ -20,21 +20,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component.
+    """The document of smallest doc_id of each component; one without doc_id only if no other has one.
 
-    Rows that share a doc_id (or have none) are one row where all columns are equal; rows without doc_id stay unless
-    their component has a document with one.
+    Rows without doc_id are told apart by a hash of all columns, above all ids. Rows that share a doc_id, or are equal
+    in all columns, are one row where all columns are equal.
     """
     common.prepare(spark)
-    member = materialize(simhash.near_duplicates(docs, width=4, distance=4).select("doc_id", "component_id"), "members")
-    first = member.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    unnamed = F.shiftrightunsigned(F.xxhash64(*COLUMNS), 2).bitwiseOR(F.lit(1 << 62))
+    named = docs.select(*COLUMNS, F.coalesce("doc_id", unnamed).alias("_id"))
+    found = simhash.near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), width=4, distance=4)
+    member = materialize(found.select("doc_id", "component_id"), "members")
+    first = member.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
     several = member.groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
     # As many ids as documents, so a merge join at any size.
-    kept = docs.join(first.hint("merge"), docs["doc_id"].eqNullSafe(first["kept"]), "left_semi").select(*COLUMNS)
+    kept = named.join(first.hint("merge"), named["_id"] == first["kept"], "left_semi")
     if several.isEmpty():
-        return kept
-    once = kept.join(several, kept["doc_id"].eqNullSafe(several["again"]), "left_anti")
-    rest = kept.join(several, kept["doc_id"].eqNullSafe(several["again"]), "left_semi").dropDuplicates()
+        return kept.select(*COLUMNS)
+    once = kept.join(several, kept["_id"] == several["again"], "left_anti").select(*COLUMNS)
+    rest = kept.join(several, kept["_id"] == several["again"], "left_semi").select(*COLUMNS).dropDuplicates()
     return once.unionByName(rest)
 
 
