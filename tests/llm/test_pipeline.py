@@ -57,6 +57,14 @@ def test_repeated_and_null_rows(spark, tmp_path):
     frame = spark.createDataFrame(rows, schema)
     got = corpus_pipeline.simhash_dedup(spark, frame, str(tmp_path)).collect()
     assert sum(r["doc_id"] == 1 for r in got) == 1 and sum(r["doc_id"] is None for r in got) == 2
+    # Near copies without a doc_id are one group like others, and give way to a document that has one.
+    text = " ".join(f"w{i}" for i in range(200))
+    unnamed = [(None, text, "en", s, 5) for s in ("a", "b", "b", None)] + [(None, text + " end", "en", "c", 9)]
+    frame2 = spark.createDataFrame([*rows, *unnamed], schema)
+    got = corpus_pipeline.simhash_dedup(spark, frame2, str(tmp_path)).collect()
+    assert sum(r["doc_id"] is None for r in got) == 3 and sum((r["text"] or "").startswith("w0 ") for r in got) == 1
+    got = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame([*rows, *unnamed, (7, text, "en", "z", 1)], schema), str(tmp_path)).collect()
+    assert sum(r["doc_id"] is None for r in got) == 2 and sum(r["doc_id"] == 7 for r in got) == 1
     assert corpus_pipeline.simhash_dedup(spark, frame.limit(0), str(tmp_path)).collect() == []
     assert corpus_pipeline.secret_scan(spark, frame, str(tmp_path)).count() == 4
 
