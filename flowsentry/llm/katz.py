@@ -365,13 +365,22 @@ def _finish(parts: pa.Table, base: pa.Table) -> pa.Table:
     )
 
 
+def word_capacity(buckets: int, most_words: int) -> int:
+    """Words a bucket can number within 32 bits for all buckets; refuses a bucket with more."""
+    capacity = (1 << 32) // buckets
+    if most_words > capacity:
+        raise ValueError(f"{most_words} distinct words in one of {buckets} buckets, which can number {capacity}: take larger buckets")
+    return capacity
+
+
 def katz_scores(
     docs: DataFrame, held_out: Column, bucket_documents: int = BUCKET_DOCUMENTS, unit_tokens: int = UNIT_TOKENS
 ) -> DataFrame:
     """Learns from the rows of ``docs`` for which ``held_out`` is false and scores all of them.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, the model's log10
-    probability. The words fall into a power of two of buckets; there may be 2^32 / buckets distinct words in each.
+    probability. The words fall into a power of two of buckets; there may be 2^32 / buckets distinct words in each,
+    and more are refused.
 
     P(w | h) = d(c) c / n(h) for a pair seen c > 0 times, else a(h) P(w); P(w) = d(c) c / N for a known word, and unknown
     words share one unit of the mass the discounts leave. Lower-casing touches A-Z only; words end at ASCII white space.
@@ -379,7 +388,7 @@ def katz_scores(
     like the empty text when the caller hashes it. Without training rows every token is unknown: score 0. An empty table
     gives no rows; other columns are ignored.
     """
-    bits = min(16, max(2, (docs.count() // bucket_documents).bit_length()))
+    bits = max(2, (docs.count() // bucket_documents).bit_length())
     buckets = 1 << bits
     source = docs.select("doc_id", held_out.alias("held_out"), "text")
     units = common.map_rows(
@@ -394,11 +403,12 @@ def katz_scores(
         .applyInArrow(_number_words, "unit long, bucket int, a binary, b binary, stats array<long>")
     )
     answers = materialize(answers, "katz-words")
-    stats = answers.where("stats is not null").select(*[F.sum(F.get("stats", F.lit(i))) for i in range(HIGHEST + 3)]).first()
+    sums = [F.sum(F.get("stats", F.lit(i))) for i in range(HIGHEST + 3)]
+    *stats, most_words = answers.where("stats is not null").select(*sums, F.max(F.get("stats", F.lit(1)))).first()
     stats = [x or 0 for x in stats]
     model = unigram(stats[0], stats[1], [0, *stats[2:]])
     documents = source.where("not held_out").count()
-    capacity = (1 << 32) // buckets
+    capacity = word_capacity(buckets, most_words or 0)
     plan = _Pairs(buckets, capacity, max(1000, stats[0] // (4 * buckets)), 16)
 
     def pair_rows(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -87,3 +87,10 @@ def test_no_rows_and_no_training_rows(spark):
     only = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = katz.katz_scores(only, F.lit(True)).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["score"]) == (3, 0, 0, 0.0)
+
+
+
+def test_more_words_than_a_bucket_can_number_are_refused():
+    assert katz.word_capacity(1 << 16, 1 << 16) == 1 << 16
+    with pytest.raises(ValueError, match="distinct words"):
+        katz.word_capacity(1 << 16, (1 << 16) + 1)
