@@ -5,82 +5,52 @@ from __future__ import annotations
 from typing import Callable, NamedTuple
 
 import numpy as np
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions import labels as L
+from flowsentry.operators import boosting
 from flowsentry.schemas import MODEL_FEATURES
 from flowsentry.session import materialize
 
 # The candidate thresholds; ticks are sums of steps, not exact decimals.
 THRESHOLDS = [float(t) for t in np.arange(0.20, 0.96, 0.01)]
 
-# Boosting settings.
-BOOSTING = dict(stepSize=0.06, maxDepth=6, minInstancesPerNode=3, subsamplingRate=0.85, featureSubsetStrategy="0.85")
-
-
-def _assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features")
-
-
 class Trained(NamedTuple):
     """A model cut after its best round, that round, and its log loss per validation row."""
 
-    model: GBTClassificationModel
+    model: boosting.Booster
     best_iteration: int
     best_score: float
 
 
-def fit_rounds(rows: DataFrame, rounds: int, seed: int = 42, **overrides) -> GBTClassificationModel:
-    """Boosted trees of exactly ``rounds`` rounds on (features, label) rows."""
-    return GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, seed=seed, **{**BOOSTING, **overrides}).fit(rows)
+def train(rows: DataFrame, rounds: int = 350, patience: int = 25, seed: int = 42, **settings) -> Trained:
+    """Second-order boosted trees on rows with ``label`` and ``is_val``, up to the round that validates best.
 
-
-def train(rows: DataFrame, rounds: int = 350, patience: int = 25, seed: int = 42, **overrides) -> Trained:
-    """Boosted trees on rows with ``label`` and ``is_val``, up to the round that validates best.
-
-    Boosting ends when ``patience`` rounds have brought no better validation loss. Spark's own stop has no patience, so
-    the model is grown to 2 x patience rounds and doubled as long as its best round lies too near the end; equal seeds
-    give equal first rounds. The trees after the best round are then left out.
+    Boosting ends when ``patience`` rounds have brought no better validation loss. ``settings`` are those of
+    ``boosting.Settings``.
     """
-    ready = materialize(_assembler().transform(rows).select("features", F.col("label").cast("double"), "is_val"), "boosting")
-    fitting, held = ready.where(~F.col("is_val")).drop("is_val"), ready.where("is_val").drop("is_val")
-    grown = min(rounds, 2 * patience)
-    while True:
-        model = fit_rounds(fitting, grown, seed, **overrides)
-        losses = model.evaluateEachIteration(held)
-        best = int(np.argmin(losses))
-        if grown >= rounds or best + patience < grown:
-            break
-        grown = min(rounds, 2 * grown)
-    if best + 1 < grown:
-        model = fit_rounds(fitting, best + 1, seed, **overrides)
-    p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
-    loss = -F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p))
-    score = model.transform(held).agg(F.avg(loss)).first()[0]
-    return Trained(model, best, score)
+    found = boosting.fit(rows, MODEL_FEATURES, rounds, patience, seed, **settings)
+    return Trained(found.model, found.best_iteration, found.best_score)
 
 
-def train_model(rows: DataFrame, rounds: int = 350, seed: int = 42, **overrides) -> GBTClassificationModel:
-    return train(rows, rounds, seed=seed, **overrides).model
+def train_model(rows: DataFrame, rounds: int = 350, seed: int = 42, **settings) -> boosting.Booster:
+    return train(rows, rounds, seed=seed, **settings).model
 
 
-def score_rows(rows: DataFrame, model: GBTClassificationModel) -> DataFrame:
+def score_rows(rows: DataFrame, model: boosting.Booster) -> DataFrame:
     """Add ``ml``, the attack probability."""
-    scored = model.transform(_assembler().transform(rows))
-    return scored.select(*rows.columns, vector_to_array("probability")[1].alias("ml"))
+    return rows.withColumn("ml", model.probability())
 
 
-def model_scorer(model: GBTClassificationModel) -> Callable[[DataFrame], DataFrame]:
+def model_scorer(model: boosting.Booster) -> Callable[[DataFrame], DataFrame]:
     """Scorer for the detection cascade."""
     return lambda features: score_rows(features, model)
 
 
-def score_events(features: DataFrame, threshold: float, model: GBTClassificationModel | None = None) -> DataFrame:
+def score_events(features: DataFrame, threshold: float, model: boosting.Booster | None = None) -> DataFrame:
     """Score and label per feature row; the heuristic stands in when there is no model."""
     if model is not None:
         scored = score_rows(features, model)

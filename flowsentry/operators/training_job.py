@@ -1,6 +1,6 @@
 """The training job and its store: fit, choose a threshold, keep the model, record the run, promote; load and roll back.
 
-A store is a folder with ``models/<run_id>`` (Spark ML) and ``runs`` (JSON lines, append-only). Which model is active
+A store is a folder with ``models/<run_id>`` (Parquet, a row for each tree node) and ``runs`` (JSON lines, append-only). Which model is active
 follows from the run rows alone, so nothing is ever rewritten or copied.
 """
 
@@ -8,19 +8,18 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsentry import schemas
-from flowsentry.operators import cascade, models, training
+from flowsentry.operators import boosting, cascade, models, training
 from flowsentry.sources import readers, sinks
 
 
 class Active(NamedTuple):
     run_id: str
     threshold: float
-    model: GBTClassificationModel
+    model: boosting.Booster
 
 
 def run_job(
@@ -34,7 +33,7 @@ def run_job(
     spark = rows.sparkSession
     split = training.stratified_split(rows, key)
     trained = models.train(split, **settings)
-    trained.model.write().overwrite().save(f"{store}/models/{run_id}")
+    trained.model.save(spark, f"{store}/models/{run_id}")
     scored = models.score_rows(split.where("is_val"), trained.model).select(
         "label", F.col("ml").alias("prob"), (F.pmod(F.xxhash64(*key), F.lit(2)) == 0).alias("_report")
     )
@@ -90,7 +89,7 @@ def load_active(spark: SparkSession, store: str) -> Active | None:
     event = active_event(spark, store)
     if event is None:
         return None
-    model = GBTClassificationModel.load(f"{store}/models/{event['run_id']}")
+    model = boosting.Booster.load(spark, f"{store}/models/{event['run_id']}", schemas.MODEL_FEATURES)
     return Active(event["run_id"], event["recommended_threshold"], model)
 
 

@@ -54,6 +54,29 @@ def sample(spark: SparkSession, sf: str) -> DataFrame:
     return training.balanced_sample(numeric(spark, sf), SAMPLE_KEY, max_samples=20_000)
 
 
+ROUNDS = 40
+
+
+def learnable(rows: DataFrame) -> DataFrame:
+    """Rows whose label follows protocol and duration, but for one order in 25."""
+    attack = (F.col("protocol") == 6) & (F.col("duration") < 2.5)
+    return rows.withColumn("label", (attack != (F.col("l_orderkey") % 25 == 0)).cast("int"))
+
+
+def score_by_joins(features: DataFrame, nodes: DataFrame, depth: int = 6) -> DataFrame:
+    """(event_id, expected): probability by following stored tree nodes, one join for each level."""
+    base, last = nodes.where("tree < 0").select("value").scalar(), nodes.agg(F.max("tree")).scalar()
+    value = F.create_map(*[x for f in MODEL_FEATURES for x in (F.lit(f), F.col(f).cast("float").cast("double"))])
+    trees = F.explode(F.sequence(F.lit(0), last))  # as many as rounds at most
+    at = features.select("event_id", value.alias("x"), trees.alias("tree")).withColumn("node", F.lit(1))
+    for level in range(depth + 1):
+        at = at.select("event_id", "x", "tree", "node").join(F.broadcast(nodes), ["tree", "node"])
+        right = F.coalesce(F.col("x")[F.col("feature")] > F.col("cut"), F.lit(False)).cast("int")
+        if level < depth:
+            at = at.withColumn("node", F.when(F.col("feature").isNotNull(), 2 * F.col("node") + right).otherwise(F.col("node")))
+    return at.groupBy("event_id").agg((1 / (1 + F.exp(-(F.sum("value") + base)))).alias("expected"))
+
+
 def written_feedback(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "feedback")
     sinks.append_feedback(decided(spark, sf), path)
@@ -247,15 +270,20 @@ def register(c: Catalog) -> None:
 
     @c.add(
         "ml6_train_model",
-        f"""with {FLOWS_SQL}, halves as (select label, count(*) as n, cast(floor(count(*) * 0.2::double) as bigint) as val_rows
-             from sampled group by 1)
-            select label, n - val_rows as train_rows, val_rows, true as round_in_range, true as beats_constant, true as f1_in_range
+        f"""with {FLOWS_SQL}, learnable as (select case when (protocol = 6 and duration < 2.5) <> (l_orderkey % 25 = 0) then 1 else 0 end as label
+             from sampled), halves as (select label, count(*) as n, cast(floor(count(*) * 0.2::double) as bigint) as val_rows
+             from learnable group by 1)
+            select label, n - val_rows as train_rows, val_rows, true as round_in_range, true as halves_constant_loss, true as finds_attacks
             from halves""",
     )
     def ml6(spark, sf):
-        """A model has no SQL form; what must hold of it has: its rounds, a loss below a constant's, sound figures."""
-        split = materialize(training.stratified_split(sample(spark, sf), SAMPLE_KEY), "split")
-        trained = models.train(split)
+        """A model has no SQL form; what must hold of it has.
+
+        The labels follow protocol and duration but for one row in 25, which no model can know. 40 rounds must leave less
+        than half the log loss of a constant on validation rows, and an F1 of 0.9; a useless model does neither.
+        """
+        split = materialize(training.stratified_split(learnable(sample(spark, sf)), SAMPLE_KEY), "split")
+        trained = models.train(split, rounds=ROUNDS)
         scored = models.score_rows(split.where("is_val"), trained.model).select("label", F.col("ml").alias("prob"))
         f1 = models.pick_threshold(scored).first()["f1"]
         counts = split.groupBy("label").agg(
@@ -265,26 +293,31 @@ def register(c: Catalog) -> None:
         constant = -(share * math.log(share) + (1 - share) * math.log(1 - share))
         return counts.select(
             "label", "train_rows", "val_rows",
-            F.lit(0 <= trained.best_iteration < 350).alias("round_in_range"),
-            F.lit(trained.best_score < 1.02 * constant).alias("beats_constant"),
-            F.lit(0 <= f1 <= 1).alias("f1_in_range"),
+            F.lit(0 <= trained.best_iteration < ROUNDS).alias("round_in_range"),
+            F.lit(trained.best_score < constant / 2).alias("halves_constant_loss"),
+            F.lit(f1 > 0.9).alias("finds_attacks"),
         )
 
     @c.add(
         "ml8_score_events",
-        O.WITH_PACKETS + "select event_id, true as is_probability, true as label_follows_threshold from packets",
+        O.WITH_PACKETS + "select event_id, true as equals_stored_trees, true as label_follows_threshold from packets",
     )
     def ml8(spark, sf):
-        """Trained, stored, promoted and loaded again by the training job; then scores all packets."""
+        """Trained, stored, promoted and loaded again by the training job; then scores all packets.
+
+        The score is held against that of the stored nodes themselves, which joins evaluate level by level.
+        """
         store = scratch_path(spark, "model-store")
-        rows = sample(spark, sf).select(*MODEL_FEATURES, "label", *SAMPLE_KEY, F.lit(False).alias("from_feedback"))
-        training_job.run_job(rows, SAMPLE_KEY, store, "run_1", "2026-01-01T00:00:00Z")
+        rows = learnable(sample(spark, sf)).select(*MODEL_FEATURES, "label", *SAMPLE_KEY, F.lit(False).alias("from_feedback"))
+        training_job.run_job(rows, SAMPLE_KEY, store, "run_1", "2026-01-01T00:00:00Z", rounds=8)
         active = training_job.load_active(spark, store)
-        scored = models.score_events(flows.flow_features(I.packets(spark, sf)), active.threshold, active.model)
+        features = materialize(flows.flow_features(I.packets(spark, sf)), "event-features")
+        scored = models.score_events(features, active.threshold, active.model).select("event_id", "ml", "ml_label")
+        expected = score_by_joins(features, spark.read.parquet(f"{store}/models/run_1"))
         attack = F.col("ml_label") == "xgboost_anomaly"
-        return scored.select(
+        return scored.join(expected, "event_id", "left").select(
             "event_id",
-            F.col("ml").between(0, 1).alias("is_probability"),
+            F.coalesce(F.abs(F.col("ml") - F.col("expected")) < 1e-9, F.lit(False)).alias("equals_stored_trees"),
             (attack == (F.col("ml") >= active.threshold)).alias("label_follows_threshold"),
         )
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsentry.operators import flows, models, training, training_job
+from flowsentry.operators import boosting, flows, models, training, training_job
 from flowsentry.plans import inputs as I
 from flowsentry.sources import readers, sinks
 from tests.conftest import SF_SMALL
@@ -98,9 +98,9 @@ def test_model_separates_what_can_be_separated(spark):
         "id", *[(F.col("id") % 7 + i).cast("float").alias(f) for i, f in enumerate(models.MODEL_FEATURES[:-1])],
         F.when(F.col("id") % 3 == 0, 6.0).otherwise(17.0).cast("float").alias("protocol"),
         (F.col("id") % 3 == 0).cast("int").alias("label"))
-    trained = models.train(training.stratified_split(rows, ["id"]), rounds=4, patience=1, maxDepth=2, featureSubsetStrategy="all")
+    trained = models.train(training.stratified_split(rows, ["id"]), rounds=4, patience=1, max_depth=2, column_share=1.0, step=0.5)
     model = trained.model
-    assert model.getNumTrees == trained.best_iteration + 1 and 0 < trained.best_score < 0.6
+    assert len(model.trees) == trained.best_iteration + 1 and 0 < trained.best_score < 0.6
     scored = models.score_rows(rows, model)
     best = models.pick_threshold(scored.select("label", F.col("ml").alias("prob"))).first()
     assert best["f1"] == 1.0
@@ -117,7 +117,7 @@ def test_job_promotes_and_rolls_back(spark, tmp_path):
         F.when(F.col("id") % 3 == 0, 6.0).otherwise(17.0).cast("float").alias("protocol"),
         (F.col("id") % 3 == 0).cast("int").alias("label"), F.lit(False).alias("from_feedback"))
     worse = rows.withColumn("label", F.when(noise, 1 - F.col("label")).otherwise(F.col("label")))
-    small = dict(rounds=2, patience=1, maxDepth=2, featureSubsetStrategy="all")
+    small = dict(rounds=2, patience=1, max_depth=2, column_share=1.0)
     assert training_job.load_active(spark, store) is None
     assert training_job.cascade_config(spark, store).scorer is None
     first = training_job.run_job(worse, ["id"], store, "a", "2026-01-01T00:00:00Z", **small).first()
@@ -133,3 +133,73 @@ def test_job_promotes_and_rolls_back(spark, tmp_path):
     assert training_job.cascade_config(spark, store).scorer(features).agg(F.sum("ml")).first()[0] != with_b
     with pytest.raises(ValueError):
         training_job.roll_back(spark, store, "nothing", "2026-01-05T00:00:00Z")
+
+
+def grown(x, y, p, depth, l2, least):
+    """(margin change of each row) by the textbook: every cut of every feature tried on the rows themselves."""
+    g, h = p - y, p * (1 - p)
+    out = np.full(len(y), -g.sum() / (h.sum() + l2))
+    if depth == 0:
+        return out
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + l2)
+    found = []
+    for f in range(x.shape[1]):
+        for cut in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= cut
+            if min(h[left].sum(), h[~left].sum()) >= least:
+                found.append((score(left) + score(~left) - score(left | True), left))
+    if not found or max(found, key=lambda t: t[0])[0] <= 1e-9:
+        return out
+    left = max(found, key=lambda t: t[0])[1]
+    for m in (left, ~left):
+        out[m] = grown(x[m], y[m], p[m], depth - 1, l2, least)
+    return out
+
+
+def boosting_rows(spark, n=500):
+    rnd = np.random.default_rng(5)
+    x = np.round(rnd.random((n, 3)) * 40).astype(np.float32)
+    y = ((x[:, 0] > 17) ^ (x[:, 1] * 2 > x[:, 2]) ^ (rnd.random(n) < 0.05)).astype(int)
+    rows = [(*map(float, a), int(b), i % 5 == 0) for i, (a, b) in enumerate(zip(x, y))]
+    return x, y, np.arange(n) % 5 == 0, spark.createDataFrame(rows, "a float, b float, c float, label int, is_val boolean")
+
+
+def test_boosting_equals_exhaustive_growth(spark):
+    x, y, held, df = boosting_rows(spark)
+    plain = dict(row_share=1.0, column_share=1.0, max_depth=3, step=0.3)
+    fitted = boosting.fit(df, ["a", "b", "c"], rounds=4, patience=9, **plain)
+    margin, losses = np.full(len(y), np.log(y[~held].mean() / (1 - y[~held].mean()))), []
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-margin))
+        change = grown(x[~held], y[~held], p[~held], 3, 1.0, 3.0)
+        margin[~held] += 0.3 * change
+    ours = 1 / (1 + np.exp(-fitted.model.margin(x)))
+    assert np.allclose(ours[~held], 1 / (1 + np.exp(-margin[~held])), atol=1e-6)
+    assert fitted.best_iteration == 3 and all(a > b for a, b in zip(fitted.losses, fitted.losses[1:]))
+    q = np.where(y == 1, ours, 1 - ours)[held]
+    assert fitted.best_score == pytest.approx(-np.log(q).mean(), abs=1e-6)
+    again = boosting.fit(df.repartition(5), ["a", "b", "c"], rounds=4, patience=9, **plain)
+    assert again.losses == fitted.losses
+
+
+def test_boosting_stops_stores_and_takes_missing_values(spark, tmp_path):
+    x, y, held, df = boosting_rows(spark)
+    noise = df.withColumn("label", (F.pmod(F.xxhash64("a", "b", "c"), F.lit(2)) == 0).cast("int"))
+    fitted = boosting.fit(noise, ["a", "b", "c"], rounds=60, patience=2, step=0.5)
+    assert len(fitted.losses) == fitted.best_iteration + 3 < 60 and len(fitted.model.trees) == fitted.best_iteration + 1
+    # Margins written anew on the way change nothing.
+    fitted = boosting.fit(df, ["a", "b", "c"], rounds=12, patience=30)
+    scored = df.select("*", fitted.model.probability().alias("p")).where("is_val")
+    loss = -F.when(F.col("label") == 1, F.log("p")).otherwise(F.log(1 - F.col("p")))
+    assert scored.agg(F.avg(loss)).first()[0] == pytest.approx(fitted.best_score, abs=1e-6)
+    fitted.model.save(spark, str(tmp_path / "m"))
+    stored = boosting.Booster.load(spark, str(tmp_path / "m"), ["a", "b", "c"])
+    assert np.array_equal(stored.margin(x), fitted.model.margin(x))
+    odd = spark.createDataFrame([(None, 1.0, 2.0), (float("nan"), 1.0, 2.0), (-1e30, 1.0, 2.0)], "a double, b double, c double")
+    assert len({r["p"] for r in odd.select(stored.probability().alias("p")).collect()}) == 1
+    with_gaps = df.withColumn("a", F.when(F.col("a") > 5, F.col("a")))
+    assert 0 < boosting.fit(with_gaps, ["a", "b", "c"], rounds=2).best_score < 0.7
+    with pytest.raises(ValueError):
+        boosting.fit(df.where("label = 1"), ["a", "b", "c"], rounds=2)
+    # No validation rows: all rounds count.
+    assert boosting.fit(df.withColumn("is_val", F.lit(False)), ["a", "b", "c"], rounds=2).best_iteration == 1
