@@ -1,3 +1,10 @@
+import html as entities
+import random
+import time
+from html.parser import HTMLParser
+
+import pytest
+
 from flowsentry.llm import common, pages
 
 ARTICLE = "<article><h1>Head &amp; line</h1><p>First  para\n with <b>bold</b>text &eacute;&#233;.<p>Second <a href='/x'>link</a>.</article>"
@@ -54,3 +61,114 @@ def test_host_consensus(spark):
         assert got[11][0]["text"] == got[12][0]["text"] == "" and got[11][0]["path"] is None
         assert got[13][0]["text"] == "no such path"
     assert pages.extract(df.limit(0)).collect() == []
+
+
+LONG = "some words of the story " * 20
+
+
+def test_headline_and_parts_beside_the_main_container():
+    long = LONG.strip()
+    assert main_text(f"<article><h1>T</h1><div class=content><p>{LONG}</div></article>") == "T\n" + long
+    assert main_text(f"<div class=wrap><h1>T</h1><div class=x><p>{LONG}</div><div class=y>more</div></div>") == f"T\n{long}\nmore"
+    parts = f"<div class=post><div class=intro><p>{LONG}</div><div class=body>" + f"<p>{LONG}" * 6 + "</div></div>"
+    assert main_text(parts) == "\n".join([long] * 7)
+    # A headline far away, in a container with much else, does not pull that in.
+    far = f"<body><div><h1>Site</h1>{LONG}</div><div class=x><p>{LONG * 4}</div></div>"
+    assert main_text(far) == (LONG * 4).strip()
+
+
+def test_names_with_a_word_of_noise():
+    long = LONG.strip()
+    for name in ("class='content has-sidebar'", "class='post with-comments'", "id='main-search'", "class='entry-header-wrapper'"):
+        assert main_text(f"<div {name}><p>{LONG}</div><div class='cookie-notice'>{LONG * 3}</div>") == long
+    # Smaller than the rest, such an element is noise; comments always are.
+    assert main_text(f"<div class=x><p>{LONG * 2}</div><div class='page-sidebar'>{LONG}</div>") == (LONG * 2).strip()
+    assert main_text(f"<div class='post-comments'>{LONG}</div><p>short") == "short"
+    assert main_text(f"<div class='comments'>{LONG}</div>") == ""
+
+
+@pytest.mark.parametrize(
+    "html, length",
+    [("<div>" * 40_000 + "x", 1), ("<a " * 40_000, 119_999), ("<a '>" * 40_001, None), ("<svg/>" * 40_000 + "x", 1), ("<!--" * 40_000, 0),
+     ("<div>" * 40_000 + "</p>" * 40_000 + "x", 1), ("<p>" * 40_000 + "</div>" * 40_000 + "x", 1), ("<" * 100_000, 100_000),
+     ("&#" + "9" * 5_000 + ";&#0000000065;", 2), ("<ul><li>" * 20_000 + "x", 1)],
+)
+def test_hostile_pages_take_linear_time(html, length):
+    start = time.process_time()
+    text = main_text(html)
+    assert length is None or len(text) == length
+    assert time.process_time() - start < 3  # quadratic ones take minutes
+
+
+class Plain(HTMLParser):
+    """Text blocks of well-formed markup, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.dropped = [], "", []
+
+    def close_block(self):
+        if words := self.text.split():
+            self.blocks.append(" ".join(words))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in pages.BLOCKS:
+            self.close_block()
+        if tag == "br":
+            self.text += " "
+        elif tag not in pages.VOID:
+            noise = any(w in pages.NOISE for _, v in attrs for w in v.split("-"))
+            self.dropped.append(tag in pages.DROPPED | pages.RAW or noise or (self.dropped[-1] if self.dropped else False))
+
+    def handle_endtag(self, tag):
+        if tag in pages.BLOCKS:
+            self.close_block()
+        self.dropped.pop()
+
+    def handle_data(self, data):
+        if not (self.dropped and self.dropped[-1]):
+            self.text += data
+
+
+def random_markup(rnd, depth):
+    parts = []
+    for _ in range(rnd.randint(1, 4)):
+        kind = rnd.random()
+        if kind < 0.4 or depth == 0:
+            parts.append(entities.escape(rnd.choice(["a & b", " x\n y ", "<", "é&eacute", "word", "'q'", ' "', "1 > 0"])))
+        elif kind < 0.5:
+            parts.append(rnd.choice(["<br>", "<!-- <p>no</p> -->", "<img src='x>y'>", "<script>var a = '<p>';</script>"]))
+        else:
+            tag = rnd.choice("div section article span b a ul blockquote nav footer form em".split())
+            name = rnd.choice(["", "", "", " class='ad'", ' id="share-buttons"', " class=plain-1", " data-x='a>b'"])
+            parts.append(f"<{tag}{name}>{random_markup(rnd, depth - 1)}</{tag}>")
+    return rnd.choice(["", " "]).join(parts)
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_blocks_equal_those_of_a_plain_parser(seed):
+    markup = random_markup(random.Random(seed), 5)
+    plain = Plain()
+    plain.feed(markup)
+    plain.close()
+    plain.close_block()
+    containers, blocks = pages.parse(markup)
+    assert [b.text for b in blocks] == plain.blocks
+    assert pages.text_under(containers, blocks, "") == "\n".join(plain.blocks)
+    # The best path by the definition: scores summed by whole path, children by recursion.
+    def path(i):
+        return path(containers[i].parent) + ">" + containers[i].step if i else ""
+
+    def score(i):
+        return sum(max(0, len(b.text) - 2 * b.link_chars) for b in blocks if b.container == i) + sum(
+            (pages.DECAY if containers[i].tag else pages.DECAY_TO_PAGE) * score(k) for k in range(1, len(containers)) if containers[k].parent == i
+        )
+
+    by_path = {}
+    for i, c in enumerate(containers):
+        by_path[path(i)] = by_path.get(path(i), 0) + score(i) * (1.5 if c.tag in ("article", "main") else 1)
+    best = pages.best_path(containers, blocks)
+    assert (best is None) == (max(by_path.values()) <= 0)
+    if best:
+        assert by_path[best[0]] == pytest.approx(best[1]) == max(by_path.values())
