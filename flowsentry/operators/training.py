@@ -122,6 +122,30 @@ def stratified_sample(
     return mark_sample(rows, strata, targets, key, seed, per_bucket).where("chosen").drop("chosen")
 
 
+def lowest_hashes(rows: DataFrame, strata: list[str], sizes: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """Rows that hold the ``n`` lowest hashes of every stratum, and few others: what a sample is cut from.
+
+    ``sizes`` has one row per stratum with ``n`` and its number of rows, ``size``. A hash is uniform, so its n-th lowest value
+    lies near n / size; the bound is set eight deviations above. Where that still takes too few rows (many equal rows
+    share a hash), the bound is widened until it does not. Only rows below it are written: about as many as wanted.
+    """
+    slack = F.col("n") + 8 * F.sqrt("n") + 32
+    bounds = sizes.select(*strata, "n", (F.lit(float(1 << 32)) * slack / F.col("size")).alias("_bound"))
+    place = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double")
+    hashed = with_hash(rows, key, seed)
+    while True:
+        bounds = materialize(bounds, "sample-bounds")
+        side = F.broadcast(bounds) if fits_broadcast(bounds) else bounds
+        found = hashed.join(side, strata).where(place < F.col("_bound")).select(*rows.columns)
+        found = materialize(found, "sample-candidates")
+        held = found.groupBy(*strata).agg(F.count(F.lit(1)).alias("_held"))
+        checked = bounds.join(held, strata, "left")
+        short = (F.coalesce("_held", F.lit(0)) < F.col("n")) & (F.col("_bound") < float(1 << 32))
+        if checked.where(short).isEmpty():
+            return found
+        bounds = checked.select(*strata, "n", F.when(short, 4 * F.col("_bound")).otherwise(F.col("_bound")).alias("_bound"))
+
+
 def class_targets(plan: DataFrame) -> DataFrame:
     """Sampling plan as (source_file, label, n) rows."""
     return plan.select("source_file", F.stack(F.lit(2), F.lit(0), F.col("benign"), F.lit(1), F.col("attack")).alias("label", "n"))
@@ -130,17 +154,17 @@ def class_targets(plan: DataFrame) -> DataFrame:
 def balanced_sample(
     rows: DataFrame, key: list[str], benign_ratio: float = 0.9, attack_ratio: float = 0.1, max_samples: int = 800_000, seed: int = 42
 ) -> DataFrame:
-    """Features and labels of a sample with the wanted class ratio, drawn from all files in proportion."""
+    """Features and labels of a sample with the wanted class ratio, drawn from all files in proportion.
+
+    One pass counts the classes of every file, one writes the rows of lowest hash; the sample is cut from those.
+    """
     strata = ["source_file", "label"]
     features = training_features(rows, "source_file", *key)
-    # One pass gives both the class counts and the bucket counts the sample is cut by.
-    per_bucket = materialize(bucket_counts(with_hash(features, key, seed), strata), "sample-counts")
-    per_file = per_bucket.groupBy("source_file").agg(
-        F.sum(F.when(F.col("label") == 0, F.col("_rows")).otherwise(0)).alias("benign"),
-        F.sum(F.when(F.col("label") == 1, F.col("_rows")).otherwise(0)).alias("attack"),
-    )
+    per_file = materialize(class_counts(rows), "sample-counts")
     targets = class_targets(allocate_targets(per_file, benign_ratio, attack_ratio, max_samples))
-    return stratified_sample(features, strata, targets, key, seed, per_bucket)
+    sizes = class_targets(per_file).withColumnRenamed("n", "size")
+    targets = materialize(targets.join(sizes, strata), "sample-targets")
+    return stratified_sample(lowest_hashes(features, strata, targets, key, seed), strata, targets, key, seed)
 
 
 def stratified_split(rows: DataFrame, key: list[str], ratio: float = VALIDATION_RATIO, seed: int = 42) -> DataFrame:

@@ -38,6 +38,23 @@ def test_equal_rows_are_spread_by_their_row_number(spark):
     assert training.stratified_sample(rows, ["label"], targets, ["x"], 1).count() == 100
 
 
+def test_candidates_hold_the_lowest_hashes(spark):
+    rows = spark.range(20_000).select(
+        "id", F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("f"), (F.col("id") % 7 == 0).cast("int").alias("label"))
+    sizes = rows.groupBy("f", "label").agg(F.count("*").alias("size")).withColumn("n", F.least(F.lit(40), F.col("size")).cast("long"))
+    found = training.lowest_hashes(rows, ["f", "label"], sizes, ["id"], 7)
+    assert 160 <= found.count() < 4 * (40 + 8 * 40**0.5 + 32) * 1.5
+    cut = lambda df: sorted(map(tuple, training.stratified_sample(df, ["f", "label"], sizes.drop("size"), ["id"], 7).collect()))
+    assert cut(found) == cut(rows) and len(cut(found)) == 160
+    # A third of the rows is one row: one hash holds them all, wherever it lies.
+    clumped = rows.withColumn("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    for seed in (1,):
+        got = training.stratified_sample(training.lowest_hashes(clumped, ["label"], spark.createDataFrame(
+            [(0, 17_142, 12_000), (1, 2_858, 2_858)], "label int, size long, n long"), ["id"], seed), ["label"],
+            spark.createDataFrame([(0, 12_000), (1, 2_858)], "label int, n long"), ["id"], seed)
+        assert got.count() == 14_858
+
+
 def test_split_takes_a_fifth_of_each_class(spark):
     rows = spark.range(109).select("id", (F.col("id") < 9).cast("int").alias("label"))
     got = training.stratified_split(rows, ["id"]).groupBy("label", "is_val").count().collect()
