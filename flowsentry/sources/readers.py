@@ -128,21 +128,32 @@ def event_keys(events: DataFrame) -> DataFrame:
 
     Rows of equal content are counted before they are shuffled, and many of them are written out again by many tasks.
     """
-    named, rank = F.col("event_id").isNotNull(), F.col("_rank")
-    counted = events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("_n"))
-    numbers = lambda first, n: F.explode(F.sequence(first, F.least(first + (EQUAL_EVENTS - 1), n - 1)))
-    few = counted.where(named | (F.col("_n") <= EQUAL_EVENTS)).withColumn(
-        "_rank", numbers(F.lit(0).cast("long"), F.when(named, F.lit(1).cast("long")).otherwise(F.col("_n")))
-    )
+    copies = F.when(F.col("event_id").isNotNull(), F.lit(1).cast("long")).otherwise(F.count(F.lit(1)))
+    ranked = _ranked(events.groupBy(*events.columns).agg(copies.alias("_n")))
+    return ranked.withColumn("event_id", F.coalesce("event_id", flows.content_id(events.columns, F.col("_rank")))).drop("_rank")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``row_no``, the rank of a row among equal ones, from 0: with it in the key a sample spreads over equal rows.
+
+    It follows from the content alone, so neither splits nor the order of a scan change a sample. Equal rows are counted
+    before they are shuffled, and many of them are written out again by many tasks.
+    """
+    return _ranked(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))).withColumnRenamed("_rank", "row_no")
+
+
+def _ranked(counted: DataFrame) -> DataFrame:
+    """Every row ``_n`` times, with ``_rank`` from 0 in place of ``_n``."""
+    numbers = lambda first: F.explode(F.sequence(first, F.least(first + (EQUAL_EVENTS - 1), F.col("_n") - 1)))
+    few = counted.where(F.col("_n") <= EQUAL_EVENTS).withColumn("_rank", numbers(F.lit(0).cast("long")))
     many = (
-        counted.where(~named & (F.col("_n") > EQUAL_EVENTS))
+        counted.where(F.col("_n") > EQUAL_EVENTS)
         .withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(EQUAL_EVENTS).cast("long"))))
         .repartition("_first")
-        .withColumn("_rank", numbers(F.col("_first"), F.col("_n")))
+        .withColumn("_rank", numbers(F.col("_first")))
         .drop("_first")
     )
-    ranked = few.unionByName(many)
-    return ranked.withColumn("event_id", F.coalesce("event_id", flows.content_id(events.columns, rank))).drop("_n", "_rank")
+    return few.unionByName(many).drop("_n")
 
 
 def stream_flow_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -162,8 +173,7 @@ def stream_flow_events(spark: SparkSession, path: str, files_per_trigger: int |
 def read_flow_csv(spark: SparkSession, *paths: str) -> DataFrame:
     """Flow training rows: only the needed columns, by the header of each file; what is no number becomes 0.
 
-    Files are read in one scan for each order of columns that occurs. ``row_no`` tells equal rows apart, so that
-    sampling spreads them.
+    Files are read in one scan for each order of columns that occurs. Equal rows are told apart by ``numbered``.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     first = reader.text(list(paths)).where("_metadata.file_block_start = 0")
@@ -187,7 +197,6 @@ def _flow_csv(lines: DataFrame) -> DataFrame:
     rows = lines.select(
         *columns,
         F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("row_no"),
     )
     return numeric_flows(rows)
 
@@ -262,10 +271,15 @@ def read_feed_abuse(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 
 def read_feed_c2(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Command-and-control feed: a top-level array (one whole document with ``multi_line``) or JSON lines."""
-    rows = _if_present(lambda: spark.read.schema(schemas.C2_FEED).option("multiLine", multi_line).json(path))
-    if rows is None:
+    """Command-and-control feed: a top-level array (one whole document with ``multi_line``) or JSON lines.
+
+    Entries are converted field by field like other lines. What is no entry is in ``rejected_c2``.
+    """
+    entries = _c2_entries(spark, path, multi_line)
+    if entries is None:
         rows = spark.createDataFrame([], schemas.C2_FEED)
+    else:
+        rows = parsed(entries.where(_is_object(F.col("value"))).select("value"), schemas.C2_FEED)
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return rows.select(
         S.strip(F.col("ip_address")).alias("ip"),
@@ -273,6 +287,24 @@ def read_feed_c2(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     ).where(F.coalesce("ip", F.lit("")) != "")
 
 
+def rejected_c2(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(file, value): documents of the feed that are neither array nor object, and elements of arrays that are no object."""
+    entries = _c2_entries(spark, path, multi_line)
+    if entries is None:
+        return spark.createDataFrame([], "file string, value string")
+    return entries.where(~F.coalesce(_is_object(F.col("value")), F.lit(False)) & (S.strip(F.col("value")) != ""))
+
+
+def _c2_entries(spark: SparkSession, path: str, multi_line: bool) -> DataFrame | None:
+    """(file, value): the elements of top-level arrays as text, all other lines or documents as they are."""
+    text = _texts(spark, path, multi_line)
+    if text is None:
+        return None
+    elements = F.when(F.json_array_length("value").isNotNull(), F.from_json("value", "array<string>"))
+    value = F.explode(F.coalesce(elements, F.array("value")))
+    return text.select(F.col("_metadata.file_path").alias("file"), value.alias("value"))
+
+
 def read_block_log(spark: SparkSession, path: str, parts: list[int] | None = None) -> DataFrame:
     """Rows of the block log; with ``parts`` only those folders are read."""
     text = _texts(spark, path, False)

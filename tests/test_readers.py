@@ -73,6 +73,32 @@ def test_feeds_and_pulses_over_several_lines(spark, tmp_path):
         assert [r["ip"] for r in pulses.collect()] == ["1.2.3.4"]
 
 
+def test_c2_feed_shows_what_it_leaves_out(spark, tmp_path):
+    entry = {"ip_address": " 9.9.9.9\t", "malware": "m", "port": 443, "status": None}
+    mixed = [entry, {"ip_address": ""}, "text", None, 7, [entry], {**entry, "country": {"odd": 1}}]
+    for several in (False, True):
+        folder = tmp_path / f"c{several}"
+        write(folder / "a.json", json.dumps(mixed, indent=1 if several else None))
+        write(folder / "b.json", entry)
+        write(folder / "c.json", "[{broken")
+        write(folder / "d.json", "[]")
+        rows = readers.read_feed_c2(spark, str(folder), multi_line=several)
+        got = sorted(map(tuple, rows.select("ip", "malware", "port", "status").collect()))
+        assert got == [("9.9.9.9", "m", "443", "")] * 3 and rows.count() == 3
+        left = [r["value"].strip() for r in readers.rejected_c2(spark, str(folder), multi_line=several).collect() if r["value"]]
+        assert sorted(left)[1:] == ["[" + json.dumps(entry).replace(", ", ",").replace(": ", ":") + "]", "[{broken", "text"] and left.count("7") == 1
+    assert readers.read_feed_c2(spark, str(tmp_path / "none")).count() == readers.rejected_c2(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_numbers_of_equal_rows_follow_from_content(spark):
+    rows = spark.range(9_000).selectExpr("if(id < 5000, 'same', concat('x', id % 10)) as a", "if(id % 2 = 0, null, 1) as b")
+    first, other = readers.numbered(rows), readers.numbered(rows.repartition(7))
+    assert sorted(map(str, first.collect())) == sorted(map(str, other.collect()))
+    assert first.count() == 9_000 == first.distinct().count() and first.agg(F.max("row_no")).first()[0] == 2_499
+    big = readers.numbered(spark.range(10_000).selectExpr("'same' as a"))
+    assert sorted(r["row_no"] for r in big.collect()) == list(range(10_000))
+
+
 def test_csv_by_each_file_header(spark, tmp_path):
     names = ["PROTOCOL", "IN_BYTES", "IN_PKTS", "OUT_BYTES", "OUT_PKTS", "FLOW_DURATION_MILLISECONDS", "Label"]
     write(tmp_path / "c/one.csv", ",".join(names), "6,60,1,0,0,5,1", "NaN,x,,NaN,0,5,NaN")
