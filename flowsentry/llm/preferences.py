@@ -53,7 +53,7 @@ def format_preferences(turns: DataFrame, pair: Column, side: Column, trained: tu
     Only built-in functions; rows are shuffled once, by pair. Turns are ordered by turn, role, text, nulls first, and
     repeated rows are turns of their own. A null role is shown as ``unknown``, a null text as empty. Rows without
     conv_id belong to no conversation and are left out. A pair with one side has no shared turns and nulls for the
-    other; two equal conversations have empty completions. Other columns are ignored.
+    other; two equal conversations have empty completions. An empty table gives no rows; other columns are ignored.
     """
     role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
     order = W.partitionBy("pair_id", "side", "conv_id").orderBy(F.col("turn"), F.col("r0"), F.col("t0"))

@@ -147,7 +147,7 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOWED, classes: tup
     """Per row of ``docs``: counts by kind, a digest of the base spans, and all spans (code points, end exclusive).
 
     ``allow`` holds full-match patterns that silence entropy candidates; base spans are never silenced. A null text is
-    empty; repeated rows and null ids are answered row by row; other columns are ignored.
+    empty; repeated rows and null ids are answered row by row; an empty table gives no rows; other columns are ignored.
     """
     patterns = _compile(allow)
 

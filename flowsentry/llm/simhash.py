@@ -174,12 +174,17 @@ def links(codes: DataFrame, distance: int = 4, group_rows: int = GROUP_ROWS) ->
     return common.map_rows(ordered, rows, "src long, dst long").distinct()
 
 
+#: Keys the nodes of one component are dealt out by when they are named.
+SALTS = 16
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints link within ``distance`` bits, directly or over others.
 
     ``component_id`` is the smallest doc_id of the component. A text without words (null, empty) has fingerprint zero
     and links like any other. Equal fingerprints are one node, so copies cost nothing beyond their row. Repeated rows
-    stay; a row without doc_id is linked but never names a component unless nothing else is in it (then null).
+    stay; a row without doc_id is linked but never names a component unless nothing else is in it (then null). An empty
+    table gives no rows; other columns are ignored.
     """
     found = materialize(fingerprints(docs, width), "simhash")
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -189,7 +194,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    # One component may hold most nodes: they meet copies of its one row under SALTS keys.
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    copies = smallest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = rooted.select("*", salt).join(copies, ["root", "salt"]).select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -63,7 +63,7 @@ def top_k(table: DataFrame, is_query: Column, best: int = 10, scale: int = 1024)
     Every row with a usable vector is scored against every query, whole; a block keeps its own best rows and the
     blocks' results are ranked again. Rows with the query's vec_id are its own and no candidates; ties go to the
     smaller vec_id. Shorter vectors count as filled up with zeros; null vec_ids and unusable vectors take no part. Scores
-    are longs: components up to 2^20 and a few million terms stay exact.
+    are longs: components up to 2^20 and a few million terms stay exact. An empty table, or one without queries, gives no rows.
     """
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = table.where(vectors.usable() & F.col("vec_id").isNotNull()).select("vec_id", v.alias("v"))

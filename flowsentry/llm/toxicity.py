@@ -258,7 +258,8 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
     ``neighbours`` is the number of labelled examples with a cosine above zero that voted (at most NEIGHBOURS), ``evidence``
     the nearest SHOWN of them as id:label:cosine, comma-joined. A text
     without any term, empty and null texts among them, gets the rate of such texts. Without an index every score is 0.
-    Rows and their order do not matter to each other; repeated rows are scored each; other columns are ignored.
+    Of examples with equal cosines the one of smaller number in the index comes first. Rows and their order do not matter to
+    each other; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
