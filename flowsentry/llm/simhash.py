@@ -193,11 +193,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     rooted = nodes.join(member, nodes["fp"] == member["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # One component may hold most nodes: they meet copies of its one row under SALTS keys.
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    # One component may hold most nodes: they meet copies of its one row under SALTS keys. Single nodes meet none.
     salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
-    copies = smallest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    named = rooted.select("*", salt).join(copies, ["root", "salt"]).select("fp", "component_id")
+    several = smallest.where("nodes > 1").drop("nodes")
+    copies = several.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = rooted.select("*", salt).join(copies, ["root", "salt"], "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id")
+    )
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
