@@ -102,16 +102,21 @@ def source_rules(
                 known = memory["ports"].setdefault(str(s.port), [[], None])
                 kept, over = counted(rows, known, s.attempts, s.window_s * SECOND, s.cooldown_s * SECOND, SEVERITY_EXTRA)
                 name[kept], severity[kept] = f"L7BruteForce_{s.service}", np.minimum(0.95 + 0.01 * over, 0.99)
-        ready = ready.assign(hit_name=name, hit_severity=severity, session_start_us=None, total_frames=0.0, total_bytes=0.0, first_block=False)
-        for flow, part in ready[~ready["record"]].groupby("flow", sort=False):
-            totals, memory["flows"][flow] = continued(part["t_us"].to_numpy(), part["size"].to_numpy(), memory["flows"].get(flow), gap_us)
-            for column, values in zip(SESSION, totals):
-                ready.loc[part.index, column] = values
+        first_block = np.zeros(n, bool)
         if blocks and not memory["blocked"]:
             signed = np.flatnonzero(ready["named"].to_numpy(bool) & (ready["signed"].to_numpy(bool) | (name != None)))  # noqa: E711
-            if len(signed):
-                ready.loc[ready.index[signed[0]], "first_block"] = True
-                memory["blocked"] = True
+            first_block[signed[:1]] = memory["blocked"] = len(signed) > 0
+        # One array for each result, filled flow by flow; only a record has no session.
+        packets = np.flatnonzero(~ready["record"].to_numpy(bool))
+        session = [np.full(n, None, object) if len(packets) < n else np.zeros(n, np.int64), np.zeros(n), np.zeros(n)]
+        flow, flows_seen = pd.factorize(ready["flow"].to_numpy()[packets])
+        packets, size = packets[np.argsort(flow, kind="stable")], ready["size"].to_numpy()
+        ends = np.cumsum(np.bincount(flow, minlength=len(flows_seen)))
+        for seen, at in zip(flows_seen, np.split(packets, ends[:-1])):
+            totals, memory["flows"][seen] = continued(t[at], size[at], memory["flows"].get(seen), gap_us)
+            for column, values in zip(session, totals):
+                column[at] = values
+        ready = ready.assign(hit_name=name, hit_severity=severity, **dict(zip(SESSION, session)), first_block=first_block)
 
     def current(known: list, window_us: int, cooldown_us: int) -> list:
         last = known[1] if known[1] is not None and known[1] + cooldown_us > watermark else None

@@ -34,6 +34,10 @@ MARK = "end of stream"
 ROW = "t_us long, event_id long, row string"
 STATE = "waiting binary, memory string"
 
+#: Spark hands a key's state over with every so many of its rows, so few large batches of rows and a small state: else
+#: the bytes handed over grow with the square of a key's rows.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 100_000
+
 
 class KeyedStream:
     """Base of the stateful stream jobs.
@@ -89,8 +93,10 @@ class KeyedStream:
             in_order(self.rules(), self.facts, self.results), out, STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
         schema = T.StructType([f for f in rows.schema if f.name not in ("event_id", "_mark")])
-        own = [F.col("event_id") if c == "event_id" else F.col("_row")[c].alias(c) for c in columns]
-        return released.withColumn("_row", F.from_json("row", schema)).select(*own, *self.results, "late")
+        # The rest needs no key, so a large key's rows go on in all tasks; as rows of a generator a text is parsed once
+        # and not once for each use of each column.
+        parsed = released.repartition("event_id").select("event_id", *self.results, "late", F.inline(F.array(F.from_json("row", schema))))
+        return parsed.select(*columns, *self.results, "late")
 
     def start(self, events: DataFrame, **trigger) -> StreamingQuery:
         """Run on a stream of events; by default until all that is there has been read."""
@@ -101,7 +107,13 @@ class KeyedStream:
         rows = self.finished(self.transformed(events.withColumn("_mark", F.lit(False)).unionByName(ends)))
         writer = rows.writeStream.format("parquet").option("path", f"{self.path}/out")
         writer = writer.option("checkpointLocation", f"{self.path}/checkpoint")
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+        # The running query keeps the settings it was started with.
+        before = self.spark.conf.get(BATCH_SETTING)
+        self.spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+        try:
+            return writer.trigger(**(trigger or {"availableNow": True})).start()
+        finally:
+            self.spark.conf.set(BATCH_SETTING, before)
 
     def finish(self, events: DataFrame | None = None) -> None:
         """End the stream: release all that still waits. What arrives later is late."""
@@ -164,14 +176,29 @@ def in_order(rules: Callable, facts: dict[str, str], results: dict[str, str]) ->
 
 
 def one_of_each(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows in order, each event once: equal ones with an id of their own are one, others get their ranks."""
-    rows = rows.sort_values(["t_us", "event_id", "row"], kind="stable", ignore_index=True)
-    named = rows["event_id"] >= 0
-    source = rows["row"].map(lambda row: str(json.loads(row).get("src_ip")))
-    rank = rows.groupby([rows["t_us"], rows["event_id"], source]).cumcount()
+    """Rows in order, each event once: equal ones with an id of their own are one, others get their ranks.
+
+    Texts are compared, and read, of rows that are equal in time and id only.
+    """
+    rows = in_time(rows)
+    t, n = rows["t_us"].to_numpy(), rows["event_id"].to_numpy()
+    again = (t[1:] == t[:-1]) & (n[1:] == n[:-1])
+    if not again.any():
+        return rows
+    tied = np.flatnonzero(np.append(again, False) | np.append(False, again))
+    equals = rows.iloc[tied].sort_values(["t_us", "event_id", "row"], kind="stable")
+    place, rank = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+    place[tied] = equals.index
+    source = equals["row"].map(lambda row: str(json.loads(row).get("src_ip")))
+    rank[tied] = equals.groupby([equals["t_us"], equals["event_id"], source]).cumcount()
+    rows = rows.iloc[place].reset_index(drop=True)
+    named = (rows["event_id"] >= 0).to_numpy(bool)
     rows["event_id"] = np.where(named, rows["event_id"], rows["event_id"] ^ rank)
-    rows = rows[~(named & (rank > 0))]
-    return rows.sort_values(["t_us", "event_id"], kind="stable", ignore_index=True)
+    return in_time(rows[~(named & (rank > 0))])
+
+
+def in_time(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.iloc[np.lexsort((rows["event_id"], rows["t_us"]))].reset_index(drop=True)
 
 
 def shaped(rows: pd.DataFrame, results: dict[str, str], late: bool) -> pd.DataFrame:
@@ -185,7 +212,7 @@ def shaped(rows: pd.DataFrame, results: dict[str, str], late: bool) -> pd.DataFr
 def pack(rows: pd.DataFrame) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(sink, table.schema) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 

@@ -1,9 +1,10 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from flowsentry.operators import cascade, flows, intel, rules as R
 from flowsentry.plans import inputs as I
 from flowsentry.sources import readers
-from flowsentry.streaming import jobs
+from flowsentry.streaming import jobs, keyed
 from tests.conftest import SF, SF_SMALL
 
 SECOND = 1_000_000
@@ -115,3 +116,32 @@ def test_alert_minutes_are_written_once_over_restarts(spark, tmp_path):
         jobs.close_alert_minutes(stream, path, "5 minutes")
     rows = jobs.read_alert_minutes(spark, path)
     assert (rows.count(), rows.agg(F.sum("count")).first()[0]) == (100, 600)
+
+
+def test_texts_are_read_of_equal_rows_only(monkeypatch):
+    rows = pd.DataFrame({"t_us": [3, 1, 2, 1], "event_id": [7, 9, 7, 8], "row": ["no json"] * 4})
+    ordered = keyed.one_of_each(rows)
+    assert list(zip(ordered["t_us"], ordered["event_id"])) == [(1, 8), (1, 9), (2, 7), (3, 7)]
+    # Of equal ones with an id the least text stays, ids made from content get ranks; a source counts for itself.
+    a, b, c = ('{"src_ip":"a","n":1}', '{"src_ip":"a","n":2}', '{"src_ip":"b"}')
+    rows = pd.DataFrame({"t_us": [5, 5, 5, 5, 4, 5], "event_id": [1, 1, 1, -8, 6, -8], "row": [b, a, c, a, "no json", a]})
+    ordered = keyed.one_of_each(rows)
+    got = list(zip(ordered["t_us"], ordered["event_id"], ordered["row"]))
+    assert got == [(4, 6, "no json"), (5, -8, a), (5, -8 ^ 1, a), (5, 1, a), (5, 1, c)]
+
+
+def test_large_keys_hand_their_state_over_a_few_times_and_small(spark, tmp_path):
+    text = '{"t_us":%d,"src_ip":"10.0.0.1","dst_ip":"192.168.1.1","src_port":1024,"dst_port":22,"proto":"TCP","flags":"S"}'
+    rows = pd.DataFrame({"t_us": range(20_000), "event_id": range(20_000), "row": [text % n for n in range(20_000)]})
+    packed = keyed.pack(rows)
+    assert len(packed) < rows["row"].str.len().sum() / 4 and keyed.unpack(packed).equals(rows)
+    packets = I.packets(spark, SF_SMALL)
+    packets.write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get(keyed.BATCH_SETTING)
+    job = jobs.FlowFeatureStream(spark, str(tmp_path / "job"), 100 * SECOND)
+    query = job.start(spark.readStream.schema(packets.schema).parquet(str(tmp_path / "in")))
+    query.awaitTermination()
+    assert spark.conf.get(keyed.BATCH_SETTING) == before != str(keyed.BATCH_ROWS)
+    plan = query._jsq.explainInternal(False)
+    # Released rows are parsed and written by all tasks, each text once.
+    assert plan.count("Generate inline") == 1 and plan.index("REPARTITION_BY_COL") < plan.index("FlatMapGroupsInPandasWithState")
