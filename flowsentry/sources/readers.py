@@ -177,11 +177,9 @@ def read_flow_csv(spark: SparkSession, *paths: str) -> DataFrame:
     """
     reader = spark.read.option("recursiveFileLookup", True)
     first = reader.text(list(paths)).where("_metadata.file_block_start = 0")
-    headers = (
-        first.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
-        .groupBy("file")
-        .agg(F.min_by("value", "n").alias("header"))
-    )
+    lines = first.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"), F.monotonically_increasing_id().alias("n"))
+    # The least number of each file, then its line: an aggregate of the lines themselves would sort all of a split.
+    headers = lines.join(F.broadcast(lines.groupBy("file").agg(F.min("n").alias("n")).select("n")), "n").select("file", "header")
     layouts = [r["header"] for r in headers.select("header").distinct().collect()]  # column orders, not files
     if len(layouts) < 2:
         return _flow_csv(reader.option("header", True).csv(list(paths)))

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from flowsentry.operators import alerts as A
 from flowsentry.operators import cascade, decisions, flows, intel, rules
@@ -107,6 +108,18 @@ def test_csv_by_each_file_header(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(0, 0, 0, 0, 0, 5, 0), (6, 60, 1, 0, 0, 5, 1), (6, 60, 1, 0, 0, 5, 1)]
 
 
+def test_csv_headers_need_no_sort_of_the_lines(spark, tmp_path, monkeypatch):
+    # Several files in a task, one of another order of columns.
+    rows = spark.range(30_000).select(F.col("id").cast("string").alias("IN_BYTES"), F.lit("6").alias("PROTOCOL"))
+    rows.repartition(3).write.option("header", True).csv(str(tmp_path / "a"))
+    rows.where("id < 5").select("PROTOCOL", "IN_BYTES").coalesce(1).write.option("header", True).csv(str(tmp_path / "b"))
+    plans, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    got = readers.read_flow_csv(spark, str(tmp_path)).agg(F.count("*"), F.sum("IN_BYTES"), F.sum("PROTOCOL"))
+    assert plans and not any("Sort" in p for p in plans)
+    assert tuple(collect(got)[0]) == (30_005, sum(range(30_000)) + 10, 6.0 * 30_005)
+
+
 def test_single_rule_file_of_any_name(spark, tmp_path):
     line = 'alert tcp any any -> any 22 (msg:"m"; sid:1;)'
     path = write(tmp_path / "r/my.txt", "# note", line)
