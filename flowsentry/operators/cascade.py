@@ -94,6 +94,11 @@ def signature_of(rule: Column) -> Column:
     )
 
 
+def is_signed(rule: Column) -> Column:
+    """Whether ``signature_of`` is not null, without building it."""
+    return F.col("ioc") | F.col("hit_name").isNotNull() | rule.isNotNull()
+
+
 def scored(features: DataFrame, config: CascadeConfig) -> DataFrame:
     """Feature rows with ``ml`` and ``ml_label``."""
     rows = (config.scorer or heuristic_scorer)(features)
@@ -107,7 +112,8 @@ def score_and_match(flagged: DataFrame, stages: Stages, rules: DataFrame, config
     marked = by_event(dense.cut_blocks(flagged, flows.FLOW_KEY, block_us), marks, "left")
     features = flows.flow_features(marked, block_us=block_us)
     matched = rule_ops.first_rule_match(features, rules)
-    return scored(matched.withColumn("sig", signature_of(F.col("rule"))), config)
+    signed = matched.withColumns({"sig": signature_of(F.col("rule")), "signed": is_signed(F.col("rule"))})
+    return scored(signed, config)
 
 
 def alert_columns(kind: Column, score: Column, action: Column, source: Column, sid: Column) -> list[Column]:
@@ -134,7 +140,8 @@ def alert_columns(kind: Column, score: Column, action: Column, source: Column, s
 def build_alerts(scored: DataFrame, mode: str, also: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """At most one alert per event: the signature if there is one, else the model's.
 
-    ``also`` keeps further rows, ``extra`` further columns.
+    ``also`` keeps further rows, ``extra`` further columns. Where the rows tell by ``signed`` whether ``sig`` is there,
+    the filter goes by that: it would build the whole struct once more, in a method too long to be compiled at run time.
     """
     is_sig = F.col("sig").isNotNull()
     label = F.col("ml_label")
@@ -146,7 +153,7 @@ def build_alerts(scored: DataFrame, mode: str, also: Column | None = None, extra
     )
     kind = F.when(is_sig, F.concat(F.lit("signature:"), F.col("sig.name"))).otherwise(label)
     source = F.when(is_sig, F.col("sig.source_engine")).otherwise(F.lit("ml"))
-    wanted = is_sig | (label != "benign")
+    wanted = (F.col("signed") if "signed" in scored.columns else is_sig) | (label != "benign")
     return scored.where(wanted if also is None else wanted | also).select(
         *extra,
         *alert_columns(kind, score, L.policy_action(mode, is_sig), source, F.col("sig.sid")),

@@ -125,17 +125,23 @@ def trailing_hits(
 
     def back(o: int) -> Column:
         """Time of the row that came ``o`` rows earlier, in this block or before it."""
-        missing = F.greatest(F.lit(o) - F.col("_row") + 1, F.lit(1))
-        return F.coalesce(f"_lag{o}", F.when(F.col("_row") <= o, F.try_element_at("_before", -missing)))
-
-    def reached(n: int) -> Column:
-        hits = [F.coalesce((F.col("t_us") - back(n - 1 + j) <= F.col("_within")).cast("int"), F.lit(0)) for j in range(extra + 1)]
-        return sum(hits[1:], hits[0])
-
-    total = F.lit(0)
-    for n in sorted(set(needs)):
-        total = F.when(F.col("_need") == n, reached(n)).otherwise(total)
-    return numbered.withColumn("over", total - 1).where(F.col("over") >= 0).select(*rows.columns, "over")
+        # Outside of the array, so also for a row that has as many before it in its block, ``get`` gives null.
+        return F.coalesce(f"_lag{o}", F.get("_before", F.size("_before") + F.col("_row") - F.lit(o + 1)))
+
+    def near(o: int) -> Column:
+        return F.coalesce(F.col("t_us") - F.col(f"_back{o}") <= F.col("_within"), F.lit(False))
+
+    def by_need(value, none: Column) -> Column:
+        for n in sorted(set(needs)):
+            none = F.when(F.col("_need") == n, value(n)).otherwise(none)
+        return none
+
+    # A filter is computed apart from the columns, each time is one column, and rows come in order of time, so the
+    # nearest time alone makes a hit: all in one expression was a method too long to be compiled at run time.
+    timed = numbered.withColumns({f"_back{o}": back(o) for o in offsets})
+    hits = timed.where(by_need(lambda n: near(n - 1), F.lit(False)))
+    over = by_need(lambda n: sum((near(n - 1 + j).cast("int") for j in range(1, extra + 1)), F.lit(0)), F.lit(0))
+    return hits.select(*rows.columns, over.alias("over"))
 
 
 def syn_flood_candidates(syn_rows: DataFrame, rule: SynFlood = SynFlood(), **options) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +216,40 @@ def test_input_is_read_once_and_nameless_events_are_refused(spark, tmp_path):
     assert str(tmp_path) not in plan
     with pytest.raises(ValueError, match="event_id"):
         cascade.run_cascade(df.withColumn("event_id", F.lit(None).cast("long")), nothing, rules)
+
+
+def longest_method(df):
+    """Bytes of the longest method Spark generates for a plan; from 8000 on the JVM never compiles it."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = df.sparkSession._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+
+def test_heavy_stages_are_short_enough_to_be_compiled(spark):
+    flagged = intel.ioc_match(I.packets(spark, SF), I.indicators(spark, SF))
+    watched = thresholds.service_lookup(flagged.select("src_ip", "dst_port", "t_us", "event_id"))
+    hits = thresholds.login_candidates(watched).groupBy("src_ip", "dst_port", "t_us").agg(F.min(F.struct("event_id", "service", "over")))
+    assert longest_method(hits) < 8000
+    alerts = cascade.run_cascade(I.packets(spark, SF), I.indicators(spark, SF), I.cascade_rules(spark, SF))
+    assert longest_method(alerts) < 8000
+
+
+def test_rows_beyond_the_limit_are_counted_over_block_borders(spark):
+    """Against a count over the plain list; blocks of a few rows, needs of several services, rows of no service."""
+    times = [0, 1, 1, 2, 9, 30, 31, 31, 32, 33, 34, 35, 36, 60, 61, 62, 63, 64, 65, 66, 95, 96]
+    rows = [("a", p, t * S, 100 * p + i) for p in (21, 22, 3389) for i, t in enumerate(times)] + [("b", 22, 5 * S, 1)]
+    watched = thresholds.service_lookup(spark.createDataFrame(rows, "src_ip string, dst_port int, t_us long, event_id long"))
+    want = set()
+    for s in thresholds.LOGIN_SERVICES:
+        own = sorted((r for r in rows if r[0] == "a" and r[1] == s.port), key=lambda r: (r[2], r[3]))
+        for i, r in enumerate(own):
+            reached = sum(i >= s.attempts - 1 + j and r[2] - own[i - s.attempts + 1 - j][2] <= s.window_s * S for j in range(5))
+            want |= {(r[3], reached - 1)} if reached else set()
+    assert want and {n for _, n in want} >= {0, 4}
+    for most in (3, 1000):
+        got = thresholds.login_candidates(watched, block_us=S, most=most).collect()
+        assert {(r["event_id"], r["over"]) for r in got} == want and len(got) == len(want)
