@@ -17,7 +17,7 @@ from flowsentry.operators.cooldown import FIRST, greedy
 from flowsentry.operators.flows import FLOW_KEY, IDLE_GAP_US
 from flowsentry.operators.thresholds import SECOND, SEVERITY_EXTRA, LoginService, SynFlood
 from flowsentry.sources import sinks
-from flowsentry.streaming.keyed import KeyedStream, end_mark
+from flowsentry.streaming.keyed import KeyedStream, end_mark, stream_settings
 
 SESSION = {"session_start_us": "long", "total_frames": "double", "total_bytes": "double"}
 
@@ -260,7 +260,8 @@ def write_alert_minutes(alerts: DataFrame, path: str, delay: str, **trigger) ->
     marks = spark.readStream.schema(alerts.schema).parquet(f"{path}/marks")
     groups = alert_minutes(alerts.unionByName(marks), delay)
     writer = groups.writeStream.outputMode("append").format("parquet").option("path", f"{path}/groups")
-    return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+    with stream_settings(spark):
+        return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def close_alert_minutes(alerts: DataFrame, path: str, delay: str) -> None:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,10 @@ STATE = "waiting binary, memory string"
 #: the bytes handed over grow with the square of a key's rows.
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 100_000
 
+#: A state partition costs its files and a call of Python in each micro-batch, however little it holds, so a stream has
+#: a few for each core of the cluster and not more than the session asks for. Spark keeps the number of the first start.
+PARTITION_SETTING, PARTITIONS_PER_CORE, LEAST_PARTITIONS = "spark.sql.shuffle.partitions", 2, 24
+
 
 class KeyedStream:
     """Base of the stateful stream jobs.
@@ -107,13 +112,8 @@ class KeyedStream:
         rows = self.finished(self.transformed(events.withColumn("_mark", F.lit(False)).unionByName(ends)))
         writer = rows.writeStream.format("parquet").option("path", f"{self.path}/out")
         writer = writer.option("checkpointLocation", f"{self.path}/checkpoint")
-        # The running query keeps the settings it was started with.
-        before = self.spark.conf.get(BATCH_SETTING)
-        self.spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
-        try:
+        with stream_settings(self.spark):
             return writer.trigger(**(trigger or {"availableNow": True})).start()
-        finally:
-            self.spark.conf.set(BATCH_SETTING, before)
 
     def finish(self, events: DataFrame | None = None) -> None:
         """End the stream: release all that still waits. What arrives later is late."""
@@ -130,6 +130,25 @@ class KeyedStream:
         return self.written().where("late")
 
 
+def state_partitions(spark: SparkSession) -> int:
+    wanted = max(LEAST_PARTITIONS, PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return min(wanted, int(spark.conf.get(PARTITION_SETTING)))
+
+
+@contextmanager
+def stream_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings of a stateful stream while it is started; the running query keeps them, the session has its own again."""
+    wanted = {BATCH_SETTING: str(BATCH_ROWS), PARTITION_SETTING: str(state_partitions(spark))}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def end_mark(spark: SparkSession, schema: T.StructType, time: str, path: str, end: bool) -> None:
     """A table of marks beside a stream's input: none, or with ``end`` one more row that has nothing but a late time."""
     late = F.timestamp_micros(F.lit(END_US)) if isinstance(schema[time].dataType, T.TimestampType) else F.lit(END_US)

@@ -145,3 +145,23 @@ def test_large_keys_hand_their_state_over_a_few_times_and_small(spark, tmp_path)
     plan = query._jsq.explainInternal(False)
     # Released rows are parsed and written by all tasks, each text once.
     assert plan.count("Generate inline") == 1 and plan.index("REPARTITION_BY_COL") < plan.index("FlatMapGroupsInPandasWithState")
+
+
+def test_state_lies_in_a_few_partitions_for_each_core(spark, tmp_path):
+    packets = I.packets(spark, SF_SMALL)
+    packets.write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(packets.schema).parquet(str(tmp_path / "in"))
+    before = spark.conf.get(keyed.PARTITION_SETTING)
+    most = max(keyed.LEAST_PARTITIONS, keyed.PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism)
+    for asked, got in (("60", most), ("3", 3)):
+        spark.conf.set(keyed.PARTITION_SETTING, asked)
+        try:
+            job = jobs.FlowFeatureStream(spark, str(tmp_path / asked), 100 * SECOND)
+            job.start(events).awaitTermination()
+            assert spark.conf.get(keyed.PARTITION_SETTING) == asked
+        finally:
+            spark.conf.set(keyed.PARTITION_SETTING, before)
+        job.finish()  # under another setting: Spark keeps the number of the first start
+        parts = [p.name for p in (tmp_path / asked / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+        assert len(parts) == got
+        assert job.features().count() == packets.count()
