@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.operators import cascade, intel
@@ -31,14 +31,22 @@ def packet_stream(spark: SparkSession, sf: str, rows: DataFrame | None = None, p
     return spark.readStream.schema(rows.schema).parquet(path), path
 
 
+def dealt_out(spark: SparkSession, rows: DataFrame, stretch: Column) -> DataFrame:
+    """The rows with their ``stretch``, a folder for each: made once, and a stretch is read without the others."""
+    path = scratch_path(spark, "stretches")
+    rows = rows.withColumn("stretch", stretch)
+    rows.write.partitionBy("stretch").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def run_in_batches(spark: SparkSession, job: KeyedStream, rows: DataFrame, batches: int = BATCHES) -> None:
     """All rows in order of time, in equal stretches of time, one micro-batch after the other."""
     path = scratch_path(spark, "batches")
     first, last = rows.agg(F.min("t_us"), F.max("t_us")).first()
     length = (last - first) // batches + 1
+    stretches = dealt_out(spark, rows, F.floor((F.col("t_us") - first) / length))
     for n in range(batches):
-        part = rows.where(F.floor((F.col("t_us") - first) / length) == n)
-        part.write.mode("append").parquet(path)
+        stretches.where(F.col("stretch") == n).select(*rows.columns).write.mode("append").parquet(path)
         job.start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
     job.finish()
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators import cascade, flows, intel, rules as R
 from flowsentry.plans import inputs as I
+from flowsentry.plans.streams import run_in_batches
 from flowsentry.sources import readers
 from flowsentry.streaming import jobs, keyed
 from tests.conftest import SF, SF_SMALL
@@ -165,3 +166,26 @@ def test_state_lies_in_a_few_partitions_for_each_core(spark, tmp_path):
         parts = [p.name for p in (tmp_path / asked / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
         assert len(parts) == got
         assert job.features().count() == packets.count()
+
+
+def test_rows_are_made_once_for_all_batches(spark, tmp_path):
+    made, seen = spark.sparkContext.accumulator(0), []
+
+    @F.udf("long")
+    def time(n):
+        made.add(1)
+        return None if n == 3 else 1000 * n if n < 5 else 100_000 + n
+
+    class Job:
+        def start(self, events):
+            writer = events.writeStream.foreachBatch(lambda rows, _: seen.append(sorted(r["id"] for r in rows.collect())))
+            return writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+
+        def finish(self):
+            seen.append("end")
+
+    rows = spark.range(10).select("id", time.asNondeterministic()("id").alias("t_us"))
+    run_in_batches(spark, Job(), rows, 4)
+    assert seen == [[0, 1, 2, 4], [], [], [5, 6, 7, 8, 9], "end"]
+    # Once for the first and last time, once for all batches.
+    assert made.value == 20
