@@ -37,6 +37,9 @@ sampled as (select f.* from (select *, row_number() over (partition by source_fi
     l_partkey, l_linenumber, cast(in_bytes as bigint), cast(out_bytes as bigint)))) as place from flows) f join targets t
    on f.source_file = t.source_file and place <= case label when 0 then benign else attack end)"""
 
+#: The same with as many rows as the class ratio allows.
+WHOLE_FLOWS_SQL = FLOWS_SQL.replace("least(20000, ", "least(")
+
 
 def numeric(spark: SparkSession, sf: str) -> DataFrame:
     """Training rows with numeric columns; the text columns used as sampling key are kept beside them."""
@@ -50,8 +53,8 @@ def numeric(spark: SparkSession, sf: str) -> DataFrame:
 SAMPLE_KEY = ["l_orderkey", "l_partkey", "l_linenumber", "in_text", "out_text"]
 
 
-def sample(spark: SparkSession, sf: str) -> DataFrame:
-    return training.balanced_sample(numeric(spark, sf), SAMPLE_KEY, max_samples=20_000)
+def sample(spark: SparkSession, sf: str, max_samples: int | None = 20_000) -> DataFrame:
+    return training.balanced_sample(numeric(spark, sf), SAMPLE_KEY, max_samples=max_samples)
 
 
 ROUNDS = 40
@@ -207,8 +210,8 @@ def register(c: Catalog) -> None:
             F.unix_micros(S.parse_iso(F.col("decision_timestamp"))).alias("decision_us"),
         )
 
-    union_sql = (
-        feedback_sql + ", " + FLOWS_SQL
+    union_sql = lambda flows_sql: (
+        feedback_sql + ", " + flows_sql
         + f""", joined as (select {FEATURE_SQL}, false as from_feedback from sampled union all select cast(total_frames as float),
           cast(total_bytes as float), cast(duration as float), cast(avg_pkt_size as float), cast(pkts_per_sec as float),
           cast(bytes_per_sec as float), cast(protocol as float), label, true from feedback)"""
@@ -216,7 +219,7 @@ def register(c: Catalog) -> None:
 
     @c.add(
         "set3_training_union",
-        union_sql + " select from_feedback, label, count(*) as n, sum(total_frames::double) as frames from joined group by 1, 2",
+        union_sql(FLOWS_SQL) + " select from_feedback, label, count(*) as n, sum(total_frames::double) as frames from joined group by 1, 2",
     )
     def set3(spark, sf):
         rows = training.training_union(sample(spark, sf), training.feedback_samples(written_feedback(spark, sf)))
@@ -226,12 +229,12 @@ def register(c: Catalog) -> None:
 
     @c.add(
         "agg14_attack_ratio",
-        union_sql
+        union_sql(WHOLE_FLOWS_SQL)
         + """ select round(avg(label), 6) as attack_ratio, count(*) as sampled_rows,
              count(*) filter (from_feedback) as feedback_rows_used from joined""",
     )
     def agg14(spark, sf):
-        rows = training.training_union(sample(spark, sf), training.feedback_samples(written_feedback(spark, sf)))
+        rows = training.training_union(sample(spark, sf, None), training.feedback_samples(written_feedback(spark, sf)))
         return training.attack_ratio(rows).withColumn("attack_ratio", F.round("attack_ratio", 6))
 
     @c.add(

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from flowsentry.operators import boosting, flows, models, training, training_job
 from flowsentry.plans import inputs as I
+from flowsentry.plans import learning
 from flowsentry.sources import readers, sinks
 from tests.conftest import SF_SMALL
 
@@ -55,6 +57,23 @@ def test_candidates_hold_the_lowest_hashes(spark):
         assert got.count() == 14_858
 
 
+def test_attack_ratio_is_that_of_all_rows_the_class_ratio_allows(spark, tmp_path, monkeypatch):
+    n = F.col("id")
+    lines = spark.range(30_000).select(
+        n.alias("l_orderkey"), (3 * n).alias("l_partkey"), (n % 7).alias("l_linenumber"), n.alias("l_suppkey"),
+        F.when(n % 4 == 0, "O").otherwise("F").alias("l_linestatus"), F.when(n % 10 == 0, "R").otherwise("N").alias("l_returnflag"),
+        (n % 50).cast("double").alias("l_quantity"), (n * 1.5).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    features = F.create_map(F.lit("duration"), F.lit("1"))
+    feedback = spark.range(0, 100_002, 1, 4).select(
+        n.cast("string").alias("alert_id"), F.lit("resolved").alias("decision"), F.lit("t").alias("decision_timestamp"),
+        F.struct(features.alias("model_features")).alias("alert"))
+    monkeypatch.setattr(learning, "written_feedback", lambda spark, sf: feedback)
+    got = entry.queries()["agg14_attack_ratio"](spark, str(tmp_path)).first()
+    assert (got["sampled_rows"], got["feedback_rows_used"]) == (130_002, 100_002)
+    assert got["attack_ratio"] == round((3_000 + 100_002) / 130_002, 6)
+
+
 def test_split_takes_a_fifth_of_each_class(spark):
     rows = spark.range(109).select("id", (F.col("id") < 9).cast("int").alias("label"))
     got = training.stratified_split(rows, ["id"]).groupBy("label", "is_val").count().collect()
