@@ -109,10 +109,10 @@ def source_rules(
         # One array for each result, filled flow by flow; only a record has no session.
         packets = np.flatnonzero(~ready["record"].to_numpy(bool))
         session = [np.full(n, None, object) if len(packets) < n else np.zeros(n, np.int64), np.zeros(n), np.zeros(n)]
-        flow, flows_seen = pd.factorize(ready["flow"].to_numpy()[packets])
-        packets, size = packets[np.argsort(flow, kind="stable")], ready["size"].to_numpy()
-        ends = np.cumsum(np.bincount(flow, minlength=len(flows_seen)))
-        for seen, at in zip(flows_seen, np.split(packets, ends[:-1])):
+        flow = ready["flow"].iloc[packets].astype("category").cat.remove_unused_categories()
+        packets, size = packets[np.argsort(flow.cat.codes.to_numpy(), kind="stable")], ready["size"].to_numpy()
+        ends = np.cumsum(np.bincount(flow.cat.codes, minlength=len(flow.cat.categories)))
+        for seen, at in zip(flow.cat.categories, np.split(packets, ends[:-1])):
             totals, memory["flows"][seen] = continued(t[at], size[at], memory["flows"].get(seen), gap_us)
             for column, values in zip(session, totals):
                 column[at] = values

@@ -1,7 +1,13 @@
+import json
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from flowsentry.operators import cascade, flows, intel, rules as R
+from flowsentry.operators.thresholds import LOGIN_SERVICES, SynFlood
 from flowsentry.plans import inputs as I
 from flowsentry.plans.streams import run_in_batches
 from flowsentry.sources import readers
@@ -189,3 +195,97 @@ def test_rows_are_made_once_for_all_batches(spark, tmp_path):
     assert seen == [[0, 1, 2, 4], [], [], [5, 6, 7, 8, 9], "end"]
     # Once for the first and last time, once for all batches.
     assert made.value == 20
+
+
+class State:
+    """What ``applyInPandasWithState`` gives a key's function."""
+
+    def __init__(self):
+        self.get, self.watermark, self.hasTimedOut = None, 0, False
+
+    exists = property(lambda self: self.get is not None)
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark // 1000
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutTimestamp(self, at):
+        assert at > 0
+
+
+def source_events(n=6_000, seed=3):
+    """Packets of one source: bursts, some at the same moment, some twice, ids of content among them."""
+    rnd = np.random.default_rng(seed)
+    t = np.sort(rnd.integers(0, 900, n)) * SECOND + rnd.integers(0, 3, n)
+    rows = pd.DataFrame({"key": "k", "t_us": t, "event_id": rnd.permutation(n).astype(np.int64)})
+    rows.loc[rnd.random(n) < 0.1, "event_id"] = -5
+    rows["t_us"] = rows["t_us"].where(rnd.random(n) > 0.01, keyed.NO_TIME)
+    rows["row"] = [json.dumps({"src_ip": "ab"[i % 5 == 0], "n": i % 9}) for i in range(n)]
+    rows["size"], rows["record"], rows["syn"] = rnd.integers(40, 900, n) / 1.0, rnd.random(n) < 0.1, rnd.random(n) < 0.7
+    rows["port"] = rnd.choice([21, 22, 3389, 80], n).astype(np.int32)
+    rows["signed"], rows["named"] = np.arange(n) > 2_000, True
+    rows["flow"] = rnd.choice(["f", "g", "h"], n)
+    return pd.concat([rows, rows.sample(400, random_state=1)]).sample(frac=1, random_state=2).reset_index(drop=True)
+
+
+def run_source(job, rows, cuts=(350 * SECOND, 650 * SECOND), batch=1_500):
+    """(what packing, the key's task and opening give, late rows in it, most rows and blocks handed to the key at once)."""
+    schema = pa.Schema.from_pandas(rows, preserve_index=False)
+    pack, run, reopen = keyed.in_blocks(job.facts), keyed.in_order(job.rules(), job.facts, job.results), keyed.opened(job.results)
+    state, out, handed = State(), [], 0
+    # Some rows come 300 s after their time: those are late or just not yet.
+    comes = rows["t_us"].clip(lower=0) + 300 * SECOND * (rows.index % 20 == 0)
+    edges = [0, *cuts, 1 << 62]
+    for low, high in zip(edges, edges[1:]):
+        part = rows[(comes >= low) & (comes < high)]
+        batches = [pa.RecordBatch.from_pandas(part.iloc[a : a + batch], schema, preserve_index=False) for a in range(0, len(part), batch)]
+        parts = [b.to_pandas() for b in pack(iter(batches))]
+        handed = max(handed, sum(map(len, parts)))
+        out += list(run(("k",), iter(parts), state))
+        state.watermark, state.hasTimedOut = high - 100 * SECOND, True
+        out += list(run(("k",), iter(()), state))
+        state.hasTimedOut = False
+    kept = pa.schema([("event_id", pa.int64()), ("row", pa.string()), ("late", pa.bool_()),
+                      *((n, keyed.ARROW[k]) for n, k in job.results.items()), ("texts", pa.binary()), ("packed", pa.binary())])
+    opened = reopen(pa.RecordBatch.from_pandas(o[kept.names], kept, preserve_index=False) for o in out if len(o))
+    columns = ["late", "event_id", "row", *job.results]
+    got = pa.Table.from_batches(opened).select(columns).to_pylist()
+    return sorted(map(repr, got)), sum(r["late"] for r in got), handed
+
+
+@pytest.mark.parametrize("release", [10**9, 700])
+@pytest.mark.parametrize("kind", ["cascade", "flows"])
+def test_blocks_give_what_single_rows_give(spark, monkeypatch, kind, release):
+    if kind == "cascade":
+        job = jobs.ThresholdStream(spark, "", SECOND, cascade.CascadeConfig(mode="block-signature", syn=SynFlood(), services=LOGIN_SERVICES))
+    else:
+        job = jobs.FlowFeatureStream(spark, "", SECOND)
+    rows = source_events()
+    rows = rows[["key", "t_us", "event_id", "row", *job.facts]]
+    want, late, handed = run_source(job, rows)
+    assert 150 < late < len(rows) / 4 and handed < 600  # in blocks
+    assert sum(r.count("'late': True") for r in want) == late
+    monkeypatch.setattr(keyed, "LEAST_BLOCK", 10**9)
+    alone, late_alone, all_rows = run_source(job, rows)
+    assert (alone, late_alone) == (want, late) and all_rows > 1_500
+    # Other sizes, some batches with too few rows for a block, and stretches that hold a part of what is released.
+    monkeypatch.setattr(keyed, "LEAST_BLOCK", 40)
+    monkeypatch.setattr(keyed, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(keyed, "RELEASE_ROWS", release)
+    assert run_source(job, rows, batch=901)[0] == want
+
+
+def test_a_large_key_is_handed_over_in_blocks(spark):
+    job = jobs.ThresholdStream(spark, "", SECOND)
+    rows = source_events(40_000)[["key", "t_us", "event_id", "row", *job.facts]]
+    others = rows.head(2_000).assign(key=[f"k{i // 100}" for i in range(2_000)])
+    batch = pa.RecordBatch.from_pandas(pd.concat([rows, others]), preserve_index=False)
+    parts = [b.to_pandas() for b in keyed.in_blocks(job.facts)(iter([batch]))]
+    found = pd.concat(parts)
+    assert (found["key"] == "k").sum() == 3 and (found["packed"].notna() == (found["key"] == "k")).all()
+    assert sum(keyed.Block(b).rows for b in found["packed"].dropna()) == len(rows) and (found["key"] != "k").sum() == 2_000
