@@ -396,7 +396,7 @@ class Release:
 
     def keep(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Results of a stretch, put with their blocks; those of single rows are yielded."""
-        rows = rows.iloc[np.argsort(rows["block"].to_numpy(), kind="stable")]
+        rows = rows[["t_us", "event_id", "block", "at", *self.results]].iloc[np.argsort(rows["block"].to_numpy(), kind="stable")]
         places = rows["block"].to_numpy()
         n = int(np.searchsorted(places, len(self.blocks)))
         if n < len(rows):
